@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ocrlake.llm import neardup
+from ocrlake.llm import langid, neardup
 from ocrlake.sources.tables import table
 
 
@@ -16,6 +16,10 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return by_text.union(neardup.same_hash_pairs(shots, "id", "content_hash")).distinct()
 
 
-QUERIES = {"p3_found": p3_found}
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return langid.wrong_segments(langid.detect(table(spark, base, "screenshots"), "id", "ocr_text", "ocr_language"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
 
 SQL: dict[str, str] = {}

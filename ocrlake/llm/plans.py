@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ocrlake.llm import langid, neardup
+from ocrlake.llm import langid, neardup, scannoise
 from ocrlake.sources.tables import table
 
 
@@ -16,10 +16,18 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return by_text.union(neardup.same_hash_pairs(shots, "id", "content_hash")).distinct()
 
 
+def _repaired(spark: SparkSession, base: str) -> DataFrame:
+    return scannoise.repair_texts(scannoise.scanned_texts(table(spark, base, "screenshots"), table(spark, base, "benchmark_corpus")))
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return scannoise.noisy_lines(_repaired(spark, base))
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return langid.wrong_segments(langid.detect(table(spark, base, "screenshots"), "id", "ocr_text", "ocr_language"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 
 SQL: dict[str, str] = {}

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ocrlake.llm import langid, neardup, scannoise
+from ocrlake.llm import langid, leaks, lookalike, mixing, neardup, reading, scannoise
 from ocrlake.sources.tables import table
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return lookalike.same_reading(table(spark, base, "search_requests"), table(spark, base, "screenshots"))
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     shots = table(spark, base, "screenshots")
     p = neardup.SCREENSHOT_PARAMS
@@ -28,6 +32,32 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return langid.wrong_segments(langid.detect(table(spark, base, "screenshots"), "id", "ocr_text", "ocr_language"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    found = leaks.find_leaks(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "eval_items"), "item_id", "passage")
+    return found.filter("distance = 0").select("doc_id", "item_id")
+
+
+def p8_drawn(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.draw(table(spark, base, "documents"), table(spark, base, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.reached_shares(p8_drawn(spark, base), table(spark, base, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return reading.reading_levels(table(spark, base, "documents"), table(spark, base, "reading_labels"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p8_drawn": p8_drawn,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+}
 
 SQL: dict[str, str] = {}

@@ -1,12 +1,15 @@
 """Full-text search over items: index, phrase match, BM25 rank, snippets, recency listing, pages.
 
 The index is a derived DataFrame with one row per item that has text: tokens of the file name and of the normalised
-text, and the number of tokens. Matching and scoring are higher-order functions over the token arrays, so a query reads
-the index once for its statistics (one global aggregate) and once for the page (a top-k), without a shuffle of rows.
+text, and the number of tokens. A query reads the index once for its statistics (one global aggregate) and once for the
+page (a top-k), without a shuffle of rows; an index that serves several queries is best written as a table.
 """
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,18 +39,13 @@ def build_index(items: DataFrame) -> DataFrame:
 
 
 def phrase_hits(tokens: Column, phrase: list[str]) -> Column:
-    """How often a phrase stands in a token array; its last token may be the beginning of one."""
-    *head, last = phrase
-    if not head:
-        return F.size(F.filter(tokens, lambda t: t.startswith(last))).cast("long")
+    """How often a phrase stands in a token array; its last token may be the beginning of one.
 
-    def here(i: Column) -> Column:
-        conditions = [F.element_at(tokens, (i + k).cast("int")) == w for k, w in enumerate(head)]
-        return reduce(lambda a, b: a & b, conditions) & F.element_at(tokens, (i + len(head)).cast("int")).startswith(last)
-
-    last_start = F.size(tokens) - len(head)
-    places = F.when(last_start >= 1, F.sequence(F.lit(1), last_start)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, here)).cast("long")
+    One regular expression over the joined tokens counts the places where the phrase starts, overlapping ones too.
+    """
+    first, *rest = [re.escape(t) for t in phrase]
+    ahead = "(?= " + " ".join(rest) + ")" if rest else ""
+    return F.regexp_count(F.array_join(tokens, " "), F.lit(f"(?<![^ ]){first}{ahead}")).cast("long")
 
 
 @dataclass(frozen=True)
@@ -69,8 +67,6 @@ def corpus_stats(index: DataFrame, phrases: list[list[str]]) -> CorpusStats:
 
 def bm25(stats: CorpusStats, hits: list[tuple[Column, Column]]) -> Column:
     """Rank (the lower, the better) of a row with (file name hits, body hits) of each phrase."""
-    import math
-
     total = F.lit(0.0)
     for n, (in_name, in_body) in zip(stats.containing, hits):
         idf = math.log((stats.rows - n + 0.5) / (n + 0.5))
@@ -102,9 +98,6 @@ def keyword_matches(index: DataFrame, query: str, folder_id: int | None = None)
 
 
 def _spans(text: str) -> list[tuple[int, int, str]]:
-    import re
-    import unicodedata
-
     out = []
     for m in re.finditer(r"[^\W_]+", text):
         folded = "".join(ch for ch in unicodedata.normalize("NFD", m.group().lower()) if not unicodedata.combining(ch))

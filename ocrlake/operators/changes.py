@@ -26,38 +26,37 @@ def apply_changes(feed: DataFrame, keys: Sequence[str], seq: str, op: str, field
     same key and sequence: a delete goes first, then a replacement, then upserts; among equals the greatest value of a
     field wins. Null keys are keys of their own. Other columns of ``feed`` are ignored, whatever their names.
     """
-    spark = feed.sparkSession
-    key_list = ", ".join(_quoted(k) for k in keys)
-    s, o = _quoted(seq), _quoted(op)
+    # columns get names of their own first, so that those of the feed can be any
+    own = feed.selectExpr(
+        f"{_quoted(seq)} AS s",
+        f"{_quoted(op)} AS o",
+        *(f"{_quoted(k)} AS k{i}" for i, k in enumerate(keys)),
+        *(f"{_quoted(f)} AS f{i}" for i, f in enumerate(fields)),
+    )
+    key_list = ", ".join(f"k{i}" for i in range(len(keys)))
     # rank breaks ties of one sequence number: delete 0, replacement 1, upsert 2
-    rank = f"CASE {o} WHEN '{DELETE}' THEN 0 WHEN '{REPLACE}' THEN 1 ELSE 2 END"
-    set_aggs, picks = [], []
-    for i, f in enumerate(fields):
-        q = _quoted(f)
-        value = f"named_struct('at', at, 'v', {q})"
-        set_aggs.append(f"max({value}) FILTER (WHERE {o} = '{REPLACE}' OR ({o} = '{UPSERT}' AND {q} IS NOT NULL)) AS w{i}")
-        picks.append(f"CASE WHEN w{i}.at >= floor THEN w{i}.v END AS {q}")
+    rank = f"CASE o WHEN '{DELETE}' THEN 0 WHEN '{REPLACE}' THEN 1 ELSE 2 END"
     # max of struct(sequence, value) is max_by(value, sequence) with a defined tie
-    return spark.sql(
+    sets = "".join(f", max(named_struct('at', at, 'v', f{i})) FILTER (WHERE o = '{REPLACE}' OR (o = '{UPSERT}' AND f{i} IS NOT NULL)) AS w{i}" for i in range(len(fields)))
+    picks = "".join(f", CASE WHEN w{i}.at >= bottom THEN w{i}.v END AS f{i}" for i in range(len(fields)))
+    merged = feed.sparkSession.sql(
         f"""
-        WITH feed AS (
-          SELECT {key_list}, {o}, {", ".join(_quoted(f) for f in fields) + ", " if fields else ""} named_struct('s', {s}, 'r', {rank}) AS at
-          FROM {{feed}} WHERE {s} IS NOT NULL AND {o} IN ('{UPSERT}', '{REPLACE}', '{DELETE}')
+        WITH changes AS (
+          SELECT *, named_struct('s', s, 'r', {rank}) AS at FROM {{feed}}
+          WHERE s IS NOT NULL AND o IN ('{UPSERT}', '{REPLACE}', '{DELETE}')
         ), merged AS (
           SELECT {key_list},
-                 max(at) FILTER (WHERE {o} = '{DELETE}') AS gone,
-                 max(at) FILTER (WHERE {o} <> '{DELETE}') AS alive,
-                 max(at) FILTER (WHERE {o} IN ('{DELETE}', '{REPLACE}')) AS floor0
-                 {"".join(", " + a for a in set_aggs)}
-          FROM feed GROUP BY {key_list}
-        ), bounded AS (
-          SELECT *, coalesce(floor0, named_struct('s', CAST(NULL AS BIGINT), 'r', CAST(NULL AS INT))) AS floor FROM merged
+                 max(at) FILTER (WHERE o = '{DELETE}') AS gone,
+                 max(at) FILTER (WHERE o <> '{DELETE}') AS alive,
+                 coalesce(max(at) FILTER (WHERE o <> '{UPSERT}'), named_struct('s', NULL, 'r', NULL)) AS bottom
+                 {sets}
+          FROM changes GROUP BY {key_list}
         )
-        SELECT {key_list}{"".join(", " + p for p in picks)}
-        FROM bounded WHERE alive IS NOT NULL AND (gone IS NULL OR alive > gone)
+        SELECT {key_list}{picks} FROM merged WHERE alive IS NOT NULL AND (gone IS NULL OR alive > gone)
         """,
-        feed=feed,
+        feed=own,
     )
+    return merged.toDF(*keys, *fields)
 
 
 #: Index jobs as changes. A key is KIND:folder:path[:hash]; the path may hold colons, the hash never does.

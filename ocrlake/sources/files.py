@@ -23,9 +23,10 @@ def scan_directory(spark: SparkSession, root: str, recursive: bool = True) -> Da
             raise EngineError("FOLDER_NOT_FOUND", root)
         if not os.path.isdir(local):
             raise EngineError("INVALID_PATH", root)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    files = reader.load(root) if recursive else reader.load(root.rstrip("/") + "/*")
-    files = files.filter(is_image(F.col("path")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(is_image(F.col("path")))
+    if not recursive:
+        plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+        files = files.filter(F.regexp_replace(plain(F.col("path")), "/[^/]*$", "") == plain(F.lit(root.rstrip("/"))))
     stamp = F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     return files.select("path", file_name(F.col("path")).alias("filename"), extension(F.col("path")).alias("extension"), F.col("length").alias("file_size"), stamp.alias("modified_at_fs"))
 

@@ -59,28 +59,24 @@ def apply_changes(feed: DataFrame, keys: Sequence[str], seq: str, op: str, field
     return merged.toDF(*keys, *fields)
 
 
-#: Index jobs as changes. A key is KIND:folder:path[:hash]; the path may hold colons, the hash never does.
+#: Index jobs as changes. A key is KIND:folder:path[:hash]; the path may hold colons, the hash never does. Each step
+#: names the one before it once or twice only, as steps are put into each other before they run.
 _JOB_CHANGES = r"""
-  SELECT id AS seq,
-         CASE kind WHEN 'UPSERT_SCREENSHOT' THEN 'REPLACE' WHEN 'DELETE_SCREENSHOT' THEN 'DELETE' END AS op,
-         coalesce(folder_id, try_cast(regexp_extract(dedupe_key, '^[^:]*:([^:]*):', 1) AS BIGINT)) AS folder_id,
-         concat(upper(left(p, CASE WHEN p RLIKE '^[A-Za-z]:' THEN 1 ELSE 0 END)),
-                substring(p, CASE WHEN p RLIKE '^[A-Za-z]:' THEN 2 ELSE 1 END)) AS path,
-         CASE WHEN kind = 'UPSERT_SCREENSHOT' THEN coalesce(regexp_extract(dedupe_key, ':([^:]*)$', 1), '') END AS content_hash
+  SELECT seq, op, folder_id, content_hash,
+         concat(upper(regexp_extract(p, '^(?:[A-Za-z]:)?', 0)), regexp_replace(p, '^[A-Za-z]:', '')) AS path
   FROM (
-    SELECT *, CASE WHEN s LIKE '\\\\\\\\?\\\\UNC\\\\%' THEN concat('\\\\', substring(s, 9))
-                   WHEN s LIKE '\\\\\\\\?\\\\%' THEN substring(s, 5) ELSE s END AS p
+    SELECT seq, op, folder_id, content_hash,
+           regexp_replace(regexp_replace(translate(s, '/', '\\'), r'^\\\\\?\\UNC\\', r'\\\\'), r'^\\\\\?\\', '') AS p
     FROM (
-      SELECT id, folder_id, dedupe_key, kind,
-             replace(coalesce(nullif(from_key, ''), path), '/', '\\') AS s
-      FROM (
-        SELECT id, folder_id, path, dedupe_key, upper(trim(BOTH ' \t\r\n' FROM job_type)) AS kind,
-               CASE upper(trim(BOTH ' \t\r\n' FROM job_type))
-                    WHEN 'UPSERT_SCREENSHOT' THEN regexp_extract(dedupe_key, '(?s)^[^:]*:[^:]*:(.*):[^:]*$', 1)
-                    WHEN 'DELETE_SCREENSHOT' THEN regexp_extract(dedupe_key, '(?s)^[^:]*:[^:]*:(.*)$', 1) END AS from_key
-        FROM {jobs}
-        WHERE upper(trim(BOTH ' \t\r\n' FROM job_type)) IN ('UPSERT_SCREENSHOT', 'DELETE_SCREENSHOT')
-      )
+      SELECT id AS seq,
+             CASE kind WHEN 'UPSERT_SCREENSHOT' THEN 'REPLACE' ELSE 'DELETE' END AS op,
+             coalesce(folder_id, try_cast(regexp_extract(dedupe_key, '^[^:]*:([^:]*):', 1) AS BIGINT)) AS folder_id,
+             CASE WHEN kind = 'UPSERT_SCREENSHOT' THEN coalesce(regexp_extract(dedupe_key, ':([^:]*)$', 1), '') END AS content_hash,
+             CASE WHEN kind = 'UPSERT_SCREENSHOT' AND dedupe_key RLIKE '(?s)^[^:]*:[^:]*:.+:[^:]*$' THEN regexp_extract(dedupe_key, '(?s)^[^:]*:[^:]*:(.+):[^:]*$', 1)
+                  WHEN kind = 'DELETE_SCREENSHOT' AND dedupe_key RLIKE '(?s)^[^:]*:[^:]*:.+$' THEN regexp_extract(dedupe_key, '(?s)^[^:]*:[^:]*:(.+)$', 1)
+                  ELSE path END AS s
+      FROM (SELECT id, folder_id, path, dedupe_key, upper(trim(BOTH ' \t\r\n' FROM job_type)) AS kind FROM {jobs})
+      WHERE kind IN ('UPSERT_SCREENSHOT', 'DELETE_SCREENSHOT')
     )
   )
 """

@@ -13,6 +13,7 @@ Misses: a pair of similarity s is no candidate with probability (1 - s**rows)**b
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -40,12 +41,10 @@ class NearDupParams:
 #: Parameters of the test tables' own definition: runs of three words, similarity 0.7.
 SCREENSHOT_PARAMS = NearDupParams(threshold=0.7, shingle=3)
 
-_MASK = np.uint64(0xFFFFFFFFFF)  # 40 bits of band value beside the band's number
 
-
-def word_form(c):
+def word_form(text: str) -> str:
     """Lower-case words parted by one blank."""
-    return F.trim(F.regexp_replace(F.lower(c), r"(?U)[\s\x1c-\x1f]+", " "))
+    return " ".join(text.lower().split())
 
 
 @lru_cache(maxsize=4)
@@ -124,13 +123,13 @@ def minhash_batch(texts: list[str], p: NearDupParams, words: _WordHashes, cols:
 
 
 def _band_values(m: np.ndarray, p: NearDupParams) -> np.ndarray:
-    """One integer for each text and band: the band's number and 40 bits of its values' hash."""
+    """For each text and band 32 bits of the hash of the band's values; the band's number is the position."""
     v = m.reshape(len(m), p.bands, p.rows).astype(np.uint64)
     with np.errstate(over="ignore"):
         h = np.zeros(v.shape[:2], np.uint64)
         for r in range(p.rows):
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + v[:, :, r] + np.uint64(1))
-    return ((np.arange(p.bands, dtype=np.uint64) << np.uint64(40)) | (h & _MASK)).astype(np.int64)
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _signature_columns(p: NearDupParams) -> np.ndarray:
@@ -145,27 +144,43 @@ def _chunks(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.Da
             yield pdf.iloc[at : at + rows]
 
 
-def band_rows(texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """(band, id) of ``texts`` (id, text in word form)."""
+def _digest(form: str) -> bytes:
+    return hashlib.md5(form.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
+def digests(texts: DataFrame) -> DataFrame:
+    """(id, key, n_words) of ``texts`` (id, text) that have words; ``key`` is the digest of the text's word form."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            forms = [word_form(t) for t in pdf["text"]]
+            out = pd.DataFrame({"id": pdf["id"], "key": [_digest(f) for f in forms], "n_words": [f.count(" ") + 1 for f in forms]})
+            yield out[[f != "" for f in forms]]
+
+    return texts.select("id", "text").mapInPandas(run, "id long, key binary, n_words long")
+
+
+def band_arrays(texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """(id, key, bands) of ``texts`` (id, text): for each band 32 bits of its values' hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _WordHashes()
         for pdf in _chunks(batches):
-            m, keep = minhash_batch(pdf["text"].tolist(), p, words)
-            ids = pdf["id"].to_numpy()[keep]
-            yield pd.DataFrame({"band": _band_values(m, p).ravel(), "id": np.repeat(ids, p.bands)})
+            forms = [word_form(t) for t in pdf["text"]]
+            m, keep = minhash_batch(forms, p, words)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[keep], "key": [_digest(forms[i]) for i in keep], "bands": list(_band_values(m, p))})
 
-    return texts.select("id", "text").mapInPandas(run, "band long, id long")
+    return texts.select("id", "text").mapInPandas(run, "id long, key binary, bands array<int>")
 
 
 def signatures(texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """(id, sig) of ``texts``: the low byte of ``p.sig`` MinHash values."""
+    """(id, sig) of ``texts`` (id, text): the low byte of ``p.sig`` MinHash values."""
     cols = _signature_columns(p)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _WordHashes()
         for pdf in _chunks(batches):
-            m, keep = minhash_batch(pdf["text"].tolist(), p, words, cols)
+            m, keep = minhash_batch([word_form(t) for t in pdf["text"]], p, words, cols)
             low = (m & np.uint32(0xFF)).astype(np.uint8)
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[keep], "sig": [row.tobytes() for row in low]})
 
@@ -215,12 +230,15 @@ def bayes_prune(pairs: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def _runs(text: str, k: int) -> set:
-    w = text.split(" ")
+    w = text.lower().split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
 def exact_similarity(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b, text_a, text_b) whose distinct runs of k words overlap enough."""
+    """(a, b, similarity) of pairs (a, b, text_a, text_b) whose distinct runs of k words overlap enough.
+
+    Where an id came with several texts, the pair counts with the texts that are most alike.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -238,7 +256,7 @@ def exact_similarity(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
 
 @dataclass
 class NearDups:
-    """``members``: (id, rep) of every text; ``links``: (a, b, similarity) between different texts' representatives."""
+    """``members``: (id, rep, n_words) of every text; ``links``: (a, b, similarity) between different texts' representatives."""
 
     members: DataFrame
     links: DataFrame
@@ -247,43 +265,42 @@ class NearDups:
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams = NearDupParams()) -> NearDups:
     """All pairs of different texts whose similarity reaches ``p.threshold``, and the classes of equal texts.
 
-    Null ids and texts without words are left out. An id that comes with several texts keeps the greatest. Texts with
-    fewer words than a run have no similarity to others (their equal copies still form a class). Cost: the texts are
-    shuffled once by id; ``bands`` short rows per class of equal texts; nothing is collected.
+    Null ids and texts without words are left out. An id that comes with several texts keeps the one with the greatest
+    digest. Texts with fewer words than a run have no similarity to others (their equal copies still form a class).
+    Cost: three passes over the texts that shuffle digests, band values and signatures only, and one shuffle of the texts
+    to verify; ``bands`` short rows per class of equal texts go to the candidate join; nothing is collected.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), word_form(F.col(text_col)).alias("text"))
-    texts = rows.filter("id is not null and text <> ''").groupBy("id").agg(F.max("text").alias("text"))
-    keys = texts.select("id", F.unhex(F.md5("text")).alias("key"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    keys = digests(rows).groupBy("id").agg(F.max(F.struct("key", "n_words")).alias("k")).select("id", "k.key", "k.n_words")
     reps = keys.groupBy("key").agg(F.min("id").alias("rep"))
-    members = cut(keys.join(reps, "key").select("id", "rep"))
-    own = members.filter("id = rep").select("id")
-    rep_texts = texts.join(own, "id", "left_semi")
+    members = cut(keys.join(reps, "key").select("id", "rep", "key", "n_words"))
+    own = members.filter("id = rep").select("id", "key")
 
-    bands = band_rows(rep_texts, p)
+    # a row that was delivered twice gives its pairs twice; they are made distinct here and below
+    single = band_arrays(rows, p).join(own, ["id", "key"], "left_semi")
+    bands = single.select("id", F.posexplode("bands").alias("no", "value")).select((F.shiftleft(F.col("no").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("band"), "id")
     left, right = bands.select("band", F.col("id").alias("a")), bands.select("band", F.col("id").alias("b"))
     candidates = left.join(right, "band").filter("a < b").select("a", "b").distinct()
-    candidates = cut(candidates)
 
-    sigs = signatures(rep_texts, p)
+    sigs = signatures(rows, p)
     with_a = candidates.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
     with_ab = with_a.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    survivors = cut(bayes_prune(with_ab.select("a", "b", "sig_a", "sig_b"), p))
+    survivors = cut(bayes_prune(with_ab.select("a", "b", "sig_a", "sig_b"), p).distinct())
 
-    # only the texts that some survivor needs are fetched, by the exchange on id that made rep_texts
+    # only the texts that some survivor needs go to the last step
     needed = survivors.select(F.col("a").alias("id")).union(survivors.select("b")).distinct()
-    few = texts.join(needed, "id", "left_semi")
+    few = rows.join(needed, "id", "left_semi")
     pairs = survivors.join(few.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(few.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return NearDups(members, exact_similarity(pairs.select("a", "b", "text_a", "text_b"), p.shingle, p.threshold))
+    links = exact_similarity(pairs.select("a", "b", "text_a", "text_b"), p.shingle, p.threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return NearDups(members.select("id", "rep", "n_words"), links)
 
 
-def expand_pairs(found: NearDups, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def expand_pairs(found: NearDups, shingle: int) -> DataFrame:
     """All pairs of ids (id_a < id_b): links between texts, and equal texts that have at least one run of words."""
     m = found.members
     m1, m2 = m.select(F.col("rep").alias("a"), F.col("id").alias("id1")), m.select(F.col("rep").alias("b"), F.col("id").alias("id2"))
     across = found.links.select("a", "b").join(m1, "a").join(m2, "b").select("id1", "id2")
-    words = F.size(F.split(word_form(F.col(text_col)), " "))
-    long_enough = docs.filter(words >= shingle).select(F.col(id_col).cast("long").alias("a"))
-    copied = m.filter("id <> rep").select(F.col("rep").alias("a")).distinct().join(long_enough, "a", "left_semi")
+    copied = m.filter((F.col("id") != F.col("rep")) & (F.col("n_words") >= shingle)).select(F.col("rep").alias("a")).distinct()
     classes = m1.join(copied, "a", "left_semi")
     within = classes.join(classes.select("a", F.col("id1").alias("id2")), "a").filter("id1 < id2").select("id1", "id2")
     return across.union(within).select(F.least("id1", "id2").alias("id_a"), F.greatest("id1", "id2").alias("id_b")).filter("id_a < id_b")

@@ -16,7 +16,7 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     shots = table(spark, base, "screenshots")
     p = neardup.SCREENSHOT_PARAMS
     found = neardup.near_duplicates(shots, "id", "ocr_text", p)
-    by_text = neardup.expand_pairs(found, shots, "id", "ocr_text", p.shingle)
+    by_text = neardup.expand_pairs(found, p.shingle)
     return by_text.union(neardup.same_hash_pairs(shots, "id", "content_hash")).distinct()
 
 

@@ -143,11 +143,12 @@ def phrase_counts(texts: list[str], model: LanguageModel) -> np.ndarray:
             nxt = flat[state[:m] * width + c]
             ended = np.flatnonzero(nxt < 0)
             if len(ended):
-                n[ended] += 1
+                # a phrase ends here, the next one starts with this character; one that nothing holds is a phrase itself
                 again = flat[c[ended]]
+                n[ended] += (state[ended] != 0).astype(np.int64) + (again < 0)
                 nxt[ended] = np.maximum(again, 0)
             state[:m] = nxt
-        n += lengths > 0
+        n += state != 0
         counts[order, k] = n
     return counts
 

@@ -15,6 +15,7 @@ phrases per letter are added to its own counts.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +47,7 @@ class LangParams:
     least_letters: int = 30
     least_margin: float = 0.15
     prior_letters: float = 8.0
+    unsure: float = 0.35
     seed: int = 11
 
 
@@ -62,7 +64,9 @@ def label_language(c: Column) -> Column:
 
 
 class SuffixAutomaton:
-    """Suffix automaton of one string over small integer symbols, as a dense transition table (-1: none)."""
+    """Suffix automaton of one string over small integer symbols, as a dense transition table (-1: none).
+
+    Building takes one pass; the table has at most two states for each symbol."""
 
     def __init__(self, symbols: np.ndarray, alphabet: int) -> None:
         table = np.full((2 * len(symbols) + 2, alphabet), -1, np.int32)
@@ -104,12 +108,24 @@ class LanguageModel:
 
 
 _SPACE = re.compile(r"[\W\d_]+")
+_DIGIT = re.compile(r"\d")
+_MARKS = re.compile("[\u0300-\u036f]")
 
 
 def letters_form(text: str) -> str:
     """What is compared: lower-case letters, everything between words one blank. Codes and numbers fall away."""
-    words = [w for w in text.split() if not any(ch.isdigit() for ch in w)]
-    return _SPACE.sub(" ", " ".join(words).lower()).strip()
+    words = [w for w in text.split() if not _DIGIT.search(w)]
+    joined = " ".join(words).lower()
+    if not joined.isascii():
+        joined = unicodedata.normalize("NFC", joined)
+    return _SPACE.sub(" ", joined).strip()
+
+
+def without_marks(form: str) -> str:
+    """Letters without accents, as texts typed or recognised without them have."""
+    if form.isascii():
+        return form
+    return unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFD", form))).replace("đ", "d")
 
 
 def encode(text: str, points: np.ndarray) -> np.ndarray:
@@ -162,7 +178,35 @@ def build_model(samples: dict[str, list[str]], most_chars: int) -> LanguageModel
     return LanguageModel(languages, points, tables)
 
 
-def fit(samples: dict[str, list[str]], p: LangParams) -> LanguageModel:
+def _plain(samples: dict[str, list[str]]) -> dict[str, list[str]]:
+    return {x: [without_marks(t) for t in rows] for x, rows in samples.items()}
+
+
+@dataclass
+class LanguageReader:
+    """Automata of the labelled text without accents, and as it is.
+
+    Every text is read without accents, so that texts that lost them are read like others. Where that leaves it open
+    (confidence below ``unsure``) the reading as it is counts as well.
+    """
+
+    plain: LanguageModel
+    marked: LanguageModel
+    unsure: float
+
+    @property
+    def languages(self) -> tuple[str, ...]:
+        return self.plain.languages
+
+    def counts(self, forms: list[str]) -> np.ndarray:
+        n = phrase_counts([without_marks(f) for f in forms], self.plain)
+        open_ = np.flatnonzero(confidence(n) < self.unsure) if n.shape[1] > 1 else np.zeros(0, np.int64)
+        if len(open_):
+            n[open_] += phrase_counts([forms[i] for i in open_], self.marked)
+        return n
+
+
+def fit(samples: dict[str, list[str]], p: LangParams) -> LanguageReader:
     """Build, throw out blocks that another language reads as well or better, build again, ``rounds`` times.
 
     Labels name the language of a whole record, so its blocks are judged one by one; a block is judged by automata
@@ -173,20 +217,24 @@ def fit(samples: dict[str, list[str]], p: LangParams) -> LanguageModel:
         forms = [letters_form(b)[: p.row_chars] for text in rows for b in blocks(text)]
         clean[x] = list(dict.fromkeys(f for f in forms if len(f) >= p.least_letters))
     if sum(map(bool, clean.values())) < 2:
-        return build_model(clean, p.sample_chars)
+        return _reader(clean, p)
     kept = clean
     for _ in range(p.rounds):
         judged: dict[str, list[str]] = {x: [] for x in clean}
         for half in (0, 1):
-            model = build_model({x: rows[1 - half :: 2] or rows for x, rows in kept.items()}, p.judge_chars)
+            model = build_model(_plain({x: rows[1 - half :: 2] or rows for x, rows in kept.items()}), p.judge_chars)
             for x, rows in kept.items():
                 own = rows[half::2]
                 if own:
-                    counts = phrase_counts(own, model)
+                    counts = phrase_counts([without_marks(t) for t in own], model)
                     sure = (counts.argmin(axis=1) == model.languages.index(x)) & (confidence(counts) >= p.least_margin)
                     judged[x] += [t for t, ok in zip(own, sure) if ok]
         kept = {x: judged[x] or kept[x] for x in clean}
-    return build_model(kept, p.sample_chars)
+    return _reader(kept, p)
+
+
+def _reader(samples: dict[str, list[str]], p: LangParams) -> LanguageReader:
+    return LanguageReader(build_model(_plain(samples), p.sample_chars), build_model(samples, p.sample_chars), p.unsure)
 
 
 def labelled_sample(rows: DataFrame, key: str, text: str, label: Column, p: LangParams) -> dict[str, list[str]]:
@@ -232,10 +280,10 @@ def detect(docs: DataFrame, id_col: str, text_col: str, label_col: str, p: LangP
     label = label_language(F.col(label_col))
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     model = fit(labelled_sample(rows, id_col, text_col, label, p), p)
-    shared = spark.sparkContext.broadcast((model.languages, model.points, model.tables))  # bounded by sample_chars
+    shared = spark.sparkContext.broadcast(model)  # bounded by sample_chars
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = LanguageModel(*shared.value)
+        m = shared.value
         for batch in batches:
             for at in range(0, len(batch), 4000):
                 pdf = batch.iloc[at : at + 4000]
@@ -249,7 +297,7 @@ def detect(docs: DataFrame, id_col: str, text_col: str, label_col: str, p: LangP
                 size = np.array([len(f) for f in forms], np.int64)
                 uniq: dict[str, int] = {}
                 where = np.array([uniq.setdefault(f, len(uniq)) for f in forms], np.int64)
-                counts = phrase_counts(list(uniq), m)[where] if m.languages and forms else np.zeros((len(forms), 1), np.int64)
+                counts = m.counts(list(uniq))[where] if m.languages and forms else np.zeros((len(forms), 1), np.int64)
                 whole = np.zeros((len(pdf), counts.shape[1]), np.int64)
                 whole_size = np.zeros(len(pdf), np.int64)
                 if len(forms):

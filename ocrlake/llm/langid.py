@@ -106,6 +106,22 @@ class LanguageModel:
     points: np.ndarray
     tables: list[np.ndarray]
 
+    def __getstate__(self) -> tuple:
+        """Only the transitions that exist are sent to tasks; there are at most three for each character."""
+        sparse = []
+        for t in self.tables:
+            at = np.flatnonzero(t.ravel() >= 0).astype(np.int32)
+            sparse.append((t.shape, at, t.ravel()[at]))
+        return self.languages, self.points, sparse
+
+    def __setstate__(self, state: tuple) -> None:
+        self.languages, self.points, sparse = state
+        self.tables = []
+        for shape, at, to in sparse:
+            table = np.full(shape, -1, np.int32)
+            table.ravel()[at] = to
+            self.tables.append(table)
+
 
 _SPACE = re.compile(r"[\W\d_]+")
 _DIGIT = re.compile(r"\d")

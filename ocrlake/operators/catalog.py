@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ocrlake.functions.ranks import row_numbers
 from ocrlake.schema import FAILED, PENDING, PROCESSING, SUCCEEDED
 
 STATUSES = (PENDING, PROCESSING, SUCCEEDED, FAILED)
@@ -130,9 +131,9 @@ def service_status(items: DataFrame, jobs: DataFrame, vectors: DataFrame, model_
 
 
 def next_ids(state: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ids after the greatest of ``state``, in the given order (one ordered pass; rows are a batch)."""
+    """``rows`` with ids after the greatest of ``state``, in the given order."""
     top = state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    return rows.withColumn("id", (F.row_number().over(Window.orderBy(*order)) + F.lit(top)).cast("long"))
+    return row_numbers(rows, order, "id").withColumn("id", F.col("id") + F.lit(top))
 
 
 def insert_items(items: DataFrame, found: DataFrame, now: datetime) -> DataFrame:

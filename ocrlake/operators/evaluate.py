@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ocrlake.functions.ranks import ranked_values
 from ocrlake.functions.text import normalize_search_text
 
 
@@ -58,35 +59,27 @@ def error_rates(pairs: DataFrame) -> DataFrame:
     return out.withColumns({"cer": error_rate(F.col("char_dist"), F.col("ref_chars"), F.length("hyp")), "wer": error_rate(F.col("word_dist"), F.col("ref_words"), word_count(F.col("hyp")))})
 
 
-def _nth(values: Column, index: Column) -> Column:
-    return F.element_at(values, (index + 1).cast("int"))
-
-
-def upper_median(c: Column) -> Column:
-    """Element at half the number of values in order (the upper one of two). Of figures of one evaluation run: a bounded list."""
-    values = F.sort_array(F.collect_list(c))
-    return F.when(F.size(values) > 0, _nth(values, F.floor(F.size(values) / 2)))
+def _upper_middle(n: Column) -> Column:
+    """Position of the median, of the upper one of two."""
+    return F.floor(n / 2)
 
 
 def overall_rates(rates: DataFrame) -> DataFrame:
     """One row: errors by all reference sizes together, and upper medians of the single rates."""
     ratio = lambda a, b: F.when(F.sum(b) > 0, F.sum(a) / F.sum(b)).otherwise(0.0)
-    return rates.agg(F.count("*").alias("n"), ratio("char_dist", "ref_chars").alias("cer"), ratio("word_dist", "ref_words").alias("wer"), upper_median(F.col("cer")).alias("median_cer"), upper_median(F.col("wer")).alias("median_wer"))
+    whole = rates.agg(F.count("*").alias("n"), ratio("char_dist", "ref_chars").alias("cer"), ratio("word_dist", "ref_words").alias("wer"))
+    for c in ("cer", "wer"):
+        median = ranked_values(rates, [], c, {f"median_{c}": _upper_middle}).drop("n")  # one row
+        whole = whole.withColumn("_one", F.lit(1)).join(F.broadcast(median.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+    return whole
 
 
 def latency_figures(times: DataFrame, col: str, by: list[str]) -> DataFrame:
-    """Per group: n, mean, least and greatest time, and p50, p90, p95 as the element at round(n * p), n - 1 at most.
-
-    Exact order statistics without a list per group: every value's rank by a window over the group, then a pick.
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by).orderBy(col)
-    ranked = times.filter(F.col(col).isNotNull()).withColumn("_k", F.row_number().over(w) - 1)
-    n = times.filter(F.col(col).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(col).alias("mean"), F.min(col).alias("least"), F.max(col).alias("greatest"))
-    joined = ranked.join(n.select(*by, F.col("n").alias("_n")), by)
-    picks = joined.groupBy(*by).agg(*(F.max(F.when(F.col("_k") == F.least(F.round(F.col("_n") * q), F.col("_n") - 1), F.col(col))).alias(name) for name, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))))
-    return n.join(picks, by)
+    """Per group: n, mean, least and greatest time, and p50, p90, p95 as the element at round(n * p), n - 1 at most."""
+    at = lambda q: lambda n: F.least(F.round(n * q), n - 1)
+    known = times.filter(F.col(col).isNotNull())
+    whole = known.groupBy(*by).agg(F.avg(col).alias("mean"), F.min(col).alias("least"), F.max(col).alias("greatest"))
+    return ranked_values(known, by, col, {"p50": at(0.5), "p90": at(0.9), "p95": at(0.95)}).join(whole, by)
 
 
 def confusion(labels: DataFrame, truth: str, guess: str, positive: str, negative: str) -> DataFrame:

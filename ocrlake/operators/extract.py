@@ -187,15 +187,27 @@ def corrupted_marks(line: Column) -> Column:
     """Whether a line of two words and six letters, not all capitals, has a Latin letter with a mark that Vietnamese lacks."""
     words = F.size(F.filter(F.split(line, r"(?U)\s+"), lambda w: w != ""))
     letters = F.regexp_count(line, F.lit(r"\p{IsAlphabetic}"))
-    return (words >= 2) & (letters >= 6) & line.rlike(r"\p{Ll}") & line.rlike("[" + _foreign_letters() + "]")
+    foreign = F.length(F.translate(line, _foreign_letters(), "")) < F.length(line)
+    return foreign & line.rlike(r"\p{Ll}") & (words >= 2) & (letters >= 6)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def classify_line(line: Column) -> Column:
     """Technical, Natural or Uncertain; a blank or null line is Uncertain."""
-    s = wstrim(F.coalesce(line, F.lit("")))
-    tech, natural = line_scores(s)
-    scored = F.when(tech >= 30, TECHNICAL).when(tech >= 15, UNCERTAIN).when((natural >= 20) & (tech < 10), NATURAL).otherwise(UNCERTAIN)
-    return F.when(s == "", UNCERTAIN).when(strong_technical(s), TECHNICAL).when(corrupted_marks(s), NATURAL).otherwise(scored)
+
+    def by_score(r: Column) -> Column:
+        return F.when(r["tech"] >= 30, TECHNICAL).when(r["tech"] >= 15, UNCERTAIN).when((r["natural"] >= 20) & (r["tech"] < 10), NATURAL).otherwise(UNCERTAIN)
+
+    def of(s: Column) -> Column:
+        tech, natural = line_scores(s)
+        scored = _once(F.struct(tech.alias("tech"), natural.alias("natural")), by_score)
+        return F.when(s == "", UNCERTAIN).when(strong_technical(s), TECHNICAL).when(corrupted_marks(s), NATURAL).otherwise(scored)
+
+    return _once(wstrim(F.coalesce(line, F.lit(""))), of)
 
 
 # ----------------------------------------------------------------------------------- technical re-recognition

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ocrlake.functions.text import embed_key, re_ocr_key, upsert_key
@@ -206,5 +206,4 @@ def current_jobs(jobs: DataFrame) -> DataFrame:
 def first_claimable_per_folder(jobs: DataFrame, now: datetime) -> DataFrame:
     """The next job of each folder."""
     due = jobs.filter((F.col("status") == PENDING) & (F.col("available_at") <= _at(now)))
-    w = Window.partitionBy("folder_id").orderBy("id")
-    return due.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return due.groupBy(F.col("folder_id").alias("_f")).agg(F.min_by(F.struct(*due.columns), "id").alias("r")).select("r.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ocrlake.operators import evaluate as ev
 from ocrlake.operators import extract as ex
-from ocrlake.plans.common import ITEMS_SQL, JOBS_SQL, items, jobs, norm_sql
+from ocrlake.plans.common import ITEMS_SQL, JOBS_SQL, items, jobs, norm_sql, wstrim_sql
 from ocrlake.sources.tables import table
 from ocrlake.streaming import events as st
 
@@ -200,4 +200,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY job_type ORDER BY s) - 1 AS k, c
 SELECT job_type, count(*) AS n, round(avg(s), 4) AS mean, min(s) AS least, max(s) AS greatest, max(s) FILTER (WHERE k = least(round(n * 0.5), n - 1)) AS p50,
   max(s) FILTER (WHERE k = least(round(n * 0.9), n - 1)) AS p90, max(s) FILTER (WHERE k = least(round(n * 0.95), n - 1)) AS p95 FROM r GROUP BY 1""",
     "token_hits": "WITH " + ITEMS_SQL + f", t AS (SELECT ocr_text, {norm_sql('ocr_text')} AS norm FROM items WHERE ocr_text IS NOT NULL), w(token, search) AS (VALUES ('TK-12115', 'tk 12115'), ('ERR_', 'err'), ('P20', 'p20'), ('v1.2', 'v1.2'), ('0x1', '0x1'), ('Storage report', 'storage report'), ('10.37', '10.37')) SELECT token, count(*) FILTER (WHERE contains(ocr_text, token)) AS exact_hits, count(*) FILTER (WHERE contains(norm, search)) AS search_hits FROM w, t GROUP BY token",
+    "candidate_select": f"""WITH l AS (SELECT DISTINCT line FROM (SELECT unnest(string_split_regex(text, '\\r?\\n')) AS line FROM documents) WHERE trim(line) <> ''),
+r AS (SELECT line, {wstrim_sql("line")} AS b, {wstrim_sql("CASE length(line) % 3 WHEN 0 THEN line || ' and more' WHEN 1 THEN replace(line, ' ', '_') ELSE replace(line, 'a', '=') END")} AS u FROM l)
+SELECT line, CASE WHEN b = '' THEN u WHEN u = '' OR u = b THEN b
+    WHEN (strlen(u) >= strlen(b) + 8 AND starts_with(u, b)) OR (contains(u, '=') AND NOT contains(b, '=')) OR length(u) - length(replace(u, '_', '')) > length(b) - length(replace(b, '_', ''))
+      OR (contains(b, '=') AND contains(u, '=') AND regexp_matches(b, ' = |= | =') AND NOT regexp_matches(u, ' = |= | =')) THEN u ELSE b END AS chosen,
+  b = '' OR b = 'Migration' OR regexp_matches(b, ' = |= | =|pid-|client new|OcrEngineMode "|node modules') AS second_pass FROM r""",
+    "ctc_decode": """WITH s AS (SELECT vec_id, list_transform(range(0, 16), lambda t: list_position(embedding[t * 4 + 1:t * 4 + 4], list_max(embedding[t * 4 + 1:t * 4 + 4])) - 1) AS c FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(list_filter(range(1, 17), lambda i: c[i] <> 0 AND (i = 1 OR c[i] <> c[i - 1])), lambda i: ['A', 'B', 'C'][c[i]]), '') AS text FROM s""",
+    "mock_recognition": f"""WITH {ITEMS_SQL} SELECT count(*) AS processed, count(*) FILTER (WHERE id % 10 <> 3) AS succeeded, count(*) FILTER (WHERE id % 10 = 3) AS failed,
+  count(*) FILTER (WHERE id % 10 = 4) AS empty FROM items WHERE ocr_status = 'PENDING'""",
 }

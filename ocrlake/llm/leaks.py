@@ -87,16 +87,20 @@ class PieceIndex:
     by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     ids: np.ndarray
     items: list[list[str]]
+    flat: np.ndarray  # hashes of all items' words
+    first: np.ndarray  # position of each item's first word in ``flat``
 
 
 def build_index(ids: list[int], passages: list[str], p: LeakParams) -> PieceIndex:
     hashes = _WordHashes()
     items = [words_of(t) for t in passages]
     parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
+    flat = hashes.of([x for w in items for x in w])
+    first = np.concatenate(([0], np.cumsum([len(w) for w in items]))).astype(np.int64)
     for i, w in enumerate(items):
         if len(w) < p.least_words:
             continue
-        h = hashes.of(w)
+        h = flat[first[i] : first[i + 1]]
         windows = len(w) - p.least_words + 1
         for a, b in piece_bounds(p):
             runs = run_hashes(h, b - a)[a : a + windows]
@@ -107,41 +111,68 @@ def build_index(ids: list[int], passages: list[str], p: LeakParams) -> PieceInde
         cols = [np.concatenate(c) for c in zip(*rows)]
         order = np.argsort(cols[0], kind="stable")
         by_length.append((k, *(c[order] for c in cols)))
-    return PieceIndex(by_length, np.array(ids, np.int64), items)
+    return PieceIndex(by_length, np.array(ids, np.int64), items, flat, first)
+
+
+_HITS = 300_000  # piece hits looked at together
 
 
 def match_texts(texts: list[str], index: PieceIndex, p: LeakParams, hashes: _WordHashes) -> list[tuple[int, int, int]]:
-    """(position of the text, position of the item, distance of its best window) of all texts with a leak."""
+    """(position of the text, position of the item, distance of its best window) of all texts with a leak.
+
+    A window can only be within the budget if all but ``budget`` of its words stand in the text at most ``budget`` places
+    from where the piece puts them; hits that fail this are dropped together before the rest is verified one by one.
+    """
     words = [words_of(t) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     flat = hashes.of([w for ws in words for w in ws])
     owner = np.repeat(np.arange(len(texts)), lengths)
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(texts) else np.zeros(0, np.int64)
+    first = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
     found: dict[tuple[int, int], int] = {}
+    span = np.arange(p.least_words)
     for k, keys, item, start, offset in index.by_length:
         runs = run_hashes(flat, k)
         if not len(runs):
             continue
-        inside = owner[: len(runs)] == owner[k - 1 :]
         lo = np.searchsorted(keys, runs)
-        hit = inside & (keys[np.minimum(lo, len(keys) - 1)] == runs) & (lo < len(keys))
-        where = np.flatnonzero(hit)
-        # the same window of a repeated leak is verified once for each place in the text
-        for pos, left in zip(where.tolist(), lo[where].tolist()):
-            doc = int(owner[pos])
-            at = pos - int(first[doc])
-            right = left
-            while right < len(keys) and keys[right] == keys[left]:
-                i = int(item[right])
-                known = found.get((doc, i))
-                if known != 0:
-                    s, o = int(start[right]), int(offset[right])
-                    window = index.items[i][s : s + p.least_words]
-                    begin = max(0, at - o - p.budget)
-                    d = myers_best(window, words[doc][begin : at - o + p.least_words + p.budget], p.budget)
-                    if d <= p.budget and (known is None or d < known):
-                        found[doc, i] = d
-                right += 1
+        many = np.where(owner[: len(runs)] == owner[k - 1 :], np.searchsorted(keys, runs, side="right") - lo, 0)
+        where = np.flatnonzero(many)
+        ends = np.cumsum(many[where])
+        done = 0
+        while done < len(where):
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + _HITS, side="right")))
+            here = where[done:upto]
+            done = upto
+            n = many[here]
+            pos = np.repeat(here, n)
+            entry = np.repeat(lo[here], n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
+            doc, it, s = owner[pos], item[entry], start[entry]
+            at = pos - offset[entry]  # where the window would begin
+            pattern = index.flat[(index.first[it] + s)[:, None] + span]
+            near = np.zeros(pattern.shape, bool)
+            exact = None
+            for shift in range(-p.budget, p.budget + 1):
+                place = at[:, None] + span + shift
+                inside = (place >= first[doc][:, None]) & (place < first[doc + 1][:, None])
+                equal = inside & (flat[np.clip(place, 0, len(flat) - 1)] == pattern)
+                near |= equal
+                if shift == 0:
+                    exact = equal.all(axis=1)
+            likely = np.flatnonzero(near.sum(axis=1) >= p.least_words - p.budget)
+            for j in likely[np.argsort(~exact[likely], kind="stable")].tolist():
+                pair = int(doc[j]), int(it[j])
+                known = found.get(pair)
+                if known == 0 or known is not None and not exact[j] and known <= 1:
+                    continue
+                window = index.items[pair[1]][int(s[j]) : int(s[j]) + p.least_words]
+                begin = int(at[j] - first[pair[0]])
+                text = words[pair[0]]
+                if exact[j] and text[begin : begin + p.least_words] == window:
+                    found[pair] = 0
+                    continue
+                d = myers_best(window, text[max(0, begin - p.budget) : begin + p.least_words + p.budget], p.budget)
+                if d <= p.budget and (known is None or d < known):
+                    found[pair] = d
     return [(doc, i, d) for (doc, i), d in found.items()]
 
 

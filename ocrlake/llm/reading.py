@@ -76,59 +76,81 @@ class _Buckets:
         return np.array(out, np.int64)
 
 
-def base_features(text: str, words: list[str], buckets: np.ndarray, log_freq: np.ndarray) -> np.ndarray:
-    """Features of one text that need no graded texts."""
-    n = len(words)
-    lengths = np.array([len(w) for w in words], np.float64)
-    sizes, joins, subs, commas = [], [], [], []
+@dataclass
+class Parsed:
+    """Words of a text, and for each sentence with words its first word, commas, joining and subordinating words."""
+
+    words: list[str]
+    starts: np.ndarray
+    commas: np.ndarray
+    joins: np.ndarray
+    subs: np.ndarray
+
+
+def parse(text: str) -> Parsed:
+    words: list[str] = []
+    starts, commas, joins, subs = [], [], [], []
     for part in _SENTENCE.split(text.lower()):
         ws = _WORD.findall(part)
         if ws:
-            sizes.append(len(ws))
-            joins.append(sum(w in JOINING for w in ws))
-            subs.append(sum(w in SUBORDINATING for w in ws))
+            starts.append(len(words))
+            words += ws
             commas.append(part.count(","))
-    s, j, u, c = (np.array(x, np.float64) for x in (sizes, joins, subs, commas))
-    distinct = len(set(words))
+            joins.append(sum(map(JOINING.__contains__, ws)))
+            subs.append(sum(map(SUBORDINATING.__contains__, ws)))
+    return Parsed(words, np.array(starts, np.int64), np.array(commas, np.float64), np.array(joins, np.float64), np.array(subs, np.float64))
+
+
+def _quantiles(values: np.ndarray, at: tuple[float, ...]) -> list[float]:
+    """Linear quantiles, without the general function's overhead for short arrays."""
+    v = np.sort(values)
+    out = []
+    for q in at:
+        k = q * (len(v) - 1)
+        i = int(k)
+        out.append(float(v[i] + (v[min(i + 1, len(v) - 1)] - v[i]) * (k - i)))
+    return out
+
+
+def base_features(t: Parsed, buckets: np.ndarray, log_freq: np.ndarray) -> np.ndarray:
+    """Features of one text that need no graded texts."""
+    n, sentences = len(t.words), len(t.starts)
+    lengths = np.array([len(w) for w in t.words], np.float64)
+    sizes = np.diff(np.append(t.starts, n)).astype(np.float64)
+    distinct = len(set(t.words))
     rare = -log_freq[buckets]
-    mean = s.mean()
+    rare_low, rare_high = _quantiles(rare, (0.25, 0.75))
+    subs = t.subs.sum()
     return np.array(
         [
             np.log(n),
             distinct / np.sqrt(2 * n),
             np.log(distinct) / np.log(n + 1),
             lengths.mean(),
-            np.quantile(lengths, 0.9),
+            _quantiles(lengths, (0.9,))[0],
             (lengths >= 8).mean(),
             (lengths >= 12).mean(),
-            np.log(mean),
-            np.log(np.quantile(s, 0.9)),
-            np.log(s.max()),
-            j.sum() / len(s),
-            u.sum() / len(s),
-            u.sum() / n,
-            np.quantile(u, 0.9),
-            c.sum() / len(s),
+            np.log(sizes.mean()),
+            np.log(_quantiles(sizes, (0.9,))[0]),
+            np.log(sizes.max()),
+            t.joins.sum() / sentences,
+            subs / sentences,
+            subs / n,
+            _quantiles(t.subs, (0.9,))[0],
+            t.commas.sum() / sentences,
             rare.mean(),
-            np.quantile(rare, 0.75),
-            np.quantile(rare, 0.25),
+            rare_high,
+            rare_low,
         ]
     )
 
 
-def sentence_starts(text: str) -> np.ndarray:
-    """For each sentence with words, the position of its first word among the text's words."""
-    sizes = [len(_WORD.findall(part)) for part in _SENTENCE.split(text.lower())]
-    sizes = np.array([n for n in sizes if n], np.int64)
-    return np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, np.int64)
-
-
 def difficulty_features(buckets: np.ndarray, starts: np.ndarray, difficulty: np.ndarray) -> np.ndarray:
     """Mean and spread of word difficulty over distinct words, and over sentences (so one passage does not decide)."""
     d = difficulty[np.unique(buckets)]
     sizes = np.diff(np.append(starts, len(buckets)))
     s = np.add.reduceat(difficulty[buckets].astype(np.float64), starts) / sizes
-    return np.concatenate([[d.mean(), np.square(d).mean()], np.quantile(d, [0.1, 0.5, 0.9]), np.quantile(s, [0.1, 0.25, 0.5, 0.75, 0.9]), [s.mean()]])
+    return np.array([d.mean(), np.square(d).mean(), *_quantiles(d, (0.1, 0.5, 0.9)), *_quantiles(s, (0.1, 0.25, 0.5, 0.75, 0.9)), s.mean()])
 
 
 N_DIFFICULTY = 11
@@ -217,12 +239,12 @@ def graded_features(docs: DataFrame, labels: DataFrame, log_freq: np.ndarray, p:
         for pdf in batches:
             x, bags, starts, level, ids = [], [], [], [], []
             for i, t, y in zip(pdf["doc_id"], pdf["text"], pdf["level"]):
-                w = text_words(t)
-                if w:
-                    b = buckets.of(w)
-                    x.append(base_features(t, w, b, shared.value).tolist())
+                q = parse(t)
+                if q.words:
+                    b = buckets.of(q.words)
+                    x.append(base_features(q, b, shared.value).tolist())
                     bags.append(b.tolist())
-                    starts.append(sentence_starts(t).tolist())
+                    starts.append(q.starts.tolist())
                     level.append(y)
                     ids.append(i)
             yield pd.DataFrame({"doc_id": ids, "x": x, "bag": bags, "starts": starts, "level": level})
@@ -270,10 +292,10 @@ def reading_levels(docs: DataFrame, labels: DataFrame, p: ReadingParams = Readin
         for pdf in batches:
             out_ids, feats, plain = [], [], []
             for i, t in zip(pdf["doc_id"], pdf["text"]):
-                w = text_words(t)
-                if w:
-                    b = buckets.of(w)
-                    feats.append(np.concatenate([base_features(t, w, b, freq), difficulty_features(b, sentence_starts(t), hard)]))
+                q = parse(t)
+                if q.words:
+                    b = buckets.of(q.words)
+                    feats.append(np.concatenate([base_features(q, b, freq), difficulty_features(b, q.starts, hard)]))
                     out_ids.append(i)
                 elif _HAS_WORD.search(t):
                     plain.append(i)

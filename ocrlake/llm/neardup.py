@@ -64,26 +64,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _WordHashes:
+class _WordHashes(dict):
     """64-bit hashes of words, kept for the words of recent batches."""
 
     def __init__(self, limit: int = 500_000) -> None:
-        self.known: dict[str, int] = {}
-        self.limit = limit
-
-    def of(self, words: list[str]) -> np.ndarray:
         import xxhash
 
-        if len(self.known) > self.limit:
-            self.known.clear()
-        get, known, intdigest = self.known.get, self.known, xxhash.xxh3_64_intdigest
-        out = []
-        for w in words:
-            h = get(w)
-            if h is None:
-                h = known[w] = intdigest(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+        super().__init__()
+        self.limit, self.digest = limit, xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = self.digest(word)
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def minhash_batch(texts: list[str], p: NearDupParams, words: _WordHashes, cols: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -54,26 +54,23 @@ def text_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class _Buckets:
+class _Buckets(dict):
     """Bucket numbers of words, kept while they are few."""
 
     def __init__(self, bits: int) -> None:
-        self.mask = (1 << bits) - 1
-        self.known: dict[str, int] = {}
-
-    def of(self, words: list[str]) -> np.ndarray:
         import xxhash
 
-        known, mask, digest = self.known, self.mask, xxhash.xxh3_64_intdigest
-        if len(known) > 500_000:
-            known.clear()
-        out = []
-        for w in words:
-            b = known.get(w)
-            if b is None:
-                b = known[w] = digest(w) & mask
-            out.append(b)
-        return np.array(out, np.int64)
+        super().__init__()
+        self.mask, self.digest = (1 << bits) - 1, xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: str) -> int:
+        b = self[word] = self.digest(word) & self.mask
+        return b
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > 500_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 @dataclass
@@ -213,11 +210,14 @@ def word_counts(docs: DataFrame, p: ReadingParams) -> np.ndarray:
         total = np.zeros(1 << p.count_bits, np.int64)
         buckets = _Buckets(p.count_bits)
         for pdf in batches:
+            words: list[str] = []
             for t in pdf["text"]:
-                total += np.bincount(buckets.of(text_words(t)), minlength=len(total)) if len(t) > 200_000 else 0
-            short = [w for t in pdf["text"] if len(t) <= 200_000 for w in text_words(t)]
-            if short:
-                total += np.bincount(buckets.of(short), minlength=len(total))
+                words += text_words(t)
+                if len(words) > 500_000:
+                    total += np.bincount(buckets.of(words), minlength=len(total))
+                    words = []
+            if words:
+                total += np.bincount(buckets.of(words), minlength=len(total))
         used = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": used, "n": total[used]})
 

@@ -1,14 +1,23 @@
 """Near-duplicate texts: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
-1. Texts are brought to words parted by one blank; equal ones are merged, only one text of each class goes on.
-2. Each class gets ``bands * rows`` MinHash values over its runs of ``shingle`` words. Classes that agree in a whole
-   band are candidates (one hash join on the band value; AQE splits hot bands).
-3. Candidates carry a compact signature (8 bits of ``sig`` values). It is compared in batches; after each batch a pair
-   is dropped when the posterior probability that its similarity reaches the threshold is below ``miss``.
-4. The survivors' similarity is computed exactly on their words; no result depends on a hash.
-
-Misses: a pair of similarity s is no candidate with probability (1 - s**rows)**bands (0.0006 at s = 0.7, 0.0000003 at
-0.8 for 40 bands of 5), and pruned wrongly with probability ``miss`` at most per batch at the threshold itself.
+1. Texts are brought to words parted by one blank; equal ones are one class, whatever their number. One Python pass over
+   the texts gives digest, bands and signature; all later steps but the shingle sets stay in the JVM.
+2. Each class has ``bands`` band values of ``rows`` MinHash values over its runs of ``shingle`` words. Band values that
+   only one class has are dropped by an aggregate. Classes that share a band value are candidates.
+3. Candidates carry a compact signature: ``sig`` values of 8 bits from hash functions of their own. It is compared in
+   batches; a pair is dropped as soon as the posterior probability that its similarity reaches the threshold is below
+   ``miss``.
+4. The survivors' similarity is computed on their sets of runs (64-bit hashes, so that unequal runs count as equal with a
+   probability of 2**-64 each); each text's set is made once, however many pairs it is in.
+
+``near_links`` gives all links between classes. A band value that n classes share is split into blocks of at most
+``block`` classes, and each pair of blocks is a join key of its own, so one hot value is spread over the cluster.
+``near_groups`` gives groups without listing the links inside them: every class is compared with the first class of each
+of its band values only (a star, linear in the number of classes), stars that are linked make components, and only pairs
+that share a band value across components are compared after that. Its groups are those of ``near_links``.
+
+Misses: a pair of similarity s is no candidate with probability (1 - s**rows)**bands (0.0005 at s = 0.7, 0.0000004 at
+0.8 for 28 bands of 4), and pruned wrongly with probability ``miss`` at most per batch at the threshold itself.
 """
 
 from __future__ import annotations
@@ -16,25 +25,26 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ocrlake.session import cut
+from ocrlake.session import cut, release
 
 
 @dataclass(frozen=True)
 class NearDupParams:
     threshold: float = 0.8
     shingle: int = 5
-    bands: int = 40
-    rows: int = 5
-    sig: int = 64
+    bands: int = 28
+    rows: int = 4
+    sig: int = 64  # a multiple of 8, as eight values are one long
     batch: int = 16
     miss: float = 0.0005
+    block: int = 2_000  # classes of one band value, or copies of one text, that are paired in one piece
     seed: int = 20240229
 
 
@@ -42,11 +52,6 @@ class NearDupParams:
 SCREENSHOT_PARAMS = NearDupParams(threshold=0.7, shingle=3)
 
 
-def word_form(text: str) -> str:
-    """Lower-case words parted by one blank."""
-    return " ".join(text.lower().split())
-
-
 @lru_cache(maxsize=4)
 def _hash_family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
@@ -83,22 +88,15 @@ class _WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def minhash_batch(texts: list[str], p: NearDupParams, words: _WordHashes, cols: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """MinHash values (texts x hash functions) of texts that have a shingle, and the positions of those texts.
-
-    ``cols`` picks hash functions; without it all ``bands * rows`` are computed.
-    """
-    mul, xor = _hash_family(p.bands * p.rows, p.seed)
-    if cols is not None:
-        mul, xor = mul[cols], xor[cols]
-    split = [t.split(" ") for t in texts]
-    keep = np.array([i for i, w in enumerate(split) if len(w) >= p.shingle and w != [""]], dtype=np.int64)
+def shingle_batch(split: list[list[str]], k: int, words: _WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of k words of texts in one array, where each text begins in it, and the positions of the
+    texts that have a run."""
+    keep = np.array([i for i, w in enumerate(split) if len(w) >= k], dtype=np.int64)
     if not len(keep):
-        return np.zeros((0, len(mul)), np.uint32), keep
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), keep
     flat = words.of([w for i in keep for w in split[i]])
     lengths = np.array([len(split[i]) for i in keep])
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    k = p.shingle
     h = np.zeros(len(flat) - k + 1, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
@@ -108,15 +106,20 @@ def minhash_batch(texts: list[str], p: NearDupParams, words: _WordHashes, cols:
     inside = np.ones(len(flat), bool)
     for j in range(1, k):
         inside[starts + lengths - j] = False
-    x = (h[inside[: len(h)]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    first = np.concatenate(([0], np.cumsum(lengths - k + 1)[:-1]))
-    out = np.empty((len(keep), len(mul)), np.uint32)
-    for i in range(len(mul)):
+    return h[inside[: len(h)]], np.concatenate(([0], np.cumsum(lengths - k + 1)[:-1])), keep
+
+
+def minhash_values(h: np.ndarray, first: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """MinHash values (texts x n functions) of texts' shingle hashes."""
+    mul, xor = _hash_family(n, seed)
+    x = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out = np.empty((len(first), n), np.uint32)
+    for i in range(n):
         v = x ^ xor[i]
         v *= mul[i]
         v ^= v >> np.uint32(15)
         out[:, i] = np.minimum.reduceat(v, first)
-    return out, keep
+    return out
 
 
 def _band_values(m: np.ndarray, p: NearDupParams) -> np.ndarray:
@@ -129,59 +132,51 @@ def _band_values(m: np.ndarray, p: NearDupParams) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _signature_columns(p: NearDupParams) -> np.ndarray:
-    """Which hash functions make the compact signature: the first of each band, then the second, and so on."""
-    order = np.arange(p.bands * p.rows).reshape(p.bands, p.rows).T.ravel()
-    return order[: p.sig]
-
-
 def _chunks(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for at in range(0, len(pdf), rows):
             yield pdf.iloc[at : at + rows]
 
 
-def _digest(form: str) -> bytes:
-    return hashlib.md5(form.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+def _digest(words: list[str]) -> bytes:
+    return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
 
-def digests(texts: DataFrame) -> DataFrame:
-    """(id, key, n_words) of ``texts`` (id, text) that have words; ``key`` is the digest of the text's word form."""
+def prints(texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """(id, key, n_words, bands, sig) of ``texts`` (id, text) that have words.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            forms = [word_form(t) for t in pdf["text"]]
-            out = pd.DataFrame({"id": pdf["id"], "key": [_digest(f) for f in forms], "n_words": [f.count(" ") + 1 for f in forms]})
-            yield out[[f != "" for f in forms]]
-
-    return texts.select("id", "text").mapInPandas(run, "id long, key binary, n_words long")
-
-
-def band_arrays(texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """(id, key, bands) of ``texts`` (id, text): for each band 32 bits of its values' hash."""
+    ``key`` is the digest of the words; ``bands`` and ``sig`` are null for texts of fewer words than a run.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _WordHashes()
         for pdf in _chunks(batches):
-            forms = [word_form(t) for t in pdf["text"]]
-            m, keep = minhash_batch(forms, p, words)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[keep], "key": [_digest(forms[i]) for i in keep], "bands": list(_band_values(m, p))})
+            split = [t.lower().split() for t in pdf["text"]]
+            h, first, keep = shingle_batch(split, p.shingle, words)
+            bands: list = [None] * len(split)
+            sig: list = [None] * len(split)
+            if len(keep):
+                low = (minhash_values(h, first, p.sig, p.seed + 1) & np.uint32(0xFF)).astype(np.uint8)
+                for i, b, s in zip(keep.tolist(), _band_values(minhash_values(h, first, p.bands * p.rows, p.seed), p), low.view(np.int64)):
+                    bands[i], sig[i] = b, s
+            out = pd.DataFrame({"id": pdf["id"].to_numpy(), "key": [_digest(w) for w in split], "n_words": [len(w) for w in split], "bands": bands, "sig": sig})
+            yield out[[bool(w) for w in split]]
 
-    return texts.select("id", "text").mapInPandas(run, "id long, key binary, bands array<int>")
+    return texts.select("id", "text").mapInPandas(run, "id long, key binary, n_words long, bands array<int>, sig array<long>")
 
 
-def signatures(texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """(id, sig) of ``texts`` (id, text): the low byte of ``p.sig`` MinHash values."""
-    cols = _signature_columns(p)
+def run_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(key, runs) of ``texts`` (text): the distinct hashes of its runs of k words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _WordHashes()
         for pdf in _chunks(batches):
-            m, keep = minhash_batch([word_form(t) for t in pdf["text"]], p, words, cols)
-            low = (m & np.uint32(0xFF)).astype(np.uint8)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[keep], "sig": [row.tobytes() for row in low]})
+            split = [t.lower().split() for t in pdf["text"]]
+            h, first, keep = shingle_batch(split, k, words)
+            parts = np.split(h.view(np.int64), first[1:]) if len(keep) else []
+            yield pd.DataFrame({"key": [_digest(split[i]) for i in keep], "runs": [np.unique(x) for x in parts]})
 
-    return texts.select("id", "text").mapInPandas(run, "id long, sig binary")
+    return texts.select("text").mapInPandas(run, "key binary, runs array<long>")
 
 
 @lru_cache(maxsize=16)
@@ -206,110 +201,168 @@ def prune_table(threshold: float, sig: int, batch: int, miss: float) -> tuple[tu
     return tuple(out)
 
 
-def bayes_prune(pairs: DataFrame, p: NearDupParams) -> DataFrame:
-    """Pairs (a, b, sig_a, sig_b) that no batch of signature values rules out, as (a, b)."""
-    steps = prune_table(p.threshold, p.sig, p.batch, p.miss)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            a = np.frombuffer(b"".join(pdf["sig_a"]), np.uint8).reshape(len(pdf), -1)
-            b = np.frombuffer(b"".join(pdf["sig_b"]), np.uint8).reshape(len(pdf), -1)
-            live, hits, at = np.arange(len(pdf)), np.zeros(len(pdf), np.int64), 0
-            for n, least in steps:
-                hits = hits + (a[live, at:n] == b[live, at:n]).sum(axis=1)
-                stay = hits >= least
-                live, hits, at = live[stay], hits[stay], n
-            yield pdf.iloc[live][["a", "b"]]
+def agreements(a: Column, b: Column, words: range) -> Column:
+    """How many of the signature bytes in these longs of two signatures agree.
 
-    return pairs.mapInPandas(run, "a long, b long")
-
-
-def _runs(text: str, k: int) -> set:
-    w = text.lower().split()
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    Of the exclusive or, bit 0 of each byte becomes whether any bit of the byte is set.
+    """
+    parts = []
+    for i in words:
+        x = a[i].bitwiseXOR(b[i])
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        parts.append(8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))))
+    return reduce(lambda s, t: s + t, parts)
+
+
+def may_be_similar(a: Column, b: Column, p: NearDupParams) -> Column:
+    """Whether no batch of signature values rules a pair out; later batches are only looked at if the earlier ones pass."""
+    ok, hits, at = None, None, 0
+    for n, least in prune_table(p.threshold, p.sig, p.batch, p.miss):
+        new = agreements(a, b, range(at // 8, n // 8))
+        hits, at = (new if hits is None else hits + new), n
+        ok = hits >= least if ok is None else ok & (hits >= least)
+    return ok
+
+
+def block_pairs(rows: DataFrame, keys: list[str], val: str, n: str, carry: list[str], block: int, apart: Column | None = None) -> DataFrame:
+    """All pairs of rows with equal ``keys`` and different ``val``, once each: the columns as ``{c}_a`` and ``{c}_b``.
+
+    ``n`` says how many rows have a row's keys. They are spread over ceil(n / block) blocks by a hash of ``val``, and each
+    pair of blocks is a join key of its own: no task gets a hot key as a whole. ``apart`` filters pairs in the join.
+    """
+    c = F.ceil(F.col(n) / block).cast("int")
+    rows = rows.withColumn("_c", c).withColumn("_own", F.pmod(F.xxhash64(val), F.col("_c")).cast("int"))
+    cols = [val, *carry]
+    left = rows.select(*keys, F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_c") - 1)).alias("_j"), *(F.col(x).alias(f"{x}_a") for x in cols))
+    right = rows.select(*keys, F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"), *(F.col(x).alias(f"{x}_b") for x in cols))
+    pairs = left.join(right, [*keys, "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col(f"{val}_a") < F.col(f"{val}_b")))
+    pairs = pairs if apart is None else pairs.filter(apart)
+    return pairs.select(*keys, *(f"{x}_{side}" for side in "ab" for x in cols))
 
 
-def exact_similarity(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b, text_a, text_b) whose distinct runs of k words overlap enough.
+@dataclass
+class Fingerprints:
+    """What links and groups are made from.
 
-    Where an id came with several texts, the pair counts with the texts that are most alike.
+    ``members``: (id, node, n_words), one row for each id and different text; ``nodes``: (node, key, rep, sig), one row for
+    each different text; ``shared``: (band, node, first, n, sig), the band values that several nodes have.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"]):
-                ra, rb = _runs(ta, k), _runs(tb, k)
-                both = len(ra & rb)
-                either = len(ra) + len(rb) - both
-                if either and both / either >= threshold - 1e-12:
-                    out.append((a, b, both / either))
-            yield pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+    texts: DataFrame
+    members: DataFrame
+    nodes: DataFrame
+    shared: DataFrame
 
-    return pairs.mapInPandas(run, "a long, b long, similarity double")
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams) -> Fingerprints:
+    """Null ids and texts without words are left out; an id with several texts is a member of each text's class."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    found = cut(prints(rows, p))
+    nodes = found.select("key", F.col("id").alias("rep"), "bands", "sig").dropDuplicates(["key"])
+    # numbers are given once: the checkpoint is what all later steps read
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    members = cut(found.select("id", "key", "n_words").distinct().join(nodes.select("key", "node"), "key").select("id", "node", "n_words"))
+    release(found)
+    bands = nodes.select("node", F.posexplode("bands").alias("no", "value"))
+    code = F.shiftleft(F.col("no").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    bands = bands.select(code.alias("band"), "node")
+    several = bands.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    shared = cut(bands.join(several, "band").join(nodes.select("node", "sig"), "node").select("band", "node", "first", "n", "sig"))
+    return Fingerprints(rows, members, nodes.select("node", "key", "rep", "sig"), shared)
+
+
+def verified(fp: Fingerprints, pairs: DataFrame, p: NearDupParams) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) of nodes that reach the threshold. Only texts that a pair needs are read again."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = fp.nodes.select("node", "key", "rep").join(needed, "node", "left_semi")
+    texts = fp.texts.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    sets = cut(run_sets(texts, p.shingle).join(wanted.select("key", "node"), "key").select("node", "runs"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("rb")), "b")
+    common = F.size(F.array_intersect("ra", "rb"))
+    similarity = both.select("a", "b", common.alias("c"), (F.size("ra") + F.size("rb")).alias("s")).select("a", "b", (F.col("c") / (F.col("s") - F.col("c"))).alias("similarity"))
+    # a text that was delivered twice has its set twice
+    return similarity.filter(F.col("similarity") >= p.threshold - 1e-12).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 @dataclass
 class NearDups:
-    """``members``: (id, rep, n_words) of every text; ``links``: (a, b, similarity) between different texts' representatives."""
+    """``members``: (id, node, n_words) of every text; ``links``: (a, b, similarity) between nodes, the classes of equal texts."""
 
     members: DataFrame
     links: DataFrame
 
 
-def near_duplicates(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams = NearDupParams()) -> NearDups:
-    """All pairs of different texts whose similarity reaches ``p.threshold``, and the classes of equal texts.
+def near_links(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams = NearDupParams()) -> NearDups:
+    """All links between different texts whose similarity reaches ``p.threshold``, and the classes of equal texts.
 
-    Null ids and texts without words are left out. An id that comes with several texts keeps the one with the greatest
-    digest. Texts with fewer words than a run have no similarity to others (their equal copies still form a class).
-    Cost: three passes over the texts that shuffle digests, band values and signatures only, and one shuffle of the texts
-    to verify; ``bands`` short rows per class of equal texts go to the candidate join; nothing is collected.
+    Null ids and texts without words are left out; an id that comes with several texts is in several classes. Texts with
+    fewer words than a run have no similarity to others (their equal copies still form a class). An empty table gives
+    empty tables. Extra columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    keys = digests(rows).groupBy("id").agg(F.max(F.struct("key", "n_words")).alias("k")).select("id", "k.key", "k.n_words")
-    reps = keys.groupBy("key").agg(F.min("id").alias("rep"))
-    members = cut(keys.join(reps, "key").select("id", "rep", "key", "n_words"))
-    own = members.filter("id = rep").select("id", "key")
-
-    # a row that was delivered twice gives its pairs twice; they are made distinct here and below
-    single = band_arrays(rows, p).join(own, ["id", "key"], "left_semi")
-    bands = single.select("id", F.posexplode("bands").alias("no", "value")).select((F.shiftleft(F.col("no").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("band"), "id")
-    left, right = bands.select("band", F.col("id").alias("a")), bands.select("band", F.col("id").alias("b"))
-    candidates = left.join(right, "band").filter("a < b").select("a", "b").distinct()
-
-    sigs = signatures(rows, p)
-    with_a = candidates.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    with_ab = with_a.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    survivors = cut(bayes_prune(with_ab.select("a", "b", "sig_a", "sig_b"), p).distinct())
-
-    # only the texts that some survivor needs go to the last step
-    needed = survivors.select(F.col("a").alias("id")).union(survivors.select("b")).distinct()
-    few = rows.join(needed, "id", "left_semi")
-    pairs = survivors.join(few.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(few.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = exact_similarity(pairs.select("a", "b", "text_a", "text_b"), p.shingle, p.threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    return NearDups(members.select("id", "rep", "n_words"), links)
-
-
-def expand_pairs(found: NearDups, shingle: int) -> DataFrame:
+    fp = fingerprints(docs, id_col, text_col, p)
+    pairs = block_pairs(fp.shared, ["band"], "node", "n", ["sig"], p.block, may_be_similar(F.col("sig_a"), F.col("sig_b"), p))
+    pairs = cut(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    release(fp.shared)
+    return NearDups(fp.members, verified(fp, pairs, p))
+
+
+def near_groups(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams = NearDupParams(), also: DataFrame | None = None) -> DataFrame:
+    """(id, group_id, n_members): the group of every id with a text that has words; the least id names a group.
+
+    Groups are the components of the links of ``near_links``, of equal texts, and of ``also`` (id, tag): ids with the same
+    non-null tag. Cost is linear in the size of a group: links inside a group are not listed.
+    """
+    fp = fingerprints(docs, id_col, text_col, p)
+    stars = fp.shared.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("sig").alias("sig_b")).distinct()
+    stars = stars.join(fp.nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").filter(may_be_similar(F.col("sig_a"), F.col("sig_b"), p))
+    near = cut(verified(fp, cut(stars.select("a", "b")), p).select("a", "b"))
+    parts = cut(connected_groups(fp.nodes.select(F.col("node").alias("id")), near))
+    # what is left are band values that several components have
+    shared = fp.shared.select("band", "node", "sig").join(parts.select(F.col("id").alias("node"), F.col("group_id").alias("part")), "node")
+    torn = shared.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("band", "n")
+    apart = (F.col("part_a") != F.col("part_b")) & may_be_similar(F.col("sig_a"), F.col("sig_b"), p)
+    across = block_pairs(shared.join(torn, "band"), ["band"], "node", "n", ["part", "sig"], p.block, apart)
+    across = cut(across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    more = verified(fp, across, p).select("a", "b")
+    release(fp.shared)
+    # ids hang on their nodes, and ids of one tag on its first: negative numbers stand for nodes
+    ids = fp.members.select("id", (-F.col("node") - 1).alias("node"))
+    edges = near.union(more).select((-F.col("a") - 1).alias("a"), (-F.col("b") - 1).alias("b")).union(ids.select(F.col("node").alias("a"), F.col("id").alias("b")))
+    every = ids.select("id")
+    if also is not None:
+        tagged = also.select(F.col("id").cast("long").alias("id"), "tag").filter("id is not null and tag is not null").distinct()
+        first = tagged.groupBy("tag").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("tag", "a")
+        edges = edges.union(tagged.join(first, "tag").select("a", F.col("id").alias("b")))
+        every = every.union(tagged.select("id"))
+    found = cut(connected_groups(every, edges).select("id", F.col("group_id").alias("part")))
+    names = found.groupBy("part").agg(F.min("id").alias("group_id"), F.count("*").alias("n_members"))
+    return found.join(names, "part").select("id", "group_id", "n_members")
+
+
+def expand_pairs(found: NearDups, p: NearDupParams) -> DataFrame:
     """All pairs of ids (id_a < id_b): links between texts, and equal texts that have at least one run of words."""
     m = found.members
-    m1, m2 = m.select(F.col("rep").alias("a"), F.col("id").alias("id1")), m.select(F.col("rep").alias("b"), F.col("id").alias("id2"))
-    across = found.links.select("a", "b").join(m1, "a").join(m2, "b").select("id1", "id2")
-    copied = m.filter((F.col("id") != F.col("rep")) & (F.col("n_words") >= shingle)).select(F.col("rep").alias("a")).distinct()
-    classes = m1.join(copied, "a", "left_semi")
-    within = classes.join(classes.select("a", F.col("id1").alias("id2")), "a").filter("id1 < id2").select("id1", "id2")
+    sizes = m.groupBy("node").agg(F.count("*").alias("n"))
+    # both classes of a link may be hot: the copies of each are taken in blocks
+    blocks = F.ceil(F.col("n") / p.block).cast("int")
+    sized = sizes.select("node", blocks.alias("c"))
+    links = found.links.select("a", "b").join(sized.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(sized.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+    links = links.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ca") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cb") - 1)))
+    placed = m.join(sized, "node").select("node", "id", F.pmod(F.xxhash64("id"), F.col("c")).cast("int").alias("k"))
+    across = links.join(placed.select(F.col("node").alias("a"), F.col("k").alias("i"), F.col("id").alias("id1")), ["a", "i"])
+    across = across.join(placed.select(F.col("node").alias("b"), F.col("k").alias("j"), F.col("id").alias("id2")), ["b", "j"]).select("id1", "id2")
+    copied = m.filter(F.col("n_words") >= p.shingle).join(sizes.filter("n > 1"), "node")
+    within = block_pairs(copied, ["node"], "id", "n", [], p.block).select("id_a", "id_b")
     return across.union(within).select(F.least("id1", "id2").alias("id_a"), F.greatest("id1", "id2").alias("id_b")).filter("id_a < id_b")
 
 
-def same_hash_pairs(docs: DataFrame, id_col: str, hash_col: str) -> DataFrame:
-    """Pairs of different ids with the same non-null hash."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(hash_col).alias("h")).filter("id is not null and h is not null").distinct()
-    repeated = rows.groupBy("h").count().filter("count > 1").select("h")
-    rows = rows.join(repeated, "h", "left_semi")
-    a, b = rows.select("h", F.col("id").alias("id_a")), rows.select("h", F.col("id").alias("id_b"))
-    return a.join(b, "h").filter("id_a < id_b").select("id_a", "id_b")
+def same_tag_pairs(docs: DataFrame, id_col: str, tag_col: str, block: int = NearDupParams.block) -> DataFrame:
+    """Pairs (id_a < id_b) of different ids with the same non-null tag."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(tag_col).alias("tag")).filter("id is not null and tag is not null").distinct()
+    repeated = rows.groupBy("tag").agg(F.count("*").alias("n")).filter("n > 1")
+    pairs = block_pairs(rows.join(repeated, "tag"), ["tag"], "id", "n", [], block)
+    return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
 def connected_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -329,7 +382,8 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -
         # small star: every neighbour below the node, and the node, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        pairs = cut(small)
+        last_pairs, pairs = pairs, cut(small)
+        release(last_pairs)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break

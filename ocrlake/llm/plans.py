@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ocrlake.llm import langid, leaks, lookalike, mixing, neardup, reading, scannoise
 from ocrlake.sources.tables import table
@@ -15,9 +16,14 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     shots = table(spark, base, "screenshots")
     p = neardup.SCREENSHOT_PARAMS
-    found = neardup.near_duplicates(shots, "id", "ocr_text", p)
-    by_text = neardup.expand_pairs(found, p.shingle)
-    return by_text.union(neardup.same_hash_pairs(shots, "id", "content_hash")).distinct()
+    by_text = neardup.expand_pairs(neardup.near_links(shots, "id", "ocr_text", p), p)
+    return by_text.union(neardup.same_tag_pairs(shots, "id", "content_hash")).distinct()
+
+
+def p3_groups(spark: SparkSession, base: str) -> DataFrame:
+    """The group of every screenshot that has text or a hash: one row each, no pairs."""
+    shots = table(spark, base, "screenshots")
+    return neardup.near_groups(shots, "id", "ocr_text", neardup.SCREENSHOT_PARAMS, shots.select("id", F.col("content_hash").alias("tag")))
 
 
 def _repaired(spark: SparkSession, base: str) -> DataFrame:
@@ -52,6 +58,7 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,

@@ -5,7 +5,7 @@ import unicodedata
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -46,35 +46,79 @@ def brute_pairs(rows, k, least):
     return out
 
 
+def brute_groups(ids, pairs):
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        ra, rb = root(a), root(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    return {i: root(i) for i in ids}
+
+
 @pytest.mark.parametrize("k,least", [(3, 0.7), (5, 0.8)])
 def test_near_duplicates_against_all_pairs(spark, k, least):
     rows = near_corpus()
     extra = [(9001, None), (9002, ""), (9003, " \n "), (9004, "one two"), (9005, "ONE  two"), (None, "w1 w2 w3"), rows[0], (9006, rows[0][1]), (9007, "w1 " * 30_000), (9008, "w1 " * 30_000)]
+    extra += [(9009, rows[3][1]), (9009, rows[20][1])]  # one id with two texts
     df = spark.createDataFrame(rows + extra, "id long, text string").withColumn("band", F.lit(1)).withColumn("a", F.lit(2)).withColumn("key", F.lit(3))
-    p = neardup.NearDupParams(threshold=least, shingle=k)
-    found = neardup.near_duplicates(df, "id", "text", p)
-    got = {tuple(r) for r in neardup.expand_pairs(found, k).collect()}
-    truth = brute_pairs([r for r in rows + extra if r[0]], k, least)
-    assert got <= truth and len(truth - got) <= 0.005 * len(truth)
-    assert (9007, 9008) in got and (9004, 9005) not in got
-    members = {r["id"]: r["rep"] for r in found.members.collect()}
-    assert members[9006] == 1 and members[9005] == 9004 and 9001 not in members and 9003 not in members
+    p = neardup.NearDupParams(threshold=least, shingle=k, block=3)
+    found = neardup.near_links(df, "id", "text", p)
+    got = sorted(tuple(r) for r in neardup.expand_pairs(found, p).collect())
+    got_set = set(got)
+    sets = [(i, runs(t, k)) for i, t in rows + extra if i and t]
+    truth = {(a, b) for a, x in sets for b, y in sets if a < b and x | y and len(x & y) / len(x | y) >= least}
+    assert got_set <= truth and len(truth - got_set) <= 0.005 * len(truth)
+    assert (9007, 9008) in got_set and (9004, 9005) not in got_set
+    nodes = {}
+    for r in found.members.collect():
+        nodes.setdefault(r["id"], set()).add(r["node"])
+    assert nodes[9006] == nodes[1] and nodes[9005] == nodes[9004] and 9001 not in nodes and 9003 not in nodes and len(nodes[9009]) == 2
+    groups = {r["id"]: r["group_id"] for r in neardup.near_groups(df, "id", "text", p).collect()}
+    assert groups == brute_groups(nodes, got_set | {(9004, 9005)})
 
 
 def test_near_duplicates_of_nothing(spark):
-    df = spark.createDataFrame([], "id long, text string, h string")
-    found = neardup.near_duplicates(df, "id", "text")
+    df = spark.createDataFrame([], "id long, text string, tag string")
+    found = neardup.near_links(df, "id", "text")
     assert found.links.count() == 0 and found.members.count() == 0
-    assert neardup.same_hash_pairs(df, "id", "h").count() == 0
+    assert neardup.same_tag_pairs(df, "id", "tag").count() == 0 and neardup.near_groups(df, "id", "text", also=df).count() == 0
 
 
 def test_one_class_holds_a_third_of_all_rows(spark):
     rows = [(i, "same text of seven words or so" if i % 3 == 0 else f"text number {i} is by itself {i * 7}", "h" if i < 3 else None) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, text string, h string")
-    found = neardup.near_duplicates(df, "id", "text")
+    p = neardup.NearDupParams(block=7)
+    found = neardup.near_links(df, "id", "text", p)
     assert found.links.count() == 0
-    assert neardup.expand_pairs(found, 5).count() == 100 * 99 // 2
-    assert neardup.same_hash_pairs(df, "id", "h").count() == 3
+    assert neardup.expand_pairs(found, p).count() == 100 * 99 // 2
+    assert neardup.same_tag_pairs(df, "id", "h", 2).count() == 3
+    groups = neardup.near_groups(df, "id", "text", p, df.select("id", F.col("h").alias("tag"))).collect()
+    assert {r["n_members"] for r in groups if r["group_id"] == 0} == {102} and sum(r["n_members"] == 1 for r in groups) == 198
+
+
+def test_a_thousand_small_changes_make_one_group(spark):
+    rnd = random.Random(3)
+    base = [rnd.choice(WORDS) for _ in range(120)]
+    rows = []
+    for i in range(1000):
+        w = list(base)
+        w[rnd.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    groups = neardup.near_groups(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
+    assert len(groups) == 1000 and {(r["group_id"], r["n_members"]) for r in groups} == {(0, 1000)}
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 3), min_size=64, max_size=64), st.lists(st.integers(0, 3), min_size=64, max_size=64))
+def test_agreements_count_equal_bytes(spark, x, y):
+    as_longs = lambda v: np.array(v, np.uint8).view(np.int64).tolist()
+    df = spark.createDataFrame([(as_longs(x), as_longs(y))], "a array<long>, b array<long>")
+    assert df.select(neardup.agreements(F.col("a"), F.col("b"), range(8))).first()[0] == sum(p == q for p, q in zip(x, y))
 
 
 def test_prune_table_keeps_pairs_at_the_threshold():

@@ -201,28 +201,42 @@ def prune_table(threshold: float, sig: int, batch: int, miss: float) -> tuple[tu
     return tuple(out)
 
 
-def agreements(a: Column, b: Column, words: range) -> Column:
-    """How many of the signature bytes in these longs of two signatures agree.
+_BYTES = 0x0101010101010101
 
-    Of the exclusive or, bit 0 of each byte becomes whether any bit of the byte is set.
+
+def _set_bytes(x: Column) -> Column:
+    """``x`` with bit 0 of each byte saying whether any bit of the byte is set (other bits are of no meaning)."""
+    for shift in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return x
+
+
+def agreements(a: Column, b: Column) -> Column:
+    """For each long of two signatures, how many of its eight bytes agree.
+
+    Steps are bound to lambda variables, as a plain expression would repeat its parts until it is too long to compile.
     """
-    parts = []
-    for i in words:
-        x = a[i].bitwiseXOR(b[i])
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        parts.append(8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))))
-    return reduce(lambda s, t: s + t, parts)
+    fold = lambda shift: lambda v: v.bitwiseOR(F.shiftrightunsigned(v, shift))
+    x = F.zip_with(a, b, lambda p, q: p.bitwiseXOR(q))
+    for shift in (4, 2, 1):
+        x = F.transform(x, fold(shift))
+    return F.transform(x, lambda v: 8 - F.bit_count(v.bitwiseAND(F.lit(_BYTES))))
 
 
 def may_be_similar(a: Column, b: Column, p: NearDupParams) -> Column:
-    """Whether no batch of signature values rules a pair out; later batches are only looked at if the earlier ones pass."""
-    ok, hits, at = None, None, 0
-    for n, least in prune_table(p.threshold, p.sig, p.batch, p.miss):
-        new = agreements(a, b, range(at // 8, n // 8))
-        hits, at = (new if hits is None else hits + new), n
-        ok = hits >= least if ok is None else ok & (hits >= least)
-    return ok
+    """Whether no batch of signature values rules a pair out; later batches are only looked at if the first one passes."""
+    steps = prune_table(p.threshold, p.sig, p.batch, p.miss)
+
+    def passes(h: Column) -> Column:
+        ok, hits, at = F.lit(True), F.lit(0), 0
+        for n, least in steps:
+            hits = reduce(lambda s, i: s + h[i], range(at // 8, n // 8), hits)
+            at, ok = n, ok & (hits >= least)
+        return ok
+
+    n, least = steps[0]
+    differ = reduce(lambda s, t: s + t, (F.bit_count(_set_bytes(a[i].bitwiseXOR(b[i])).bitwiseAND(F.lit(_BYTES))) for i in range(n // 8)))
+    return (differ <= n - least) & F.element_at(F.transform(F.array(agreements(a, b)), passes), 1)
 
 
 def block_pairs(rows: DataFrame, keys: list[str], val: str, n: str, carry: list[str], block: int, apart: Column | None = None) -> DataFrame:

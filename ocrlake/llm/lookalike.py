@@ -3,12 +3,15 @@
 1. Signs with one meaning and several code points are folded: composed accents (NFC), full-width forms, kinds of
    hyphens and apostrophes, ligatures; invisible characters go; runs of blanks become one blank.
 2. Script-aware repair: for each token the dominant script of its letters is found. A token of mixed scripts has its
-   look-alike letters replaced by those of the dominant script when the result occurs in the corpus vocabulary. A token
-   made of look-alikes only takes the script of the text around it.
+   look-alike letters replaced by those of the dominant script when the result occurs in the corpus vocabulary.
 
-The vocabulary is the repaired spellings of all tokens of the corpus that is compared: a spelling counts when it occurs
-untouched or when at least two different raw spellings lead to it. A token that nothing else in the corpus looks like
-therefore stays as it is; it cannot meet anything either way.
+The vocabulary is all tokens of all texts that are compared, whole texts and not only their titles. Two kinds of tokens
+need more than this method, as they must meet what they look like too:
+
+- A token made of look-alikes only is of one script, but the line around it is not: the line's script decides.
+- A spelling that occurs nowhere untouched counts as vocabulary when two different raw spellings lead to it.
+
+A token that nothing else in the corpus looks like stays as it is; it cannot meet anything either way.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocrlake.llm.blocks import spread_join
 from ocrlake.session import cut
 
 # Letters of other scripts (left) that look like a Latin letter (right)
@@ -143,21 +147,26 @@ def _repair_all(folded: str) -> str:
     return " ".join(candidate(t, script) for t in folded.split(" "))
 
 
-def canonical_texts(rows: DataFrame) -> DataFrame:
+def vocabulary_of(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The spellings of ``wanted`` (fixed) that are tokens of ``corpus`` (text): one pass, distinct in each task first."""
+    tokens = corpus.filter("text is not null").select(F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("fixed")).distinct()
+    return tokens.join(wanted.select("fixed").distinct(), "fixed", "left_semi")
+
+
+def canonical_texts(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     """(key, kind, canonical) of texts (key, kind, text); null texts are left out, blank ones have canonical ''.
 
-    Only tokens that the repair would change are looked up in the vocabulary; texts without such tokens are shuffled no
-    further than for the vocabulary itself. Equal tokens are merged before the shuffle.
+    ``corpus`` (text) gives the vocabulary. A key that comes with several texts of one form has that form once. Only
+    tokens that the repair would change are looked up; texts without such tokens are not shuffled for it.
     """
-    forms = cut(folded_texts(rows.filter("text is not null")))
+    forms = cut(folded_texts(rows.filter("text is not null")).distinct())
     changed = forms.filter("folded <> repaired")
     # both lists keep their order, token by token
     pairs = changed.select("key", "kind", "folded", F.posexplode(F.arrays_zip(F.split("folded", " ").alias("raw"), F.split("repaired", " ").alias("fixed"))).alias("pos", "t")).select("key", "kind", "folded", "pos", "t.raw", "t.fixed")
     wanted = pairs.filter("raw <> fixed").select("fixed", "raw").distinct()
-    tokens = forms.select(F.explode(F.split("folded", " ")).alias("fixed")).distinct()
-    untouched = wanted.select("fixed").distinct().join(tokens, "fixed", "left_semi")
+    titles = forms.select(F.col("folded").alias("text"))
     twice = wanted.groupBy("fixed").agg(F.count("*").alias("n")).filter("n >= 2").select("fixed")
-    vocabulary = untouched.union(twice).distinct().withColumn("known", F.lit(True))
+    vocabulary = vocabulary_of(corpus.select("text").union(titles), wanted).union(twice).distinct().withColumn("known", F.lit(True))
     mended = pairs.join(vocabulary, "fixed", "left").withColumn("token", F.when((F.col("raw") != F.col("fixed")) & F.col("known").isNull(), F.col("raw")).otherwise(F.col("fixed")))
     texts = mended.groupBy("kind", "key", "folded").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("ts"))
     texts = texts.select("key", "kind", F.array_join(F.transform("ts", lambda x: x["token"]), " ").alias("canonical"))
@@ -171,13 +180,14 @@ def first_line(c):
 def same_reading(requests: DataFrame, screenshots: DataFrame) -> DataFrame:
     """(request_id, screenshot_id): the query reads the same as the whole first line of the screenshot's text.
 
-    Blank queries and null ids take no part. Copies are merged before the join on the canonical form, so its two sides
-    hold each (form, id) once; hot forms are split by AQE.
+    Blank queries and null ids take no part; a row that comes twice, or an id with several texts, counts once for each
+    form. Forms that very many requests or screenshots share are joined in blocks.
     """
     q = requests.select(F.col("request_id").cast("long").alias("key"), F.lit("q").alias("kind"), F.col("query_text").alias("text"))
     s = screenshots.select(F.col("id").cast("long").alias("key"), F.lit("s").alias("kind"), first_line(F.col("ocr_text")).alias("text"))
     rows = q.union(s).filter("key is not null and text is not null").distinct()
-    canonical = cut(canonical_texts(rows).filter("canonical <> ''").distinct())
+    corpus = screenshots.select(F.col("ocr_text").alias("text")).union(q.select("text"))
+    canonical = cut(canonical_texts(rows, corpus).filter("canonical <> ''").distinct())
     left = canonical.filter("kind = 'q'").select("canonical", F.col("key").alias("request_id"))
     right = canonical.filter("kind = 's'").select("canonical", F.col("key").alias("screenshot_id"))
-    return left.join(right, "canonical").select("request_id", "screenshot_id").distinct()
+    return spread_join(left, right, "canonical").select("request_id", "screenshot_id").distinct()

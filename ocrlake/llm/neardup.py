@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ocrlake.llm.blocks import block_pairs, spread_join
 from ocrlake.session import cut, release
 
 
@@ -239,22 +240,6 @@ def may_be_similar(a: Column, b: Column, p: NearDupParams) -> Column:
     return (differ <= n - least) & F.element_at(F.transform(F.array(agreements(a, b)), passes), 1)
 
 
-def block_pairs(rows: DataFrame, keys: list[str], val: str, n: str, carry: list[str], block: int, apart: Column | None = None) -> DataFrame:
-    """All pairs of rows with equal ``keys`` and different ``val``, once each: the columns as ``{c}_a`` and ``{c}_b``.
-
-    ``n`` says how many rows have a row's keys. They are spread over ceil(n / block) blocks by a hash of ``val``, and each
-    pair of blocks is a join key of its own: no task gets a hot key as a whole. ``apart`` filters pairs in the join.
-    """
-    c = F.ceil(F.col(n) / block).cast("int")
-    rows = rows.withColumn("_c", c).withColumn("_own", F.pmod(F.xxhash64(val), F.col("_c")).cast("int"))
-    cols = [val, *carry]
-    left = rows.select(*keys, F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_c") - 1)).alias("_j"), *(F.col(x).alias(f"{x}_a") for x in cols))
-    right = rows.select(*keys, F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"), *(F.col(x).alias(f"{x}_b") for x in cols))
-    pairs = left.join(right, [*keys, "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col(f"{val}_a") < F.col(f"{val}_b")))
-    pairs = pairs if apart is None else pairs.filter(apart)
-    return pairs.select(*keys, *(f"{x}_{side}" for side in "ab" for x in cols))
-
-
 @dataclass
 class Fingerprints:
     """What links and groups are made from.
@@ -358,14 +343,9 @@ def expand_pairs(found: NearDups, p: NearDupParams) -> DataFrame:
     """All pairs of ids (id_a < id_b): links between texts, and equal texts that have at least one run of words."""
     m = found.members
     sizes = m.groupBy("node").agg(F.count("*").alias("n"))
-    # both classes of a link may be hot: the copies of each are taken in blocks
-    blocks = F.ceil(F.col("n") / p.block).cast("int")
-    sized = sizes.select("node", blocks.alias("c"))
-    links = found.links.select("a", "b").join(sized.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(sized.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
-    links = links.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ca") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cb") - 1)))
-    placed = m.join(sized, "node").select("node", "id", F.pmod(F.xxhash64("id"), F.col("c")).cast("int").alias("k"))
-    across = links.join(placed.select(F.col("node").alias("a"), F.col("k").alias("i"), F.col("id").alias("id1")), ["a", "i"])
-    across = across.join(placed.select(F.col("node").alias("b"), F.col("k").alias("j"), F.col("id").alias("id2")), ["b", "j"]).select("id1", "id2")
+    links = found.links.select("a", "b")
+    across = spread_join(links, m.select(F.col("node").alias("a"), F.col("id").alias("id1")), "a", p.block)
+    across = spread_join(across, m.select(F.col("node").alias("b"), F.col("id").alias("id2")), "b", p.block).select("id1", "id2")
     copied = m.filter(F.col("n_words") >= p.shingle).join(sizes.filter("n > 1"), "node")
     within = block_pairs(copied, ["node"], "id", "n", [], p.block).select("id_a", "id_b")
     return across.union(within).select(F.least("id1", "id2").alias("id_a"), F.greatest("id1", "id2").alias("id_b")).filter("id_a < id_b")

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ocrlake.llm import langid, leaks, lookalike, mixing, neardup, reading, scannoise
+from ocrlake.llm import blocks, langid, leaks, lookalike, mixing, neardup, reading, scannoise
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -187,6 +187,28 @@ def test_disguised_titles_meet(spark):
     assert lookalike.same_reading(q.limit(0), s.limit(0)).count() == 0
 
 
+def test_repeated_titles_and_the_vocabulary_of_whole_texts(spark):
+    rows = [(1, "Repоrt A\nx"), (1, "Repоrt\u200b A\ny"), (2, "Rероrt\nx Report y"), (3, "Qаz\nx")]  # o and e, p, o are Cyrillic
+    q = spark.createDataFrame([(7, "Report A"), (8, "Report"), (9, "Qaz")], "request_id long, query_text string")
+    s = spark.createDataFrame(rows, "id long, ocr_text string")
+    assert {tuple(r) for r in lookalike.same_reading(q, s).collect()} == {(7, 1), (8, 2), (9, 3)}
+    canonical = {(r["key"], r["canonical"]) for r in lookalike.canonical_texts(s.selectExpr("id AS key", "'s' AS kind", "split(ocr_text, '\n')[0] AS text"), s.selectExpr("ocr_text AS text")).collect()}
+    assert canonical == {(1, "Report A"), (2, "Report"), (3, "Qаz")}  # nothing untouched leads to the last
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_spread_joins_are_joins(spark, block):
+    rnd = random.Random(block)
+    a = [(rnd.choice([1, 1, 1, 2, 3, None]), i) for i in range(40)]
+    b = [(rnd.choice([1, 1, 2, 4, None]), i) for i in range(30)]
+    left, right = spark.createDataFrame(a, "k int, x int"), spark.createDataFrame(b, "k int, y int")
+    want = sorted((k, x, y) for k, x in a for m, y in b if k == m and k is not None)
+    assert sorted((r["k"], r["x"], r["y"]) for r in blocks.spread_join(left, right, "k", block).collect()) == want
+    sized = left.filter("k is not null").join(left.groupBy("k").count().withColumnRenamed("count", "n"), "k")
+    pairs = blocks.block_pairs(sized, ["k"], "x", "n", [], block).collect()
+    assert sorted((r["k"], *sorted((r["x_a"], r["x_b"]))) for r in pairs) == sorted((k, x, y) for k, x in a for m, y in a if k == m and k is not None and x < y)
+
+
 def test_words_of_other_scripts_stay():
     for word in ("Москва", "Ελλάδα", "東京"):
         assert lookalike.candidate(word, "LATIN") == word
@@ -253,7 +275,7 @@ def longest_phrases(text, training):
 def test_parse_against_substring_search(training, texts):
     points = np.array(sorted({ord(c) for c in training}), np.uint32)
     table = langid.SuffixAutomaton(langid.encode(training, points).astype(np.int64), len(points) + 1).table
-    counts = langid.phrase_counts(texts, langid.LanguageModel(("x",), points, [table])) if texts else np.zeros((0, 1))
+    counts = langid.phrase_counts(texts, langid.LanguageModel(("x",), points, [table], np.ones(1))) if texts else np.zeros((0, 1))
     assert [int(c) for c in counts[:, 0]] == [longest_phrases(t, training) for t in texts]
 
 

@@ -1,15 +1,18 @@
 """Repair of text from scanned pages.
 
-1. Words of all texts are counted. Pairs of words at most ``window`` apart are counted over all texts, and skip-gram
-   vectors are made from the pair counts: the factors of the shifted positive pointwise mutual information, which is
-   what skip-gram training with negative sampling converges to (Levy and Goldberg 2014).
+1. Words of all texts are counted. A word is frequent if it makes up ``least_share`` of all words (so there are at most
+   1 / ``least_share`` of them, whatever the collection). Pairs of frequent words at most ``window`` apart are counted
+   over all texts, and skip-gram vectors with negative sampling are trained on the counts: in each round every task
+   trains on its part of the pairs, starting from the same vectors, and the results are averaged by the amount of
+   training behind them. Pair counts never leave the executors.
 2. In records that look scanned, lines with nothing but a page number and running titles are set apart, and words
    hyphenated across lines are joined.
 3. A rare word is linked to frequent words that a plausible glyph edit leads to; the link counts when the frequent word
    is much more frequent and, by the vectors, fits the words around it.
 4. What remains is reflowed into paragraphs.
 
-A record looks scanned when many of its lines go on in lower case on the next line.
+A record looks scanned when many of its lines go on in lower case on the next line, or when it has page numbers between
+such lines.
 """
 
 from __future__ import annotations
@@ -25,22 +28,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocrlake.session import cut, release
+
 
 @dataclass(frozen=True)
 class ScanParams:
-    vocabulary: int = 20_000  # frequent words kept, and words that have vectors at most
-    least_count: int = 10  # texts' words below this count are rare in any case
-    least_share: float = 2e-6  # ... or below this share of all words
+    least_count: int = 10  # words below this count are rare in any case
+    least_share: float = 2e-6  # ... or below this share of all words: bounds the frequent words by 500 000
     ratio: float = 20.0  # a frequent word must be so many times as frequent as the rare one
     accent_ratio: float = 40.0  # ... where only an accent differs
     sure_ratio: float = 100.0  # from here on the rare word's own contexts count less
     window: int = 3
     dims: int = 24
-    shift: float = 1.0
+    rounds: int = 4  # of training, each with a sample per pair on average
+    negatives: int = 5
+    rate: float = 0.3
+    flatten: float = 0.75  # power of a pair's count, as very frequent words say less
+    seed: int = 3
     least_fit: float = -0.15  # least mean cosine of a candidate with its neighbours
     least_wraps: int = 2
     wrap_share: float = 0.3
-    widest: int = 110
     similar_titles: float = 0.78
 
 
@@ -106,7 +113,7 @@ def pair_counts(texts: DataFrame, vocabulary: list[str], window: int) -> DataFra
     """(pair, n): how often frequent words i and j stand at most ``window`` words apart; pair = i * size + j, i <= j."""
     spark = texts.sparkSession
     size = len(vocabulary)
-    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})  # at most ScanParams.vocabulary words
+    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})  # at most 1 / least_share words
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
@@ -148,36 +155,90 @@ def pair_counts(texts: DataFrame, vocabulary: list[str], window: int) -> DataFra
     return texts.select("text").mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def skipgram_vectors(pairs: np.ndarray, counts: np.ndarray, size: int, p: ScanParams) -> np.ndarray:
-    """Unit vectors (size x dims) from pair counts, by randomised factorisation of the sparse matrix."""
-    if not len(pairs) or not size:
-        return np.zeros((size, p.dims), np.float32)
-    i, j, n = pairs // size, pairs % size, counts.astype(np.float64)
-    off = i != j
-    i, j, n = np.concatenate([i, j[off]]), np.concatenate([j, i[off]]), np.concatenate([n, n[off]])
-    rows = np.bincount(i, n, size)
-    cols = np.bincount(j, n**1.0, size) ** 0.75  # context distribution smoothing
-    pmi = np.log(n * cols.sum() / (rows[i] * cols[j])) - np.log(p.shift)
-    keep = pmi > 0
-    i, j, v = i[keep], j[keep], pmi[keep]
-    order = np.lexsort((j, i))
-    i, j, v = i[order], j[order], v[order]
-    starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, np.int64)
-
-    def times(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((size, x.shape[1]))
-        if len(i):
-            out[i[starts]] = np.add.reduceat(v[:, None] * x[j], starts, axis=0)
-        return out
+_MINI = 8192  # samples of one step
+
+
+class SkipGram:
+    """Word and context vectors, trained by steps of negative sampling with a step size of each row's own."""
+
+    def __init__(self, words: np.ndarray, contexts: np.ndarray, noise: np.ndarray, p: ScanParams) -> None:
+        self.words, self.contexts, self.p = words.copy(), contexts.copy(), p
+        self.noise = noise  # cumulative distribution of negatives
+        self.word_sq, self.context_sq = np.full(len(words), 1e-3, np.float32), np.full(len(words), 1e-3, np.float32)
+        self.samples = np.zeros(len(words))
+
+    def step(self, i: np.ndarray, j: np.ndarray, rng: np.random.Generator) -> None:
+        """One step on samples (word i, context j) against negatives that all samples share."""
+        other = np.searchsorted(self.noise, rng.random(64), side="right")
+        w, c, o = self.words[i], self.contexts[j], self.contexts[other]
+        pull = 1 - _sigmoid(np.einsum("ij,ij->i", w, c))[:, None]
+        push = _sigmoid(w @ o.T) * (self.p.negatives / len(other))
+        self._add(self.words, self.word_sq, i, pull * c - push @ o)
+        self._add(self.contexts, self.context_sq, np.concatenate([j, other]), np.concatenate([pull * w, -push.T @ w]))
+        self.samples += np.bincount(i, minlength=len(self.words)) + np.bincount(j, minlength=len(self.words))
+
+    def _add(self, rows: np.ndarray, squares: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        total, row = np.add.reduceat(grad[order], first, axis=0), at[first]
+        squares[row] += np.square(total).mean(axis=1)
+        rows[row] += self.p.rate * total / np.sqrt(squares[row])[:, None]
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
 
-    q = np.random.default_rng(3).standard_normal((size, min(size, p.dims + 8)))
-    for _ in range(5):
-        q, _ = np.linalg.qr(times(q))
-    values, basis = np.linalg.eigh(q.T @ times(q))
-    top = np.argsort(-np.abs(values))[: p.dims]
-    vec = (q @ basis[:, top]) * np.sqrt(np.abs(values[top]))
-    norm = np.linalg.norm(vec, axis=1, keepdims=True)
-    return (vec / np.maximum(norm, 1e-9)).astype(np.float32)
+def skipgram_vectors(pairs: DataFrame, counts: np.ndarray, p: ScanParams) -> np.ndarray:
+    """Unit vectors (words x dims) trained on pair counts (pair, n) as ``pair_counts`` gives them.
+
+    ``counts`` are the words' own counts. Each round sends the vectors to the tasks and brings back one averaged row per
+    word; both are bounded by the number of frequent words.
+    """
+    size = len(counts)
+    rng = np.random.default_rng(p.seed)
+    words = ((rng.random((size, p.dims)) - 0.5) / p.dims).astype(np.float32)
+    contexts = np.zeros((size, p.dims), np.float32)
+    if not size:
+        return words
+    noise = np.cumsum(counts.astype(np.float64) ** 0.75)
+    noise = (noise / noise[-1]).astype(np.float64)
+    # a fixed order that mixes words, so that a task retried trains alike
+    table = cut(pairs.withColumn("mix", F.xxhash64("pair")).repartition("pair").sortWithinPartitions("mix").select("pair", "n"))
+    whole = table.agg(F.count("*").alias("k"), F.sum(F.pow("n", F.lit(p.flatten))).alias("w")).first()
+    each = whole["w"] / whole["k"] if whole["k"] else 1.0  # weight of one sample
+    spark = table.sparkSession
+    for number in range(p.rounds if whole["k"] else 0):
+        shared = spark.sparkContext.broadcast((words, contexts))
+
+        def run(batches: Iterator[pd.DataFrame], number=number, shared=shared) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            model = SkipGram(*shared.value, noise, p)
+            rng = np.random.default_rng([p.seed, number, TaskContext.get().partitionId()])
+            for pdf in batches:
+                pair, weight = pdf["pair"].to_numpy(), np.cumsum(pdf["n"].to_numpy(np.float64) ** p.flatten)
+                if not len(pair):
+                    continue
+                todo = int(np.ceil(weight[-1] / each))
+                for at in range(0, todo, _MINI):
+                    k = np.searchsorted(weight, rng.random(min(_MINI, todo - at)) * weight[-1], side="right").clip(0, len(pair) - 1)
+                    i, j = pair[k] // size, pair[k] % size
+                    turn = rng.random(len(k)) < 0.5
+                    model.step(np.where(turn, j, i), np.where(turn, i, j), rng)
+            row = np.flatnonzero(model.samples)
+            yield pd.DataFrame({"row": row, "weight": model.samples[row], "v": list(np.hstack([model.words[row], model.contexts[row]]))})
+
+        got = table.mapInPandas(run, "row long, weight double, v array<float>").groupBy("row")
+        mean = [(F.sum(F.col("v")[d] * F.col("weight")) / F.sum("weight")).cast("float") for d in range(2 * p.dims)]
+        back = got.agg(F.array(*mean).alias("v")).toPandas()
+        if len(back):
+            v = np.array(back["v"].tolist(), np.float32)
+            words[back["row"]], contexts[back["row"]] = v[:, : p.dims], v[:, p.dims :]
+        shared.unpersist()
+    release(table)
+    return words / np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-9)
 
 
 @dataclass
@@ -188,15 +249,14 @@ class ScanModel:
 
 
 def learn(texts: DataFrame, p: ScanParams) -> ScanModel:
-    """Counts and vectors of the most frequent words (at most ``p.vocabulary``), from all texts."""
-    counted = count_words(texts)
-    kept = counted.filter(F.col("n") >= p.least_count).orderBy(F.desc("n"), "word").limit(p.vocabulary)
-    top = [(r["word"], r["n"]) for r in kept.collect()]
-    total = sum(n for _, n in top)
-    top = [(w, n) for w, n in top if n >= p.least_share * total]
+    """Counts and vectors of all frequent words, from all texts."""
+    counted = cut(count_words(texts))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    kept = counted.filter(F.col("n") >= max(p.least_count, p.least_share * total)).orderBy(F.desc("n"), "word")
+    top = [(r["word"], r["n"]) for r in kept.collect()]  # at most 1 / least_share words
+    release(counted)
     names = [w for w, _ in top]
-    got = pair_counts(texts, names, p.window).filter("n > 1").toPandas()
-    vec = skipgram_vectors(got["pair"].to_numpy(np.int64), got["n"].to_numpy(np.int64), len(names), p)
+    vec = skipgram_vectors(pair_counts(texts, names, p.window), np.array([n for _, n in top], np.int64), p)
     return ScanModel(dict(top), {w: i for i, w in enumerate(names)}, vec)
 
 
@@ -218,7 +278,7 @@ _TAIL = re.compile(rf"(?<=\S)\s{{2,}}({_NUM})\s*$")
 def is_page_number(line: str) -> bool:
     """Whether a line holds a page number and nothing else; amounts, times and percentages are none."""
     s = line.strip()
-    if not s or len(s) > 24:
+    if not s:
         return False
     m = _PAGE.match(s)
     if m and not _AMOUNT.search(re.sub(r"\s*/\s*", "/", s)):
@@ -233,6 +293,40 @@ def _skeleton(s: str) -> str:
     return "".join(ch for ch in s if ch.isalnum())
 
 
+class _Forms:
+    """Distinct title forms of a record, with their letter counts: only forms that may be similar are compared in full.
+
+    An edit changes the letter counts of a form by two at most, so forms whose counts differ by more are out.
+    """
+
+    def __init__(self, forms: list[str]) -> None:
+        self.many = Counter(forms)
+        self.distinct = list(self.many)
+        self.sizes = np.array([len(a) for a in self.distinct], np.int64)
+        self.letters = np.array([self._count(a) for a in self.distinct], np.int32).reshape(len(self.distinct), 64)
+        self.at: dict[str, list[int]] | None = None
+
+    @staticmethod
+    def _count(a: str) -> np.ndarray:
+        return np.bincount(np.fromiter((ord(ch) & 63 for ch in a), np.int64, len(a)), minlength=64)
+
+    def like(self, a: str, least: float, same: bool = False) -> list[str]:
+        """Forms similar to ``a``, without ``a`` itself unless ``same``."""
+        if not self.distinct:
+            return []
+        n = np.maximum(self.sizes, len(a))
+        allowed = ((1 - least) * n).astype(np.int64)
+        likely = np.flatnonzero((np.minimum(self.sizes, len(a)) >= least * n) & (np.abs(self.letters - self._count(a)).sum(axis=1) <= 2 * allowed))
+        return [b for b in (self.distinct[k] for k in likely.tolist()) if (same or a != b) and _similar(a, b, least)]
+
+    def lines(self, fits: list[tuple[int, str]], form: str) -> list[int]:
+        if self.at is None:
+            self.at = {}
+            for i, a in fits:
+                self.at.setdefault(a, []).append(i)
+        return self.at[form]
+
+
 def _similar(a: str, b: str, least: float) -> bool:
     n = max(len(a), len(b))
     if not n or min(len(a), len(b)) < least * n:
@@ -278,8 +372,6 @@ def looks_scanned(lines: list[str], p: ScanParams) -> bool:
     body = [x.strip() for x in lines]
     body = [x for x in body if len(x) >= 12]
     width = page_width(body)
-    if width > p.widest:
-        return False
     open_ends = [(a, b) for a, b in zip(body, body[1:]) if a[-1] not in ".!?:;)"]
     low = sum(1 for a, b in open_ends if b[0].islower())
     wraps = sum(1 for a, b in open_ends if b[0].islower() or _full(a, b, width - 1))
@@ -303,7 +395,7 @@ def line_roles(lines: list[str], known: dict[str, int], p: ScanParams) -> list[s
         bare = _TAIL.sub("", _LEAD.sub("", lines[i])).strip()
         numbered = bare != s
         letters = [ch for ch in bare if ch.isalpha()]
-        if len(letters) < 4 or len(bare) > 90 or bare[-1] in ".,;:!?)" + HYPHENS + DASHES or "," in bare or bare[0].islower():
+        if len(letters) < 4 or len(bare) > width or bare[-1] in ".,;:!?)" + HYPHENS + DASHES or "," in bare or bare[0].islower():
             continue
         last = [w for w in bare.split() if w[0].isalpha()]
         if not last or last[-1][0].islower():
@@ -314,17 +406,22 @@ def line_roles(lines: list[str], known: dict[str, int], p: ScanParams) -> list[s
         short = k + 1 < len(filled) and not _full(lines[i], lines[filled[k + 1]], width - 2)
         titles.append((i, _skeleton(bare), numbered or beside or odd or short or k in (0, len(filled) - 1)))
     fits = [(i, a) for i, a, fit in titles if fit]
+    forms = _Forms([a for _, a in fits])
     for x, (i, a) in enumerate(fits):
-        for j, b in fits[x + 1 :]:
-            if not roles[i] == roles[j] == HEADER and _similar(a, b, p.similar_titles):
-                roles[i] = roles[j] = HEADER
+        if forms.many[a] > 1 or forms.like(a, p.similar_titles):
+            roles[i] = HEADER
     if fits:
         # a page's title may be misread beyond recognition as a title: it still is like another page's
-        others = [(i, _skeleton(_TAIL.sub("", _LEAD.sub("", lines[i])))) for i in filled if roles[i] == TEXT]
-        for i, a in others:
-            for j, b in fits:
-                if i != j and roles[i] == TEXT and len(a) >= 8 and _similar(a, b, p.similar_titles):
-                    roles[i] = roles[j] = HEADER
+        for i in filled:
+            if roles[i] == TEXT:
+                a = _skeleton(_TAIL.sub("", _LEAD.sub("", lines[i])))
+                if len(a) >= 8:
+                    near = [b for b in forms.like(a, p.similar_titles, same=True) if any(j != i for j in forms.lines(fits, b))]
+                    if near:
+                        roles[i] = HEADER
+                        for b in near:
+                            for j in forms.lines(fits, b):
+                                roles[j] = HEADER
     for i in filled:
         # a title that carries its page number needs no second page
         if roles[i] == TEXT and (_LEAD.match(lines[i]) or _TAIL.search(lines[i])):
@@ -347,6 +444,7 @@ class Corrector:
     def __init__(self, model: ScanModel, p: ScanParams) -> None:
         self.model, self.p = model, p
         self.known: dict[str, list[str]] = {}
+        self.longest = max(map(len, model.counts), default=0)
         self.by_base: dict[str, list[str]] = {}
         for w in model.counts:
             base = _strip_marks(w)
@@ -371,13 +469,14 @@ class Corrector:
         own = counts.get(w, p.least_count / 4)
         enough = lambda c, r: counts.get(c, 0) >= r * own
         found = []
-        if len(w) > 1 and any(ch.isalpha() for ch in w) and not self._code(w):
+        # an edit makes a word shorter by one letter at most: longer words than these lead nowhere
+        if 1 < len(w) and len(w) - w.count(".") <= self.longest + 2 and any(ch.isalpha() for ch in w) and not self._code(w):
             one = self._edits(w)
             found = [c for c in one if c != w and c in counts and enough(c, p.ratio)]
             if not w.isascii() or "." in w or w not in counts:
                 dotted = w.replace(".", "") if "." in w.strip(".") else w
                 found += [c for c in self.by_base.get(_strip_marks(dotted), ()) if c != w and enough(c, p.accent_ratio) and self._accent(dotted, c)]
-            if not found and w not in counts and 4 <= len(w) <= 24:
+            if not found and w not in counts and len(w) >= 4:
                 found = [c for x in one for c in self._edits(x) if c != w and len(c) > 3 and c in counts and enough(c, p.ratio)]
         if len(self.known) > 200_000:
             self.known.clear()
@@ -534,7 +633,7 @@ def repair_texts(texts: DataFrame, p: ScanParams = ScanParams()) -> DataFrame:
     """
     texts = texts.filter(F.col("text").isNotNull())
     model = learn(texts, p)
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # bounded by p.vocabulary
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # at most 1 / least_share words
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value

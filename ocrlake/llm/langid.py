@@ -1,12 +1,15 @@
 """Language of texts and of their blocks by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built. A text is parsed greedily into phrases, each the
-longest piece that occurs in the labelled text; the language that needs the fewest phrases for its length wins. The
-automata are dense tables, and many texts are parsed at once, one character of each per step.
+longest piece that occurs in the labelled text. A phrase costs the logarithm of the labelled text's length, the bits it
+takes to name its place there (Ziv and Merhav 1993), so that languages with less labelled text are not at a
+disadvantage; the language in which a text costs least wins. The automata are dense tables, and many texts are parsed at
+once, one character of each per step.
 
-Labelled text is a bounded sample (``sample_rows`` rows and ``sample_chars`` characters for each language) of rows whose
-label names a language. Labels may be wrong: automata of a first round, each blind to the text it judges, throw out
-blocks that another language reads as well, and the automata are built again from the rest.
+Labelled text is a bounded sample: whole texts of at most ``row_chars`` characters, ``sample_rows`` of each language
+chosen by a hash over all labelled rows, of which whole blocks are used until ``sample_chars`` characters are full.
+Labels may be wrong: automata of a first round, each blind to the text it judges, throw out blocks that another language
+reads as well, and the automata are built again from the rest. What is judged afterwards is every text, as a whole.
 
 A block of a few letters takes part of its evidence from the whole text: ``prior_letters`` letters at the whole text's
 phrases per letter are added to its own counts.
@@ -24,8 +27,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LANGUAGES = ("vi", "en", "fr", "de", "es")
-
 # Two-letter codes and their other ISO 639 spellings
 LANGUAGE_CODES = {
     "vi": ("vi", "vie"),
@@ -40,9 +41,7 @@ LANGUAGE_CODES = {
 class LangParams:
     sample_rows: int = 200
     sample_chars: int = 24_000
-    judge_chars: int = 10_000
-    row_chars: int = 300
-    sample_prefix: int = 4_000
+    row_chars: int = 4_000
     rounds: int = 2
     least_letters: int = 30
     least_margin: float = 0.15
@@ -51,11 +50,11 @@ class LangParams:
     seed: int = 11
 
 
-def label_language(c: Column) -> Column:
-    """The language a label names: any case, region or script suffix, ISO 639-1, -2/B and -2/T codes; null if none."""
+def label_language(c: Column, codes: dict[str, tuple[str, ...]] = LANGUAGE_CODES) -> Column:
+    """The language a label names: any case, region or script suffix, and any of the codes' spellings; null if none."""
     head = F.split(F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " "))), "[-_ ]").getItem(0)
     out = F.lit(None).cast("string")
-    for code, spelt in LANGUAGE_CODES.items():
+    for code, spelt in codes.items():
         out = F.when(head.isin(*spelt), F.lit(code)).otherwise(out)
     return out
 
@@ -100,11 +99,12 @@ class SuffixAutomaton:
 
 @dataclass
 class LanguageModel:
-    """Code points known to the labelled text (sorted), and one automaton table for each language."""
+    """Code points known to the labelled text (sorted), and for each language an automaton and the cost of a phrase."""
 
     languages: tuple[str, ...]
     points: np.ndarray
     tables: list[np.ndarray]
+    cost: np.ndarray
 
     def __getstate__(self) -> tuple:
         """Only the transitions that exist are sent to tasks; there are at most three for each character."""
@@ -112,10 +112,10 @@ class LanguageModel:
         for t in self.tables:
             at = np.flatnonzero(t.ravel() >= 0).astype(np.int32)
             sparse.append((t.shape, at, t.ravel()[at]))
-        return self.languages, self.points, sparse
+        return self.languages, self.points, sparse, self.cost
 
     def __setstate__(self, state: tuple) -> None:
-        self.languages, self.points, sparse = state
+        self.languages, self.points, sparse, self.cost = state
         self.tables = []
         for shape, at, to in sparse:
             table = np.full(shape, -1, np.int32)
@@ -185,13 +185,29 @@ def phrase_counts(texts: list[str], model: LanguageModel) -> np.ndarray:
     return counts
 
 
+def phrase_costs(texts: list[str], model: LanguageModel) -> np.ndarray:
+    """What each text costs in each language: its phrases, by the cost of one."""
+    return phrase_counts(texts, model) * model.cost
+
+
+def whole_blocks(blocks: list[str], most: int) -> list[str]:
+    """The blocks that fit, one after the other, into ``most`` characters; those that no longer fit are left out."""
+    out, left = [], most
+    for b in blocks:
+        if len(b) < left:
+            out.append(b)
+            left -= len(b) + 1
+    return out
+
+
 def build_model(samples: dict[str, list[str]], most_chars: int) -> LanguageModel:
     """Automata of the samples' letters, each of at most ``most_chars`` characters."""
-    languages = tuple(x for x in LANGUAGES if samples.get(x))
-    joined = {x: " ".join(samples[x])[:most_chars] for x in languages}
+    joined = {x: " ".join(whole_blocks(rows, most_chars)) for x, rows in samples.items()}
+    joined = {x: t for x, t in joined.items() if t}
     points = np.array(sorted({ord(ch) for t in joined.values() for ch in t}), np.uint32)
-    tables = [SuffixAutomaton(encode(joined[x], points).astype(np.int64), len(points) + 1).table for x in languages]
-    return LanguageModel(languages, points, tables)
+    tables = [SuffixAutomaton(encode(t, points).astype(np.int64), len(points) + 1).table for t in joined.values()]
+    bits = np.array([np.log2(len(t) + 1) for t in joined.values()])
+    return LanguageModel(tuple(joined), points, tables, bits / bits.max() if len(bits) else bits)
 
 
 def _plain(samples: dict[str, list[str]]) -> dict[str, list[str]]:
@@ -215,10 +231,10 @@ class LanguageReader:
         return self.plain.languages
 
     def counts(self, forms: list[str]) -> np.ndarray:
-        n = phrase_counts([without_marks(f) for f in forms], self.plain)
+        n = phrase_costs([without_marks(f) for f in forms], self.plain)
         open_ = np.flatnonzero(confidence(n) < self.unsure) if n.shape[1] > 1 else np.zeros(0, np.int64)
         if len(open_):
-            n[open_] += phrase_counts([forms[i] for i in open_], self.marked)
+            n[open_] += phrase_costs([forms[i] for i in open_], self.marked)
         return n
 
 
@@ -230,7 +246,7 @@ def fit(samples: dict[str, list[str]], p: LangParams) -> LanguageReader:
     """
     clean: dict[str, list[str]] = {}
     for x, rows in samples.items():
-        forms = [letters_form(b)[: p.row_chars] for text in rows for b in blocks(text)]
+        forms = [letters_form(b) for text in rows for b in blocks(text)]
         clean[x] = list(dict.fromkeys(f for f in forms if len(f) >= p.least_letters))
     if sum(map(bool, clean.values())) < 2:
         return _reader(clean, p)
@@ -238,11 +254,11 @@ def fit(samples: dict[str, list[str]], p: LangParams) -> LanguageReader:
     for _ in range(p.rounds):
         judged: dict[str, list[str]] = {x: [] for x in clean}
         for half in (0, 1):
-            model = build_model(_plain({x: rows[1 - half :: 2] or rows for x, rows in kept.items()}), p.judge_chars)
+            model = build_model(_plain({x: rows[1 - half :: 2] or rows for x, rows in kept.items()}), p.sample_chars // 2)
             for x, rows in kept.items():
                 own = rows[half::2]
                 if own:
-                    counts = phrase_counts([without_marks(t) for t in own], model)
+                    counts = phrase_costs([without_marks(t) for t in own], model)
                     sure = (counts.argmin(axis=1) == model.languages.index(x)) & (confidence(counts) >= p.least_margin)
                     judged[x] += [t for t, ok in zip(own, sure) if ok]
         kept = {x: judged[x] or kept[x] for x in clean}
@@ -256,11 +272,12 @@ def _reader(samples: dict[str, list[str]], p: LangParams) -> LanguageReader:
 def labelled_sample(rows: DataFrame, key: str, text: str, label: Column, p: LangParams) -> dict[str, list[str]]:
     """At most ``sample_rows`` texts of each language, chosen by a hash of the key over all labelled rows.
 
-    The window keeps ``sample_rows`` rows of each language on every mapper before anything is shuffled.
+    Only texts of at most ``row_chars`` characters are sampled, and they are taken whole. The window keeps
+    ``sample_rows`` rows of each language on every mapper before anything is shuffled.
     """
     w = Window.partitionBy("lang").orderBy("h", "key")
-    named = rows.select(F.col(key).alias("key"), F.xxhash64(F.col(key), F.lit(p.seed)).alias("h"), F.substring(F.col(text), 1, p.sample_prefix).alias("text"), label.alias("lang"))
-    top = named.filter("lang is not null and text is not null").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= p.sample_rows)
+    named = rows.select(F.col(key).alias("key"), F.xxhash64(F.col(key), F.lit(p.seed)).alias("h"), F.col(text).alias("text"), label.alias("lang"))
+    top = named.filter(F.col("lang").isNotNull() & (F.length("text") <= p.row_chars)).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= p.sample_rows)
     out: dict[str, list[str]] = {}
     for r in sorted(top.select("lang", "n", "text").collect(), key=lambda r: (r["lang"], r["n"])):
         out.setdefault(r["lang"], []).append(r["text"])
@@ -313,8 +330,8 @@ def detect(docs: DataFrame, id_col: str, text_col: str, label_col: str, p: LangP
                 size = np.array([len(f) for f in forms], np.int64)
                 uniq: dict[str, int] = {}
                 where = np.array([uniq.setdefault(f, len(uniq)) for f in forms], np.int64)
-                counts = m.counts(list(uniq))[where] if m.languages and forms else np.zeros((len(forms), 1), np.int64)
-                whole = np.zeros((len(pdf), counts.shape[1]), np.int64)
+                counts = m.counts(list(uniq))[where] if m.languages and forms else np.zeros((len(forms), 1))
+                whole = np.zeros((len(pdf), counts.shape[1]))
                 whole_size = np.zeros(len(pdf), np.int64)
                 if len(forms):
                     np.add.at(whole, owner_a, counts)
@@ -322,7 +339,7 @@ def detect(docs: DataFrame, id_col: str, text_col: str, label_col: str, p: LangP
                 # a few letters at the whole text's rate: they settle blocks that say nothing themselves
                 prior = p.prior_letters * whole / np.maximum(whole_size, 1)[:, None]
                 scored = counts + prior[owner_a] if len(forms) else counts
-                allc, alls = np.vstack([whole.astype(np.float64), scored]), np.concatenate([whole_size, size])
+                allc, alls = np.vstack([whole, scored]), np.concatenate([whole_size, size])
                 names = np.array([*m.languages, None], object)
                 known = (alls > 0) & bool(m.languages)
                 best = np.where(known, allc.argmin(axis=1), len(m.languages))

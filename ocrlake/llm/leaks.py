@@ -2,10 +2,12 @@
 
 Every run of ``least_words`` consecutive words of a test item is a window. A window with at most ``budget`` word edits,
 cut into budget + 1 pieces, has a piece that stands unchanged in the text. So all pieces of all windows are looked up at
-every position of every document (one sorted array of hashes, shared with the tasks), and where a piece hits, the window
-around it is verified by Myers' bit-parallel distance on words.
+every position of every document (one sorted array of hashes, shared with the tasks), and where a piece hits, Myers'
+bit-parallel distance between the window and the text around it decides. Many windows are computed at once, a column
+of each per step; words are compared by their 64-bit hashes.
 
-Test items go through in blocks of ``block_items``, so that what the tasks share is bounded whatever their number.
+Test items go through in blocks of ``block_items`` items or ``block_words`` words, so that what the tasks share is
+bounded whatever their number: 8 + 20 * (budget + 1) bytes for each word of a block.
 """
 
 from __future__ import annotations
@@ -54,29 +56,26 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return _mix(out)
 
 
-def myers_best(pattern: list, text: list, most: int) -> int:
-    """Least edit distance (Myers' bit-parallel columns) between ``pattern`` and any part of ``text``; most + 1 if above."""
-    m = len(pattern)
-    at: dict = {}
-    for i, w in enumerate(pattern):
-        at[w] = at.get(w, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best = full, 0, m, most + 1
-    for w in text:
-        eq = at.get(w, 0)
+def myers_distances(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Least edit distance of each row of ``patterns`` (rows x words, 63 words at most) to any part of the same row of ``texts``.
+
+    Words are compared by value; the columns of all rows are computed together.
+    """
+    n, m = patterns.shape
+    bit = np.uint64(1) << np.arange(m, dtype=np.uint64)
+    one, full, top = np.uint64(1), np.uint64((1 << m) - 1), np.uint64(m - 1)
+    pv, mv = np.full(n, full), np.zeros(n, np.uint64)
+    score = np.full(n, m, np.int64)
+    best = score.copy()
+    for k in range(texts.shape[1]):
+        eq = (patterns == texts[:, k][:, None]) @ bit
         xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
+        xh = ((((eq & pv) + pv) & full) ^ pv) | eq
         ph, mh = mv | ~(xh | pv) & full, pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        ph, mh = ph << 1 & full, mh << 1 & full
+        score += ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
+        ph, mh = (ph << one) & full, (mh << one) & full
         pv, mv = mh | ~(xv | ph) & full, ph & xv
-        if score < best:
-            best = score
-            if not best:
-                break
+        best = np.minimum(best, score)
     return best
 
 
@@ -86,7 +85,6 @@ class PieceIndex:
 
     by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     ids: np.ndarray
-    items: list[list[str]]
     flat: np.ndarray  # hashes of all items' words
     first: np.ndarray  # position of each item's first word in ``flat``
 
@@ -104,14 +102,14 @@ def build_index(ids: list[int], passages: list[str], p: LeakParams) -> PieceInde
         windows = len(w) - p.least_words + 1
         for a, b in piece_bounds(p):
             runs = run_hashes(h, b - a)[a : a + windows]
-            start = np.arange(windows)
-            parts.setdefault(b - a, []).append((runs, np.full(windows, i), start, np.full(windows, a)))
+            start = np.arange(windows, dtype=np.int32)
+            parts.setdefault(b - a, []).append((runs, np.full(windows, i, np.int32), start, np.full(windows, a, np.int32)))
     by_length = []
     for k, rows in sorted(parts.items()):
         cols = [np.concatenate(c) for c in zip(*rows)]
         order = np.argsort(cols[0], kind="stable")
         by_length.append((k, *(c[order] for c in cols)))
-    return PieceIndex(by_length, np.array(ids, np.int64), items, flat, first)
+    return PieceIndex(by_length, np.array(ids, np.int64), flat, first)
 
 
 _HITS = 300_000  # piece hits looked at together
@@ -121,7 +119,7 @@ def match_texts(texts: list[str], index: PieceIndex, p: LeakParams, hashes: _Wor
     """(position of the text, position of the item, distance of its best window) of all texts with a leak.
 
     A window can only be within the budget if all but ``budget`` of its words stand in the text at most ``budget`` places
-    from where the piece puts them; hits that fail this are dropped together before the rest is verified one by one.
+    from where the piece puts them; hits that fail this are dropped before the distance is computed.
     """
     words = [words_of(t) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
@@ -130,6 +128,7 @@ def match_texts(texts: list[str], index: PieceIndex, p: LeakParams, hashes: _Wor
     first = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
     found: dict[tuple[int, int], int] = {}
     span = np.arange(p.least_words)
+    around = np.arange(-p.budget, p.least_words + p.budget)
     for k, keys, item, start, offset in index.by_length:
         runs = run_hashes(flat, k)
         if not len(runs):
@@ -146,33 +145,28 @@ def match_texts(texts: list[str], index: PieceIndex, p: LeakParams, hashes: _Wor
             n = many[here]
             pos = np.repeat(here, n)
             entry = np.repeat(lo[here], n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
-            doc, it, s = owner[pos], item[entry], start[entry]
+            doc, it = owner[pos], item[entry]
             at = pos - offset[entry]  # where the window would begin
-            pattern = index.flat[(index.first[it] + s)[:, None] + span]
+            pattern = index.flat[(index.first[it] + start[entry])[:, None] + span]
+            # the text around the window; places outside of the text hold what no word of the window is
+            place = at[:, None] + around
+            inside = (place >= first[doc][:, None]) & (place < first[doc + 1][:, None])
             near = np.zeros(pattern.shape, bool)
-            exact = None
-            for shift in range(-p.budget, p.budget + 1):
-                place = at[:, None] + span + shift
-                inside = (place >= first[doc][:, None]) & (place < first[doc + 1][:, None])
-                equal = inside & (flat[np.clip(place, 0, len(flat) - 1)] == pattern)
-                near |= equal
-                if shift == 0:
-                    exact = equal.all(axis=1)
+            text = flat[np.clip(place, 0, len(flat) - 1)]
+            for shift in range(2 * p.budget + 1):
+                part = slice(shift, shift + p.least_words)
+                near |= inside[:, part] & (text[:, part] == pattern)
             likely = np.flatnonzero(near.sum(axis=1) >= p.least_words - p.budget)
-            for j in likely[np.argsort(~exact[likely], kind="stable")].tolist():
-                pair = int(doc[j]), int(it[j])
-                known = found.get(pair)
-                if known == 0 or known is not None and not exact[j] and known <= 1:
-                    continue
-                window = index.items[pair[1]][int(s[j]) : int(s[j]) + p.least_words]
-                begin = int(at[j] - first[pair[0]])
-                text = words[pair[0]]
-                if exact[j] and text[begin : begin + p.least_words] == window:
-                    found[pair] = 0
-                    continue
-                d = myers_best(window, text[max(0, begin - p.budget) : begin + p.least_words + p.budget], p.budget)
-                if d <= p.budget and (known is None or d < known):
-                    found[pair] = d
+            if not len(likely):
+                continue
+            pattern, text, inside = pattern[likely], text[likely], inside[likely]
+            absent = pattern.max(axis=1) + np.uint64(1)
+            taken = (pattern == absent[:, None]).any(axis=1)  # the greatest hash there is
+            absent[taken] = pattern[taken].min(axis=1) - np.uint64(1)
+            distance = myers_distances(pattern, np.where(inside, text, absent[:, None]))
+            for d, i, dist in zip(doc[likely].tolist(), it[likely].tolist(), distance.tolist()):
+                if dist <= p.budget and dist < found.get((d, i), p.budget + 1):
+                    found[d, i] = dist
     return [(doc, i, d) for (doc, i), d in found.items()]
 
 

@@ -38,9 +38,13 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return langid.wrong_segments(langid.detect(table(spark, base, "screenshots"), "id", "ocr_text", "ocr_language"))
 
 
+def p7_near(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with a window of 13 words of an item that is at most one word away, and the least distance."""
+    return leaks.find_leaks(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "eval_items"), "item_id", "passage")
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
-    found = leaks.find_leaks(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "eval_items"), "item_id", "passage")
-    return found.filter("distance = 0").select("doc_id", "item_id")
+    return p7_near(spark, base).filter("distance = 0").select("doc_id", "item_id")
 
 
 def p8_drawn(spark: SparkSession, base: str) -> DataFrame:
@@ -62,6 +66,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p7_near": p7_near,
     "p8_drawn": p8_drawn,
     "p8_shares": p8_shares,
     "p9_found": p9_found,

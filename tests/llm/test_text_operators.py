@@ -377,8 +377,7 @@ def test_leaks_against_all_windows(spark):
     assert leaks.find_leaks(d.limit(0), "doc_id", "text", t.limit(0), "item_id", "passage").count() == 0
 
 
-@given(st.lists(st.sampled_from("abc"), min_size=1, max_size=13), st.lists(st.sampled_from("abc"), max_size=20))
-def test_myers_against_dynamic_programming(pattern, text):
+def best_distance(pattern, text):
     row = list(range(len(pattern) + 1))
     best = row[-1]
     for x in text:
@@ -386,8 +385,41 @@ def test_myers_against_dynamic_programming(pattern, text):
         for j, y in enumerate(pattern, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         best = min(best, row[-1])
-    got = leaks.myers_best(pattern, text, 3)
-    assert got == (best if best <= 3 and text else 4)
+    return best
+
+
+@given(st.integers(1, 63).flatmap(lambda m: st.lists(st.tuples(st.lists(st.integers(0, 2), min_size=m, max_size=m), st.lists(st.integers(0, 3), min_size=15, max_size=15)), min_size=1, max_size=5)))
+@settings(max_examples=40, deadline=None)
+def test_myers_against_dynamic_programming(rows):
+    got = leaks.myers_distances(np.array([a for a, _ in rows], np.uint64), np.array([b for _, b in rows], np.uint64))
+    assert got.tolist() == [best_distance(a, b) for a, b in rows]
+
+
+@pytest.mark.parametrize("budget", [0, 1, 2])
+def test_near_leaks_against_all_windows(spark, budget):
+    """Every pair within the budget, replaced, dropped and added words, and its distance."""
+    rnd = random.Random(budget)
+    items = [(i, [rnd.choice(WORDS) for _ in range(rnd.randint(11, 30))]) for i in range(10)]
+    docs = []
+    for i, w in items * 3:
+        for edits in range(4):
+            start = rnd.randint(0, max(len(w) - 13, 0))
+            part = list(w[start : start + 13])
+            for _ in range(edits):
+                at = rnd.randrange(len(part))
+                kind = rnd.randrange(3)
+                part[at : at + 1] = [["odd"], [], [part[at], "odd"]][kind]
+            docs.append((len(docs), [rnd.choice(WORDS) for _ in range(rnd.randint(0, 5))] + part + [rnd.choice(WORDS) for _ in range(rnd.randint(0, 5))]))
+    truth = {}
+    for a, x in docs:
+        for b, y in items:
+            best = min((best_distance(y[i : i + 13], x) for i in range(len(y) - 12)), default=99)
+            if best <= budget:
+                truth[a, b] = best
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    t = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, passage string")
+    got = leaks.find_leaks(d, "doc_id", "text", t, "item_id", "passage", leaks.LeakParams(budget=budget)).collect()
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in got} == truth
 
 
 # -------------------------------------------------------------------------------------------------- mixing
@@ -432,6 +464,25 @@ def test_rounding_keeps_probabilities():
     assert np.abs(x - part).max() < 0.03
 
 
+def test_layers_keep_the_amount_and_the_probabilities():
+    rng = np.random.default_rng(4)
+    layers = [rng.integers(1000, 4000, 5), rng.integers(60, 200, 12), rng.integers(4, 15, 30)]
+    amount = 0.37 * sum(x.sum() for x in layers)
+    means = [np.zeros(len(x)) for x in layers]
+    for _ in range(2500):
+        guide = mixing.layer_rates(amount, [int(x.sum()) for x in layers], 1)
+        (rate, *_), total = next(guide), 0
+        for k, tokens in enumerate(layers):
+            x = mixing.round_pairs(tokens, np.full(len(tokens), rate), rng)
+            x = (rng.random(len(x)) < x).astype(float) if ((x > 1e-9) & (x < 1 - 1e-9)).any() else x
+            means[k] += x / 2500
+            total += int((tokens * x.round()).sum())
+            if k < 2:
+                rate, *_ = guide.send(int((tokens * x.round()).sum()))
+        assert rate in (0.0, 1.0) or abs(total - amount) <= 15
+    assert all(np.abs(m - 0.37).max() < 0.06 for m in means[:2])
+
+
 def test_amounts():
     assert mixing.source_amounts({"a": 100, "b": 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}, None) == {"a": 20.0, "b": 20.0}
     assert mixing.source_amounts({"a": 100, "b": 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}, 90) == {"b": 20.0, "a": 70.0}

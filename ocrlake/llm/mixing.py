@@ -4,20 +4,25 @@ Each source's amount is fixed first: its target share (of the sources that have
 can supply with its cap on repeats, or a total that is asked for. A document of a source at rate r is taken floor(r)
 times and once more with probability r - floor(r). These fractions are rounded in pairs: tokens move at random from one
 document to the other until one of the two is whole, so the source's tokens stay the same at every step. Pairs meet
-inside groups of bounded size; the one fraction each group leaves goes up a reduction tree to the next level. In the end
-one document per source is rounded to the nearer side. If that document is long the source is off by up to half of it;
-the gap is closed with documents that are taken once more or once less, from ``change_rows`` random ones of the source.
+inside groups of bounded size; the one fraction each group leaves goes up a reduction tree to the next level.
+
+The last fraction of a tree is one document, whose rounding moves the source's amount by up to its length. So a source's
+documents are rounded in layers of like length, the longest first: the last document of a layer is rounded at random, by
+its own fraction, and what that gained or lost is spread evenly over the rates of the layers after it. Gains and losses
+are zero on average, so every document keeps its probability, and only the last document of the shortest layer is
+rounded to the nearer side. (Where the shorter documents could not make up for a gain or loss, as with a document longer
+than all its source may give, the last document of a layer goes the way they can make up for.)
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ocrlake.session import cut
@@ -29,7 +34,7 @@ class MixParams:
     vocabulary: str | None = None  # file of ranks; None: byte_bpe_50k of the installed public tokenizers
     group_rows: int = 4_000
     fan_in: int = 256
-    change_rows: int = 512
+    layer: int = 4  # lengths within a layer differ by this factor at most
     seed: int = 17
 
 
@@ -138,60 +143,86 @@ def _round_group(seed: int):
     return run
 
 
+def round_tree(rows: DataFrame, groups: int, slack: DataFrame, p: MixParams) -> DataFrame:
+    """``rows`` (doc_id, source, n_tokens, copies, part, slot) with whole ``copies``, the last fraction of each source too.
+
+    ``slot`` numbers a source's groups, ``groups`` at most. The last fraction is rounded up with its own probability,
+    unless the tokens gained or lost exceed the ``slack`` (source, up, down); with neither way open it goes to the nearer.
+    """
+    level = cut(rows.groupBy("source", "slot").applyInPandas(_round_group(p.seed), _GROUP_SCHEMA))
+    settled = [level.filter("part = 0")]
+    while groups > 1:
+        groups = -(-groups // p.fan_in)
+        loose = level.filter("part > 0").withColumn("slot", F.floor(F.col("slot") / p.fan_in).cast("long"))
+        level = cut(loose.groupBy("source", "slot").applyInPandas(_round_group(p.seed), _GROUP_SCHEMA))
+        settled.append(level.filter("part = 0"))
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(p.seed + 1)), F.lit(1 << 53)) / float(1 << 53)
+    last = level.filter("part > 0").join(F.broadcast(slack), "source")  # one row per target source
+    up, down = F.col("n_tokens") * (1 - F.col("part")) <= F.col("up"), F.col("n_tokens") * F.col("part") <= F.col("down")
+    goes = F.when(up & down, chance < F.col("part")).when(up, True).when(down, False).otherwise(F.col("part") >= 0.5)
+    out = last.withColumn("copies", F.col("copies") + goes.cast("long")).drop("up", "down")
+    for part in settled:
+        out = out.unionByName(part)
+    return out.select("doc_id", "source", "n_tokens", "copies")
+
+
+def layer_rates(amount: float, layers: list[int], cap: int) -> Generator[tuple[float, float, float], int, None]:
+    """Rate of each of a source's layers (tokens of each, the longest documents first), and how many tokens more and less
+    than that the shorter layers can make up for; told what each layer drew by ``send``.
+
+    What a layer drew too much or too little is spread over the layers after it, within rates of 0 and ``cap``.
+    """
+    left, rest = float(amount), sum(layers)
+    for tokens in layers:
+        rate = min(max(left / rest, 0.0), float(cap)) if rest else 0.0
+        rest -= tokens
+        drawn = yield rate, left - rate * tokens, rate * tokens - (left - rest * cap)
+        left -= drawn
+
+
 def draw(docs: DataFrame, targets: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of the documents drawn, each with the number of times it is taken.
 
     Documents with null id, text or source, without tokens, or of a source without target are never drawn. Targets that
     name one source twice are added up, the greater repeat cap counts; a null cap is 1. The result depends on the seed
-    only. The driver sees one row per source.
+    only. The driver sees one row per source and layer: sources with a target, times the logarithm of the longest text.
     """
     spark = docs.sparkSession
-    sized = cut(token_sizes(docs, p.vocabulary))
+    layer = F.floor(F.log(float(p.layer), F.col("n_tokens") + F.lit(0.5))).cast("int")
+    sized = cut(token_sizes(docs, p.vocabulary).withColumn("layer", layer))
     wanted = targets.select(source_name(F.col("source")).alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
     wanted = wanted.filter("source is not null").groupBy("source").agg(F.sum("target_share").alias("w"), F.max("max_repeats").alias("r"))
-    supply = sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
-    plan = {r["source"]: r for r in wanted.join(supply, "source").collect()}
-    amounts = source_amounts({s: r["t"] for s, r in plan.items()}, {s: r["w"] or 0.0 for s, r in plan.items()}, {s: r["r"] for s, r in plan.items()}, p.total_tokens)
+    plan: dict[str, Row] = {}
+    layers: dict[str, dict[int, Row]] = {}
+    for r in sized.groupBy("source", "layer").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).join(wanted, "source").collect():
+        plan[r["source"]] = r
+        layers.setdefault(r["source"], {})[r["layer"]] = r
+    supply = {s: sum(r["t"] for r in rows.values()) for s, rows in layers.items()}
+    amounts = source_amounts(supply, {s: r["w"] or 0.0 for s, r in plan.items()}, {s: r["r"] for s, r in plan.items()}, p.total_tokens)
     if not amounts:
         return spark.createDataFrame([], "doc_id long, source string, n_tokens long, copies long")
-    rates = [(s, min(a / plan[s]["t"], float(plan[s]["r"])), -(-plan[s]["n"] // p.group_rows)) for s, a in amounts.items()]
-    rate = F.broadcast(spark.createDataFrame(rates, "source string, rate double, groups long"))  # one row per target source
-    rows = sized.join(rate, "source").withColumn("copies", F.floor(F.col("rate") + _EPS).cast("long"))
-    rows = rows.withColumn("part", F.greatest(F.col("rate") - F.col("copies"), F.lit(0.0))).withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.col("groups")))
-    level = cut(rows.groupBy("source", "slot").applyInPandas(_round_group(p.seed), _GROUP_SCHEMA))
-    settled = [level.filter("part = 0")]
-    most = max(g for *_, g in rates)
-    while most > 1:
-        most = -(-most // p.fan_in)
-        loose = level.filter("part > 0").withColumn("slot", F.floor(F.col("slot") / p.fan_in).cast("long"))
-        level = cut(loose.groupBy("source", "slot").applyInPandas(_round_group(p.seed), _GROUP_SCHEMA))
-        settled.append(level.filter("part = 0"))
-    last = level.filter("part > 0").withColumn("copies", F.col("copies") + F.when(F.col("part") >= 0.5, 1).otherwise(0))
-    rounded = last
-    for part in settled:
-        rounded = rounded.unionByName(part)
-    rounded = rounded.select("doc_id", "source", "n_tokens", "copies")
-    # one row per target source again
-    gap = F.broadcast(spark.createDataFrame([(s, float(a), int(plan[s]["r"])) for s, a in amounts.items()], "source string, amount double, cap long"))
-    reached = rounded.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(p.seed + 1)), "doc_id")
-    some = rounded.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.change_rows).drop("n")
-    some = some.join(gap.join(reached, "source"), "source")
-    changes = some.groupBy("source").applyInPandas(_change, "doc_id long, change long")  # change_rows rows per source
-    out = rounded.join(F.broadcast(changes), "doc_id", "left")  # at most change_rows rows per target source
-    return out.withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).filter("copies > 0").select("doc_id", "source", "n_tokens", "copies")
-
-
-def _change(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Documents to take once more (or less), longest first, while they still fit into the source's gap."""
-    left = float(pdf["amount"].iloc[0] - pdf["reached"].iloc[0])
-    out = []
-    for r in pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True]).itertuples():
-        step = 1 if left > 0 else -1
-        if (r.copies < r.cap if step > 0 else r.copies > 0) and abs(left - step * r.n_tokens) < abs(left):
-            out.append((r.doc_id, step))
-            left -= step * r.n_tokens
-    return pd.DataFrame(out, columns=["doc_id", "change"]).astype("int64")
+    order = sorted({k for s in amounts for k in layers[s]}, reverse=True)
+    guides = {s: layer_rates(amounts[s], [layers[s][k]["t"] for k in order if k in layers[s]], plan[s]["r"]) for s in amounts}
+    rate = {s: next(g) for s, g in guides.items()}
+    parts = []
+    for k in order:
+        here = [(s, rate[s][0], -(-layers[s][k]["n"] // p.group_rows)) for s in amounts if k in layers[s]]
+        rates = F.broadcast(spark.createDataFrame(here, "source string, rate double, groups long"))  # one row per target source
+        slack = spark.createDataFrame([(s, *rate[s][1:]) for s, *_ in here], "source string, up double, down double")
+        rows = sized.filter(F.col("layer") == k).join(rates, "source").withColumn("copies", F.floor(F.col("rate") + _EPS).cast("long"))
+        rows = rows.withColumn("part", F.greatest(F.col("rate") - F.col("copies"), F.lit(0.0))).withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.col("groups")))
+        parts.append(cut(round_tree(rows, max(g for *_, g in here), slack, p)))
+        if k != order[-1]:
+            drawn = {r["source"]: r["t"] for r in parts[-1].groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect()}
+            for s, *_ in here:
+                try:
+                    rate[s] = guides[s].send(drawn.get(s, 0))
+                except StopIteration:  # the source has no shorter documents
+                    pass
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.filter("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
 
 def reached_shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:

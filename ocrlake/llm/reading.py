@@ -1,18 +1,22 @@
 """Reading level of documents by regularised ordinal regression.
 
 Features of a text: lexical diversity, rarity of its words in the corpus, connectives (joining and subordinating ones
-apart), a clause-depth proxy (subordinators and commas in a sentence), and lengths of words and sentences, also of the
-longest ones. The graded texts calibrate them: they give each word a difficulty (the mean level of graded texts that
-use it, drawn towards the overall mean), and the text's mean, upper and lower word difficulty are features as well;
-for the graded texts themselves these come from the other folds.
-
-Word counts cover all documents: they are added up in ``2**count_bits`` hashed counters, so that what the driver and
-the tasks hold is bounded. The regression is fitted on at most ``graded_rows`` graded documents, chosen by a hash.
+apart, by the lists of the text's own language), a clause-depth proxy (subordinators and commas in a sentence), and
+lengths of words and sentences. They are taken of the whole text and, as means and quantiles, of its sentences, so that
+one passage does not decide. The language is a feature too, as words of one are longer than those of another. The weights
+and cuts are calibrated to graded texts.
+
+Word counts are exact and cover all documents. A word that makes up less than ``least_share`` of all words counts as
+that rare, so what tasks share is bounded by 1 / ``least_share`` words whatever the collection. The regression is fitted
+on at most ``graded_rows`` graded documents, chosen by a hash. Texts are read as a whole; all features of many texts are
+computed together.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,147 +25,183 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocrlake.session import cut, release
+
 
 @dataclass(frozen=True)
 class ReadingParams:
-    count_bits: int = 18
+    least_share: float = 2e-6
     graded_rows: int = 20_000
-    folds: int = 5
-    prior: float = 3.0  # graded texts' worth of the overall mean in each word's difficulty
-    penalty: float = 0.002
+    penalty: float = 0.0005
     rounds: int = 600
     seed: int = 5
 
 
-# Words that join like parts, and words that put one part under another
-JOINING = frozenset("and or but so then và hoặc nhưng nên rồi et ou mais donc puis und oder aber also dann y o e pero así luego entonces".split())
-SUBORDINATING = frozenset(
-    "because although though whereas while if unless since that which who whose despite notwithstanding insofar provided until whether "
-    "vì mặc dù khi nếu rằng mà bởi tuy trong chỉ bất "
-    "parce bien que tandis lorsque quand si dont qui malgré condition puisque quoique afin "
-    "weil obwohl während wenn dass falls indem damit sofern ungeachtet vorausgesetzt deren dessen "
-    "porque aunque mientras cuando cuyo cuya pese siempre salvo".split()
-)
-
+# Fixed values, by language: words that join like parts, words that put one part under another, and other common words
+# that tell the language
+FUNCTION_WORDS = {
+    "en": (
+        "and or but so then",
+        "because although though whereas while if unless since that which who whose despite notwithstanding insofar provided until whether",
+        "the a of to in is an for on with",
+    ),
+    "vi": ("và hoặc nhưng nên rồi", "vì mặc dù khi nếu rằng mà bởi tuy trong chỉ bất", "của một các những này cho đã với"),
+    "fr": (
+        "et ou mais donc puis",
+        "parce bien que tandis lorsque quand si dont qui malgré condition puisque quoique afin",
+        "le la les des du une un est",
+    ),
+    "de": (
+        "und oder aber also dann",
+        "weil obwohl während wenn dass falls indem damit sofern ungeachtet vorausgesetzt deren dessen",
+        "der die das den ein eine des dem",
+    ),
+    "es": (
+        "y e o pero así luego entonces",
+        "porque aunque que mientras cuando si cuyo cuya pese siempre salvo",
+        "el la los las una un del de",
+    ),
+}
+
+_TOKEN = re.compile(r"[^\W\d_]+|,|[.!?;:…]+(?=\s|$)|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAS_WORD = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"[.!?;:…]+(?=\s|$)|\n+")
+_COMMA, _END = 0, 1  # numbers of signs; words are numbered from 2
 
-N_BASE = 18
 
+@dataclass
+class WordModel:
+    """Rarity of the frequent words; all others have ``rarest``."""
 
-def text_words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
+    rarity: dict[str, float]
+    rarest: float
 
-class _Buckets(dict):
-    """Bucket numbers of words, kept while they are few."""
 
-    def __init__(self, bits: int) -> None:
-        import xxhash
+class _Words(dict):
+    """Numbers of words as they come, with what is known of each; forgotten when there are very many."""
 
+    def __init__(self, model: WordModel) -> None:
         super().__init__()
-        self.mask, self.digest = (1 << bits) - 1, xxhash.xxh3_64_intdigest
-
-    def __missing__(self, word: str) -> int:
-        b = self[word] = self.digest(word) & self.mask
-        return b
-
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > 500_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.model = model
+        self.lists = [[frozenset(x.split()) for x in kinds] for kinds in FUNCTION_WORDS.values()]
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        # letters and rarity; bit k of the rest: the word is of that kind in language k
+        self.size, self.rare = array("f", [0, 0]), array("f", [0, 0])
+        self.joins, self.subs, self.common = array("B", [0, 0]), array("B", [0, 0]), array("B", [0, 0])
+        self[","] = _COMMA
+
+    def __missing__(self, token: str) -> int:
+        if token[0] in ".!?;:…\n":
+            self[token] = _END
+            return _END
+        n = self[token] = len(self.size)
+        self.size.append(len(token))
+        self.rare.append(self.model.rarity.get(token, self.model.rarest))
+        for bits, kinds in ((self.joins, (0,)), (self.subs, (1,)), (self.common, (0, 1, 2))):
+            bits.append(sum(1 << k for k, x in enumerate(self.lists) if any(token in x[i] for i in kinds)))
+        return n
+
+
+class Groups:
+    """Runs of equal numbers in a sorted array, for figures of each run."""
+
+    def __init__(self, of: np.ndarray) -> None:
+        self.first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+        self.label = of[self.first]
+        self.size = np.diff(np.append(self.first, len(of)))
+        self.index = np.repeat(np.arange(len(self.first)), self.size)
+
+    def sum(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values.astype(np.float64), self.first)
+
+    def mean(self, values: np.ndarray) -> np.ndarray:
+        return self.sum(values) / self.size
+
+    def quantiles(self, values: np.ndarray, at: tuple[float, ...]) -> np.ndarray:
+        """Linear quantiles (runs x at). Run and value are sorted as one number, the value as 32 bits of its range."""
+        low, high = float(values.min()), float(values.max())
+        scale = (2**32 - 1) / (high - low) if high > low else 0.0
+        key = np.sort((self.index.astype(np.int64) << 32) | ((values.astype(np.float64) - low) * scale).astype(np.int64))
+        ordered = (key & 0xFFFFFFFF) / scale + low if scale else np.full(len(values), low)
+        out = []
+        for q in at:
+            k = q * (self.size - 1)
+            i = k.astype(np.int64)
+            a, b = ordered[self.first + i], ordered[self.first + np.minimum(i + 1, self.size - 1)]
+            out.append(a + (b - a) * (k - i))
+        return np.column_stack(out)
 
 
 @dataclass
 class Parsed:
-    """Words of a text, and for each sentence with words its first word, commas, joining and subordinating words."""
+    """Words of the texts that have any: number, and text and sentence that each is in; commas of each sentence."""
 
-    words: list[str]
-    starts: np.ndarray
+    words: np.ndarray
+    texts: Groups
+    sentences: Groups
+    of_sentences: Groups  # texts of the sentences
     commas: np.ndarray
-    joins: np.ndarray
-    subs: np.ndarray
-
-
-def parse(text: str) -> Parsed:
-    words: list[str] = []
-    starts, commas, joins, subs = [], [], [], []
-    for part in _SENTENCE.split(text.lower()):
-        ws = _WORD.findall(part)
-        if ws:
-            starts.append(len(words))
-            words += ws
-            commas.append(part.count(","))
-            joins.append(sum(map(JOINING.__contains__, ws)))
-            subs.append(sum(map(SUBORDINATING.__contains__, ws)))
-    return Parsed(words, np.array(starts, np.int64), np.array(commas, np.float64), np.array(joins, np.float64), np.array(subs, np.float64))
-
-
-def _quantiles(values: np.ndarray, at: tuple[float, ...]) -> list[float]:
-    """Linear quantiles, without the general function's overhead for short arrays."""
-    v = np.sort(values)
-    out = []
-    for q in at:
-        k = q * (len(v) - 1)
-        i = int(k)
-        out.append(float(v[i] + (v[min(i + 1, len(v) - 1)] - v[i]) * (k - i)))
-    return out
-
-
-def base_features(t: Parsed, buckets: np.ndarray, log_freq: np.ndarray) -> np.ndarray:
-    """Features of one text that need no graded texts."""
-    n, sentences = len(t.words), len(t.starts)
-    lengths = np.array([len(w) for w in t.words], np.float64)
-    sizes = np.diff(np.append(t.starts, n)).astype(np.float64)
-    distinct = len(set(t.words))
-    rare = -log_freq[buckets]
-    rare_low, rare_high = _quantiles(rare, (0.25, 0.75))
-    subs = t.subs.sum()
-    return np.array(
-        [
-            np.log(n),
-            distinct / np.sqrt(2 * n),
-            np.log(distinct) / np.log(n + 1),
-            lengths.mean(),
-            _quantiles(lengths, (0.9,))[0],
-            (lengths >= 8).mean(),
-            (lengths >= 12).mean(),
-            np.log(sizes.mean()),
-            np.log(_quantiles(sizes, (0.9,))[0]),
-            np.log(sizes.max()),
-            t.joins.sum() / sentences,
-            subs / sentences,
-            subs / n,
-            _quantiles(t.subs, (0.9,))[0],
-            t.commas.sum() / sentences,
-            rare.mean(),
-            rare_high,
-            rare_low,
-        ]
-    )
-
-
-def difficulty_features(buckets: np.ndarray, starts: np.ndarray, difficulty: np.ndarray) -> np.ndarray:
-    """Mean and spread of word difficulty over distinct words, and over sentences (so one passage does not decide)."""
-    d = difficulty[np.unique(buckets)]
-    sizes = np.diff(np.append(starts, len(buckets)))
-    s = np.add.reduceat(difficulty[buckets].astype(np.float64), starts) / sizes
-    return np.array([d.mean(), np.square(d).mean(), *_quantiles(d, (0.1, 0.5, 0.9)), *_quantiles(s, (0.1, 0.25, 0.5, 0.75, 0.9)), s.mean()])
-
-
-N_DIFFICULTY = 11
-
-
-def word_difficulty(bags: list[tuple[np.ndarray, np.ndarray]], levels: np.ndarray, size: int, prior: float) -> np.ndarray:
-    """For each bucket the mean level of texts that use it, less the overall mean, shrunk by ``prior`` texts."""
-    total, n = np.zeros(size), np.zeros(size)
-    overall = levels.mean() if len(levels) else 0.0
-    for (bag, _), level in zip(bags, levels):
-        bag = np.unique(bag)
-        total[bag] += level - overall
-        n[bag] += 1
-    return total / (n + prior)
+
+
+def parse(texts: list[str], words: _Words) -> Parsed:
+    """``texts.label`` says which of the texts have words. A sentence ends with a sign before a blank, or with the line."""
+    numbers: list[int] = []
+    counts = []
+    for t in texts:
+        found = _TOKEN.findall(t.lower())
+        numbers += map(words.__getitem__, found)
+        counts.append(len(found))
+    ids = np.array(numbers, np.int64)
+    text = np.repeat(np.arange(len(texts)), counts)
+    sentence = np.cumsum(ids == _END) + text
+    word = ids > _END
+    sentences = Groups(sentence[word])
+    of_text = text[word]
+    comma = sentence[ids == _COMMA]
+    at = np.searchsorted(sentences.label, comma)
+    ok = at < len(sentences.label)
+    ok[ok] = sentences.label[at[ok]] == comma[ok]
+    commas = np.bincount(at[ok], minlength=len(sentences.label)).astype(np.float64)
+    return Parsed(ids[word], Groups(of_text), sentences, Groups(of_text[sentences.first]), commas)
+
+
+def features(t: Parsed, words: _Words) -> np.ndarray:
+    """One row for each text with words."""
+    size, rare = np.frombuffer(words.size, np.float32)[t.words], np.frombuffer(words.rare, np.float32)[t.words]
+    common = np.frombuffer(words.common, np.uint8)[t.words]
+    # the language whose function words are most frequent
+    speech = np.argmax([t.texts.sum((common >> k) & 1) for k in range(len(FUNCTION_WORDS))], axis=0).astype(np.uint8)
+    of_word = speech[t.texts.index]
+    joins = (np.frombuffer(words.joins, np.uint8)[t.words] >> of_word) & 1
+    subs = (np.frombuffer(words.subs, np.uint8)[t.words] >> of_word) & 1
+    text, part, sentence = t.texts, t.of_sentences, t.sentences
+    n = text.size.astype(np.float64)
+    distinct = np.bincount(np.unique((text.index.astype(np.int64) << 32) | t.words) >> 32, minlength=len(n)).astype(np.float64)
+    # of each sentence: words, subordinators, joining words, mean length and rarity of words, share of long ones, extremes
+    sizes, deep, joined = sentence.size.astype(np.float64), sentence.sum(subs), sentence.sum(joins)
+    length, rarity, long = sentence.mean(size), sentence.mean(rare), sentence.mean(size >= 8)
+    longest, rarest = np.maximum.reduceat(size, sentence.first), np.maximum.reduceat(rare, sentence.first)
+    low, five = (0.1, 0.25, 0.5, 0.75, 0.9), (0.25, 0.5, 0.75, 0.9)
+    columns = [
+        # diversity
+        np.log(n), distinct / np.sqrt(2 * n), np.log(distinct) / np.log(n + 1),
+        # lengths
+        text.mean(size), text.quantiles(size, (0.9,)), text.mean(size >= 8), text.mean(size >= 12),
+        np.log(part.mean(sizes)), np.log(np.maximum.reduceat(sizes, part.first)), np.log(part.quantiles(sizes, low)),
+        part.quantiles(length, low), part.mean(long), part.quantiles(long, (0.25, 0.5, 0.75)), part.mean(longest),
+        # connectives
+        part.mean(joined), part.mean(joined > 0), part.mean(deep), text.mean(subs),
+        # clause depth
+        part.mean(deep > 0), part.mean(deep > 1), part.quantiles(deep, five), part.mean(t.commas), part.mean(t.commas > 0),
+        part.quantiles(t.commas, five), part.quantiles(deep + t.commas, five), part.mean((deep == 0) & (sizes < 10)),
+        # rarity
+        text.mean(rare), text.quantiles(rare, low), part.quantiles(rarity, low), part.mean(rarest),
+        np.eye(len(FUNCTION_WORDS))[speech],
+    ]
+    return np.column_stack(columns)
 
 
 @dataclass
@@ -203,72 +243,59 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int) -> Or
     return OrdinalModel(mean, scale, theta[:d], np.sort(theta[d:]), levels)
 
 
-def word_counts(docs: DataFrame, p: ReadingParams) -> np.ndarray:
-    """Log relative frequency of every bucket, from all documents."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n) over all documents; counts are added up in each task before they are shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << p.count_bits, np.int64)
-        buckets = _Buckets(p.count_bits)
+        total: Counter[str] = Counter()
         for pdf in batches:
-            words: list[str] = []
             for t in pdf["text"]:
-                words += text_words(t)
-                if len(words) > 500_000:
-                    total += np.bincount(buckets.of(words), minlength=len(total))
-                    words = []
-            if words:
-                total += np.bincount(buckets.of(words), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": used, "n": total[used]})
+                total.update(_WORD.findall(t.lower()))
+            if len(total) > 500_000:
+                yield pd.DataFrame({"word": list(total.keys()), "n": list(total.values())})
+                total = Counter()
+        yield pd.DataFrame({"word": list(total.keys()), "n": list(total.values())}).astype({"n": "int64", "word": "str"})
+
+    return docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_rarity(docs: DataFrame, p: ReadingParams) -> WordModel:
+    """Minus the logarithm of the share of each word that makes up ``least_share`` of all words or more."""
+    counted = cut(count_words(docs))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    kept = counted.filter(F.col("n") >= p.least_share * total)  # at most 1 / least_share words
+    got = kept.toPandas()
+    release(counted)
+    rare = -np.log(got["n"].to_numpy(np.float64) / max(total, 1))
+    return WordModel(dict(zip(got["word"], rare.tolist())), -float(np.log(p.least_share)))
 
-    got = docs.select("text").mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << p.count_bits)
-    counts[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
-    return np.log((counts + 0.5) / (counts.sum() + 1)).astype(np.float32)
 
+def _parts(pdf: pd.DataFrame, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Rows in runs of at most ``most`` characters (or of one text)."""
+    size = np.cumsum(pdf["text"].str.len().to_numpy(np.int64)) // most
+    for _, part in pdf.groupby(size, sort=True):
+        yield part
 
-def graded_features(docs: DataFrame, labels: DataFrame, log_freq: np.ndarray, p: ReadingParams) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """(base features, (buckets, sentence starts), levels, ids) of graded documents; one graded twice comes twice."""
+
+def graded_features(docs: DataFrame, labels: DataFrame, model: WordModel, p: ReadingParams) -> tuple[np.ndarray, np.ndarray]:
+    """Features and levels of at most ``graded_rows`` graded documents; one graded twice comes twice."""
     graded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("reading_level").cast("double").alias("level")).filter("doc_id is not null and level is not null")
     graded = graded.orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id", "level").limit(p.graded_rows)
     rows = docs.join(F.broadcast(graded), "doc_id")  # at most graded_rows rows
-    shared = docs.sparkSession.sparkContext.broadcast(log_freq)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets = _Buckets(p.count_bits)
-        for pdf in batches:
-            x, bags, starts, level, ids = [], [], [], [], []
-            for i, t, y in zip(pdf["doc_id"], pdf["text"], pdf["level"]):
-                q = parse(t)
-                if q.words:
-                    b = buckets.of(q.words)
-                    x.append(base_features(q, b, shared.value).tolist())
-                    bags.append(b.tolist())
-                    starts.append(q.starts.tolist())
-                    level.append(y)
-                    ids.append(i)
-            yield pd.DataFrame({"doc_id": ids, "x": x, "bag": bags, "starts": starts, "level": level})
-
-    got = rows.select("doc_id", "text", "level").mapInPandas(run, "doc_id long, x array<double>, bag array<long>, starts array<long>, level double").toPandas()
+        words = _Words(shared.value)
+        for batch in batches:
+            for pdf in _parts(batch):
+                q = parse(pdf["text"].tolist(), words)
+                if len(q.words):
+                    own = pdf.iloc[q.texts.label]
+                    yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "x": list(features(q, words)), "level": own["level"].to_numpy()})
+
+    got = rows.select("doc_id", "text", "level").mapInPandas(run, "doc_id long, x array<double>, level double").toPandas()
     got = got.sort_values(["doc_id", "level"], ignore_index=True)
-    x = np.array(got["x"].tolist(), np.float64).reshape(len(got), N_BASE)
-    return x, [(np.asarray(b, np.int64), np.asarray(c, np.int64)) for b, c in zip(got["bag"], got["starts"])], got["level"].to_numpy(np.float64), got["doc_id"].to_numpy(np.int64)
-
-
-def train(x: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ids: np.ndarray, p: ReadingParams) -> tuple[OrdinalModel, np.ndarray]:
-    """The regression, and the word difficulties of all graded texts for use on new ones."""
-    size = 1 << p.count_bits
-    fold = ids % p.folds
-    extra = np.zeros((len(y), N_DIFFICULTY))
-    for f in range(p.folds):
-        own = np.flatnonzero(fold == f)
-        other = np.flatnonzero(fold != f)
-        if len(own):
-            d = word_difficulty([bags[i] for i in other], y[other], size, p.prior)
-            for i in own:
-                extra[i] = difficulty_features(*bags[i], d)
-    model = fit_ordinal(np.hstack([x, extra]), y, p.penalty, p.rounds)
-    return model, word_difficulty(bags, y, size, p.prior)
+    return np.array(got["x"].tolist(), np.float64), got["level"].to_numpy(np.float64)
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, p: ReadingParams = ReadingParams()) -> DataFrame:
@@ -279,28 +306,30 @@ def reading_levels(docs: DataFrame, labels: DataFrame, p: ReadingParams = Readin
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    log_freq = word_counts(rows, p)
-    x, bags, y, ids = graded_features(rows, labels, log_freq, p)
-    if not len(y):
+    words_of = word_rarity(rows, p)
+    x, levels = graded_features(rows, labels, words_of, p)
+    if not len(levels):
         return spark.createDataFrame([], "doc_id long, reading_level long")
-    model, difficulty = train(x, bags, y, ids, p)
-    shared = spark.sparkContext.broadcast((log_freq, model, difficulty.astype(np.float32)))
+    model = fit_ordinal(x, levels, p.penalty, p.rounds)
+    shared = spark.sparkContext.broadcast((words_of, model))  # bounded by least_share and graded_rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        freq, m, hard = shared.value
-        buckets = _Buckets(p.count_bits)
-        for pdf in batches:
-            out_ids, feats, plain = [], [], []
-            for i, t in zip(pdf["doc_id"], pdf["text"]):
-                q = parse(t)
-                if q.words:
-                    b = buckets.of(q.words)
-                    feats.append(np.concatenate([base_features(q, b, freq), difficulty_features(b, q.starts, hard)]))
-                    out_ids.append(i)
-                elif _HAS_WORD.search(t):
-                    plain.append(i)
-            level = m.predict(np.array(feats)).astype(np.int64) if feats else np.zeros(0, np.int64)
-            yield pd.DataFrame({"doc_id": np.array(out_ids + plain, np.int64), "reading_level": np.concatenate([level, np.full(len(plain), int(m.levels[0]), np.int64)])})
+        known, m = shared.value
+        words = _Words(known)
+        for batch in batches:
+            for pdf in _parts(batch):
+                if len(words) > 500_000:
+                    words.reset()
+                texts, ids = pdf["text"].tolist(), pdf["doc_id"].to_numpy(np.int64)
+                q = parse(texts, words)
+                level = np.full(len(texts), int(m.levels[0]), np.int64)
+                if len(q.words):
+                    level[q.texts.label] = m.predict(features(q, words)).astype(np.int64)
+                some = np.zeros(len(texts), bool)
+                some[q.texts.label] = True
+                for i in np.flatnonzero(~some).tolist():
+                    some[i] = bool(_HAS_WORD.search(texts[i]))
+                yield pd.DataFrame({"doc_id": ids[some], "reading_level": level[some]})
 
     found = rows.mapInPandas(run, "doc_id long, reading_level long")
     return found.groupBy("doc_id").agg(F.max("reading_level").alias("reading_level"))

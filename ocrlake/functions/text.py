@@ -7,11 +7,13 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ALNUM = r"\p{IsAlphabetic}\p{N}"
+_PY_ALNUM = r"\p{Alphabetic}\p{N}"  # the same for the regex module
 
 
 def wstrim(c: Column) -> Column:
@@ -35,46 +37,58 @@ def normalize_search_text(c: Column) -> Column:
 def normalize_search_query(raw: str) -> str:
     """``normalize_search_text`` for one string on the driver."""
     s = unicodedata.normalize("NFC", raw).lower()
-    out = []
-    for i, ch in enumerate(s):
-        keep = ch.isalnum() or ch == "." and 0 < i < len(s) - 1 and s[i - 1].isalnum() and s[i + 1].isalnum()
-        out.append(ch if keep else " ")
-    return " ".join("".join(out).split())
+    s = regex.sub(rf"(?<![{_PY_ALNUM}])\.|\.(?![{_PY_ALNUM}])", " ", s)
+    return regex.sub(rf"[^{_PY_ALNUM}.]+", " ", s).strip(" ")
 
 
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
-    """Letters with marks and their base letters, then the combining marks, which translate() drops."""
-    marked, base = [], []
+    """What one fold does on both sides, index and query: letters with marks over a letter of a to z become that letter,
+    the two special forms of s and sigma their plain ones, and combining marks (which translate() drops) go. Marks over
+    any other letter, as in й, ά or ガ, are part of it."""
+    marked, base = ["ς", "ſ"], ["σ", "s"]
     for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         ch = chr(cp)
         parts = unicodedata.normalize("NFD", ch)
-        if len(parts) > 1 and ch.islower() and all(unicodedata.combining(x) for x in parts[1:]):
+        if len(parts) > 1 and ch.islower() and parts[0].isascii() and all(unicodedata.combining(x) for x in parts[1:]):
             marked.append(ch)
             base.append(parts[0])
     return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(base)
 
 
 def fold_marks(c: Column) -> Column:
-    """Lower-case text without diacritics; letters with strokes (đ, ø, ł) are letters of their own and stay."""
+    """Lower-case composed text without diacritics on Latin letters; letters with strokes (đ, ø, ł) stay."""
     return F.translate(c, *_fold_table())
 
 
+@lru_cache(maxsize=1)
+def _fold_map() -> dict[int, str | None]:
+    marked, base = _fold_table()
+    return {ord(ch): base[i] if i < len(base) else None for i, ch in enumerate(marked)}
+
+
+def fold_marks_of(text: str) -> str:
+    """``fold_marks`` for one string."""
+    return text.translate(_fold_map())
+
+
 def fts_tokens(c: Column) -> Column:
     """Index tokens: runs of letters, digits and private-use characters, lower case, without diacritics."""
     return F.regexp_extract_all(fold_marks(F.lower(c)), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
 
 
+_TOKEN = regex.compile(r"[\p{L}\p{N}\p{Co}]+")
+
+
 def fts_tokens_of(text: str) -> list[str]:
-    s = "".join(ch for ch in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(ch))
-    return re.findall(r"[^\W_]+", unicodedata.normalize("NFC", s))
+    return _TOKEN.findall(fold_marks_of(unicodedata.normalize("NFC", text).lower()))
 
 
 def query_phrases(raw: str) -> list[list[str]] | None:
     """Phrases of a query: one for each word, its tokens in order, the last one a prefix. None if there is no token."""
     phrases = []
     for word in normalize_search_query(raw).split():
-        tokens = fts_tokens_of("".join(ch for ch in word if ch.isalnum() or ch == "."))
+        tokens = fts_tokens_of(word)
         if tokens:
             phrases.append(tokens)
     return phrases or None
@@ -82,8 +96,7 @@ def query_phrases(raw: str) -> list[list[str]] | None:
 
 def safe_fts_query(raw: str) -> str | None:
     """The query as a safe match expression: quoted prefix words joined by AND, or None."""
-    words = ["".join(ch for ch in w if ch.isalnum() or ch == ".") for w in normalize_search_query(raw).split()]
-    words = [w for w in words if w]
+    words = normalize_search_query(raw).split()
     return " AND ".join(f'"{w}"*' for w in words) if words else None
 
 

@@ -11,8 +11,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ocrlake.functions.paths import extension, file_name
 from ocrlake.functions.ranks import row_numbers
-from ocrlake.schema import FAILED, PENDING, PROCESSING, SUCCEEDED
+from ocrlake.functions.text import delete_key
+from ocrlake.schema import FAILED, PENDING, PROCESSING, SUCCEEDED, EngineError
 
 STATUSES = (PENDING, PROCESSING, SUCCEEDED, FAILED)
 
@@ -108,15 +110,22 @@ def engine_diagnostics(items: DataFrame, target: str) -> DataFrame:
     )
 
 
-def duplicate_texts(items: DataFrame) -> DataFrame:
-    """(text_hash, copies, first_id, last_id) of texts that several items share, blank ones aside.
+def text_digests(rows: DataFrame) -> DataFrame:
+    """(id, text_hash, updated_at) of item rows; null for blank texts. Texts go no further than this."""
+    return rows.select("id", F.when(F.trim("ocr_text") != "", F.sha2("ocr_text", 256)).alias("text_hash"), "updated_at")
 
-    Texts are compared by their SHA-256, so that only digests are shuffled.
-    """
-    rows = items.filter(F.trim("ocr_text") != "").select("id", F.sha2("ocr_text", 256).alias("text_hash"))
+
+def duplicate_texts(digests: DataFrame) -> DataFrame:
+    """(text_hash, copies, first_id, last_id) of texts that several items (id, text_hash) share, blank ones aside."""
+    rows = digests.filter("text_hash is not null")
     return rows.groupBy("text_hash").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("copies > 1")
 
 
+def duplicate_members(digests: DataFrame) -> DataFrame:
+    """(text_hash, id) of every item whose text another item has too."""
+    return digests.join(duplicate_texts(digests).select("text_hash"), "text_hash", "left_semi").select("text_hash", "id")
+
+
 def service_status(items: DataFrame, jobs: DataFrame, vectors: DataFrame, model_id: str, model_version: str, watched: int = 0) -> DataFrame:
     """One long table (area, name, value) of item, job and vector counts."""
     parts = []
@@ -130,6 +139,45 @@ def service_status(items: DataFrame, jobs: DataFrame, vectors: DataFrame, model_
 # --------------------------------------------------------------------------------------------------- changes
 
 
+def insert_folder(folders: DataFrame, path: str, now: datetime, recursive: bool = True) -> DataFrame:
+    """``folders`` with a new enabled folder; a path that is there in any (ASCII) case is an error."""
+    if folder_by_path(folders, path).head(1):
+        raise EngineError("FOLDER_ALREADY_EXISTS", path)
+    stamp = F.lit(now).cast("timestamp")
+    new = folders.sparkSession.createDataFrame([(path, 1, int(recursive))], "path string, enabled int, is_recursive int")
+    new = next_ids(folders, new, ["path"]).withColumns({"created_at": stamp, "updated_at": stamp})
+    return folders.unionByName(new, allowMissingColumns=True)
+
+
+def rename_items(renames: DataFrame, items: DataFrame, jobs: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """Items of ``renames`` (folder_id, old_path, new_path) under their new path, name and extension, and the jobs without
+    delete jobs for the old paths, in any status. Id, time, hash, text and vector of an item stay.
+
+    A path renamed twice goes to the greatest new path.
+    """
+    r = renames.groupBy("folder_id", F.col("old_path").alias("path")).agg(F.max("new_path").alias("_new"))
+    out = items.join(r, ["folder_id", "path"], "left")
+    moved, new = F.col("_new").isNotNull(), F.col("_new")
+    values = {"path": F.coalesce("_new", "path"), "filename": F.when(moved, file_name(new)).otherwise(F.col("filename")), "extension": F.when(moved, extension(new)).otherwise(F.col("extension"))}
+    values |= {"updated_at": F.when(moved, F.lit(now).cast("timestamp")).otherwise(F.col("updated_at"))}
+    gone = r.select(delete_key(F.col("folder_id"), F.col("path")).alias("dedupe_key"))
+    return out.withColumns(values).select(items.columns), jobs.join(gone, "dedupe_key", "left_anti").select(jobs.columns)
+
+
+def vector_of_item(vectors: DataFrame, item_id: int) -> DataFrame:
+    return vectors.filter(F.col("screenshot_id") == item_id)
+
+
+def delete_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """``vectors`` without those of ``ids`` (id)."""
+    return vectors.join(ids.select(F.col("id").alias("screenshot_id")), "screenshot_id", "left_anti").select(vectors.columns)
+
+
+def clear_vectors(vectors: DataFrame, model_id: str) -> DataFrame:
+    """``vectors`` without those of a model, whatever its version."""
+    return vectors.filter(~F.col("model_id").eqNullSafe(F.lit(model_id)))
+
+
 def next_ids(state: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` with ids after the greatest of ``state``, in the given order."""
     top = state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]

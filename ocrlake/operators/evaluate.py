@@ -31,10 +31,9 @@ def edit_distance(a: list, b: list) -> int:
     return score
 
 
-@F.pandas_udf(T.LongType())
-def char_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Edits between two texts, by code points; null if either is."""
-    return pd.Series([None if r is None or h is None else edit_distance(list(r), list(h)) for r, h in zip(ref, hyp)], dtype="Int64")
+def char_distance(ref: Column | str, hyp: Column | str) -> Column:
+    """Edits between two texts, by code points; null if either is. Stays in the JVM."""
+    return F.levenshtein(ref, hyp).cast("long")
 
 
 @F.pandas_udf(T.LongType())
@@ -52,6 +51,16 @@ def error_rate(distance: Column, ref_size: Column, hyp_size: Column) -> Column:
     return F.when(ref_size > 0, distance / ref_size).when(hyp_size > 0, 1.0).otherwise(0.0)
 
 
+def readings_by_name(fixtures: DataFrame, readings: DataFrame) -> DataFrame:
+    """(fixture_name, ref, hyp) of fixtures (fixture_name, text) and readings (fixture_name, text) of the same name.
+
+    A fixture without a reading has the empty one; readings of unknown fixtures are left out. Of several readings of one
+    name the greatest counts.
+    """
+    read = readings.groupBy("fixture_name").agg(F.max("text").alias("hyp"))
+    return fixtures.select("fixture_name", F.col("text").alias("ref")).join(read, "fixture_name", "left").withColumn("hyp", F.coalesce("hyp", F.lit("")))
+
+
 def error_rates(pairs: DataFrame) -> DataFrame:
     """``pairs`` (ref, hyp, any others) with char_dist, ref_chars, cer, word_dist, ref_words, wer."""
     out = pairs.withColumns({"char_dist": char_distance("ref", "hyp"), "word_dist": word_distance("ref", "hyp")})

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ocrlake.functions.text import wstrim
 from ocrlake.schema import EngineError
 
+# Side and overlap of tiles
 TILE_SIZE, TILE_OVERLAP = 2000, 150
 
 # --------------------------------------------------------------------------------------------------- tiling
@@ -53,22 +54,31 @@ def tiles(width: Column, height: Column, most: Column) -> Column:
     return F.when(kind == "vertical_tiling", vertical).when(kind == "horizontal_tiling", horizontal).otherwise(F.array(tile(zero, zero, dw, dh)))
 
 
+_RECENT = 6  # kept lines that a new one is compared with
+
+
+def _ascii_fold(s: str) -> str:
+    return s.translate({cp: cp + 32 for cp in range(65, 91)})
+
+
 def merge_tile_lines(texts: list[str]) -> str:
     """Lines of overlapping tiles in order, without those that one of the last six kept lines already has.
 
-    ASCII case does not matter. A kept line that is the beginning of the new one is replaced by it.
+    ASCII case does not matter. Of the recent lines the first that settles the new one counts: an equal line drops it, a
+    line that is its beginning is replaced by it.
     """
-    fold = lambda s: "".join(ch.lower() if ch.isascii() else ch for ch in s)
     kept: list[str] = []
-    for line in (x.strip() for t in texts for x in t.splitlines()):
-        if not line:
-            continue
-        first = max(0, len(kept) - 6)
-        at = next((i for i in range(first, len(kept)) if fold(kept[i]) == fold(line) or line.startswith(kept[i])), None)
-        if at is None:
-            kept.append(line)
-        elif fold(kept[at]) != fold(line):
-            kept[at] = line
+    for text in texts:
+        for line in filter(None, map(str.strip, text.splitlines())):
+            form = _ascii_fold(line)
+            for at in range(max(0, len(kept) - _RECENT), len(kept)):
+                if _ascii_fold(kept[at]) == form:
+                    break
+                if line.startswith(kept[at]):
+                    kept[at] = line
+                    break
+            else:
+                kept.append(line)
     return "\n".join(kept)
 
 
@@ -96,6 +106,7 @@ _EXACT_PARTS = (
     "/usr/", "/home/", "/etc/", "/var/", "/node_modules/", "/api/", "\\Users\\", "\\Project\\", "\\AppData\\", "\\Program Files\\",
     "::", "->", "=>", "&&", "||", "==", "!=", "/*", "*/", "//", "fn ", "pub fn", "let mut", "const ",
 )
+# Beginnings, pairs of key words and port numbers that make a line technical
 _STARTS = ("./", "../", "GET /", "POST /", "PUT /", "DELETE /", "PS ", "$ ", "> ")
 _PAIRS = (("SELECT ", "FROM "), ("INSERT INTO ", "VALUES"), ("UPDATE ", "SET "), ("DELETE FROM ", "WHERE "))
 _PORTS = ("8080", "3000", "6379", "5432", "8000", "8443")
@@ -122,10 +133,11 @@ def strong_technical(line: Column) -> Column:
         # P and four digits as a word of its own
         line.rlike(rf"(?U)(?:^|\s)[^{_AN}\s]*[Pp][0-9]{{4}}[^{_AN}\s]*(?=\s|$)"),
         line.rlike(r"(?U)(?:^|\s)@[^\s]*/"),
-        # key=value with one equals sign, a plain key, and a hexadecimal digit in the value
-        line.rlike(rf"(?U)(?:^|\s)(?=[^\s]{{5,}})[^{_AN}_\-=\s]*[{_AN}_\-]+[^{_AN}_\-=\s]*=[^=\s]*[0-9A-Fa-f][^=\s]*(?=\s|$)"),
-        line.rlike(r"(?U)(?:^|\s)0[xX][^\s]{2,}"),
-        line.rlike(r"(?U)(?:^|\s)(?:ORA-[^\s]|SIG[^\s]{2,})"),
+        # key=value with one equals sign, a plain key, and a hexadecimal digit in the value; five bytes or more
+        line.contains("=") & F.exists(F.split(line, r"(?U)\s+"), lambda w: (F.octet_length(w) >= 5) & w.rlike(rf"^[^{_AN}_\-=]*[{_AN}_\-]+[^{_AN}_\-=]*=[^=]*[0-9A-Fa-f][^=]*$")),
+        # prefixes with two bytes or more (0x, SIG) or one byte or more (ORA-) after them
+        line.rlike(r"(?U)(?:^|\s)0[xX](?:[^\s]{2}|[^\s\x00-\x7f])"),
+        line.rlike(r"(?U)(?:^|\s)(?:ORA-[^\s]|SIG(?:[^\s]{2}|[^\s\x00-\x7f]))"),
     ]
     for a, b in _PAIRS:
         rules.append(line.contains(a) & line.contains(b))
@@ -292,28 +304,31 @@ def _same_line(a: Box, b: Box) -> bool:
     return shared >= 0.35 * min(ha, hb) and gap <= max(3 * max(ha, hb), 20)
 
 
+def _joined_once(boxes: list[Box]) -> list[Box]:
+    """One pass: each box in order takes in the boxes after it that are of its line, growing as it goes."""
+    out, taken = [], [False] * len(boxes)
+    for i, box in enumerate(boxes):
+        if taken[i]:
+            continue
+        for j in range(i + 1, len(boxes)):
+            if not taken[j] and _same_line(box, boxes[j]):
+                other = boxes[j]
+                box = (min(box[0], other[0]), min(box[1], other[1]), max(box[2], other[2]), max(box[3], other[3]))
+                taken[j] = True
+        out.append(box)
+    return out
+
+
 def merge_boxes(boxes: list[Box]) -> list[Box]:
-    """Boxes of one text line joined until nothing joins, in reading order (by lines, then from the left)."""
-    if len(boxes) <= 1:
-        return list(boxes)
-    todo, done = list(boxes), []
-    while todo:
-        cur = todo.pop(0)
-        rest = []
-        grown = False
-        for b in todo:
-            if _same_line(cur, b):
-                cur = (min(cur[0], b[0]), min(cur[1], b[1]), max(cur[2], b[2]), max(cur[3], b[3]))
-                grown = True
-            else:
-                rest.append(b)
-        if grown:
-            todo = [b for b in done if _same_line(cur, b)] + rest
-            done = [b for b in done if not _same_line(cur, b)]
-            todo.insert(0, cur)
-        else:
-            done.append(cur)
-            todo = rest
+    """Boxes of one text line joined, pass by pass until none joins, in reading order (by lines, then from the left).
+
+    A pass goes forward from each box, so what a grown box overlaps depends on the order, and the next pass sees it.
+    """
+    done = list(boxes)
+    if len(done) <= 1:
+        return done
+    while len(joined := _joined_once(done)) < len(done):
+        done = joined
     from functools import cmp_to_key
 
     def order(a: Box, b: Box) -> int:
@@ -388,6 +403,7 @@ class Recognised:
 #: A recogniser takes a path (and bytes, if it wants them) and gives ``Recognised`` or raises.
 Engine = Callable[[str], Recognised]
 
+# Wire names of the modes, and names of the pipelines
 AUTO, NATIVE, HYBRID = "auto", "windows_native", "hybrid_vietnamese"
 MODES = (AUTO, NATIVE, HYBRID)
 NATIVE_PIPELINE, HYBRID_PIPELINE = "windows_media_ocr:10.0", "hybrid_windows_vietocr:hybrid_v2"

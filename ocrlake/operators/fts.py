@@ -9,16 +9,16 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ocrlake.functions.text import fts_tokens, normalize_search_text, query_phrases
+from ocrlake.functions.text import fold_marks_of, fts_tokens, normalize_search_text, query_phrases
 
 SUCCEEDED = "SUCCEEDED"
 # Fixed values of the ranking function: term saturation, length weight, column weights, floor of the idf
@@ -99,9 +99,8 @@ def keyword_matches(index: DataFrame, query: str, folder_id: int | None = None)
 
 def _spans(text: str) -> list[tuple[int, int, str]]:
     out = []
-    for m in re.finditer(r"[^\W_]+", text):
-        folded = "".join(ch for ch in unicodedata.normalize("NFD", m.group().lower()) if not unicodedata.combining(ch))
-        out.append((m.start(), m.end(), folded))
+    for m in regex.finditer(r"[\p{L}\p{N}\p{Co}\u0300-\u036f]+", text):
+        out.append((m.start(), m.end(), fold_marks_of(m.group().lower())))
     return out
 
 

@@ -197,9 +197,12 @@ def re_process_jobs(items: DataFrame, target: str, limit: int = 10_000) -> DataF
     return rows.select("folder_id", F.col("id").alias("screenshot_id"), "path", F.lit(RE_OCR_JOB).alias("job_type"), re_ocr_key(F.col("id"), F.col("content_hash"), F.lit(target)).alias("dedupe_key"))
 
 
+JOB_ORDER = ("updated_at", "attempts", "status", "completed_at", "lease_until")
+
+
 def current_jobs(jobs: DataFrame) -> DataFrame:
     """Jobs once per id, as delivered last (by update time, attempts, status)."""
-    order = F.struct("updated_at", "attempts", "status", "completed_at", "lease_until", F.xxhash64(*jobs.columns))
+    order = F.struct(*JOB_ORDER, F.xxhash64(*jobs.columns))
     return jobs.groupBy(F.col("id").alias("_key")).agg(F.max_by(F.struct(*jobs.columns), order).alias("r")).select("r.*")
 
 

@@ -31,10 +31,9 @@ def guarded_missing(diff: DataFrame, inaccessible: DataFrame, gone: DataFrame |
     if gone is not None:
         missing = missing.join(gone.select("path"), "path", "left_semi")
     prefixes = inaccessible.select(F.col("path").alias("prefix")).filter("prefix is not null").distinct()
-    lengths = sorted(r["n"] for r in prefixes.select(F.length("prefix").alias("n")).distinct().limit(40_000).collect())  # path lengths: a small set
-    if not lengths:
-        return missing
-    tries = missing.select("path", F.explode(F.array(*(F.lit(n) for n in lengths))).alias("n")).filter(F.length("path") >= F.col("n"))
+    # one row that holds all lengths: at most as many as the longest path has characters
+    lengths = prefixes.agg(F.collect_set(F.length("prefix")).alias("lengths")).withColumn("_one", F.lit(1))
+    tries = missing.select("path", F.lit(1).alias("_one")).join(F.broadcast(lengths), "_one").select("path", F.explode("lengths").alias("n")).filter(F.length("path") >= F.col("n"))
     covered = tries.select("path", F.expr("substring(path, 1, n)").alias("prefix")).join(prefixes, "prefix", "left_semi").select("path").distinct()
     return missing.join(covered, "path", "left_anti")
 

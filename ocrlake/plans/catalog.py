@@ -21,16 +21,17 @@ def normalize_path(spark: SparkSession, base: str) -> DataFrame:
 
 
 def data_url(spark: SparkSession, base: str) -> DataFrame:
-    return items(spark, base).select("id", pt.data_url(F.col("extension"), F.encode("path", "utf-8")).alias("data_url"), pt.item_id_of_uri(F.concat(F.lit("image://localhost/screenshot/"), F.col("id").cast("string"), F.lit(".png"))).alias("uri_id"))
+    """The bytes of every text as a data address."""
+    return items(spark, base, "extension", "ocr_text").select("id", pt.data_url(F.col("extension"), F.encode("ocr_text", "utf-8")).alias("data_url"), pt.item_id_of_uri(F.concat(F.lit("image://localhost/screenshot/"), F.col("id").cast("string"), F.lit(".png"))).alias("uri_id"))
 
 
 def job_keys(spark: SparkSession, base: str) -> DataFrame:
     i, f, p, h = (F.col(c) for c in ("id", "folder_id", "path", "content_hash"))
-    return items(spark, base).select("id", tx.upsert_key(f, p, h).alias("upsert_key"), tx.delete_key(f, p).alias("delete_key"), tx.embed_key(i, h, MODEL_VERSION).alias("embed_key"), tx.re_ocr_key(i, h, F.lit(TARGET)).alias("re_ocr_key"))
+    return items(spark, base, "folder_id", "path", "content_hash").select("id", tx.upsert_key(f, p, h).alias("upsert_key"), tx.delete_key(f, p).alias("delete_key"), tx.embed_key(i, h, MODEL_VERSION).alias("embed_key"), tx.re_ocr_key(i, h, F.lit(TARGET)).alias("re_ocr_key"))
 
 
 def re_ocr_targets(spark: SparkSession, base: str) -> DataFrame:
-    rows = jobs(spark, base).withColumn("target", tx.re_ocr_target_pipeline(F.col("dedupe_key")))
+    rows = jobs(spark, base, "dedupe_key").withColumn("target", tx.re_ocr_target_pipeline(F.col("dedupe_key")))
     return rows.groupBy("target").agg(F.count("*").alias("n"))
 
 
@@ -38,11 +39,11 @@ def re_ocr_targets(spark: SparkSession, base: str) -> DataFrame:
 
 
 def ocr_stats(spark: SparkSession, base: str) -> DataFrame:
-    return cat.status_counts(items(spark, base))
+    return cat.status_counts(items(spark, base, "ocr_status"))
 
 
 def folder_stats(spark: SparkSession, base: str) -> DataFrame:
-    return cat.folder_counts(table(spark, base, "folders"), items(spark, base)).select("id", "path", "item_count", "indexed_count")
+    return cat.folder_counts(table(spark, base, "folders"), items(spark, base, "folder_id", "ocr_status")).select("id", "path", "item_count", "indexed_count")
 
 
 def folder_lookup(spark: SparkSession, base: str) -> DataFrame:
@@ -51,37 +52,46 @@ def folder_lookup(spark: SparkSession, base: str) -> DataFrame:
 
 
 def item_lookup(spark: SparkSession, base: str) -> DataFrame:
-    rows = items(spark, base)
+    rows = items(spark, base, "folder_id", "filename", "path")
     path = rows.filter("id = 42").first()["path"]
     return cat.item_by_path(rows, path).select("id", "folder_id", "filename").union(cat.item_by_id(cat.items_of_folder(rows, 7), 77).select("id", "folder_id", "filename"))
 
 
 def job_stats(spark: SparkSession, base: str) -> DataFrame:
-    return cat.job_counts(jobs(spark, base))
+    return cat.job_counts(jobs(spark, base, "status"))
 
 
 def embedding_stats(spark: SparkSession, base: str) -> DataFrame:
-    return cat.embedding_coverage(items(spark, base), vectors(spark, base), MODEL, MODEL_VERSION)
+    return cat.embedding_coverage(items(spark, base, "ocr_status"), vectors(spark, base), MODEL, MODEL_VERSION)
 
 
 def engine_stats(spark: SparkSession, base: str) -> DataFrame:
-    return cat.engine_diagnostics(items(spark, base), TARGET)
+    return cat.engine_diagnostics(items(spark, base, "ocr_status", "ocr_engine", "ocr_pipeline_version"), TARGET)
 
 
 def service_status(spark: SparkSession, base: str) -> DataFrame:
-    return cat.service_status(items(spark, base), jobs(spark, base), vectors(spark, base), MODEL, MODEL_VERSION, 3)
+    return cat.service_status(items(spark, base, "ocr_status"), jobs(spark, base, "status"), vectors(spark, base), MODEL, MODEL_VERSION, 3)
 
 
 def eligible_items(spark: SparkSession, base: str) -> DataFrame:
-    return cat.re_process_eligible(items(spark, base), TARGET).select("id", "ocr_pipeline_version")
+    return cat.re_process_eligible(items(spark, base, "ocr_status", "ocr_pipeline_version"), TARGET).select("id", "ocr_pipeline_version")
+
+
+def _digests(spark: SparkSession, base: str) -> DataFrame:
+    """Digests of texts before items are made single, so that no text is shuffled."""
+    return cat.distinct_items(cat.text_digests(table(spark, base, "screenshots")))
 
 
 def duplicate_texts(spark: SparkSession, base: str) -> DataFrame:
-    return cat.duplicate_texts(items(spark, base))
+    return cat.duplicate_texts(_digests(spark, base))
+
+
+def duplicate_members(spark: SparkSession, base: str) -> DataFrame:
+    return cat.duplicate_members(_digests(spark, base))
 
 
 def newest_by_hash(spark: SparkSession, base: str) -> DataFrame:
-    return cat.newest_by_hash(items(spark, base))
+    return cat.newest_by_hash(items(spark, base, "folder_id", "content_hash", "path"))
 
 
 def text_results_saved(spark: SparkSession, base: str) -> DataFrame:
@@ -92,22 +102,22 @@ def text_results_saved(spark: SparkSession, base: str) -> DataFrame:
     after = cat.mark_failed(after, rows.filter("id % 11 = 0").select("id"), NOW)
     changed = rows.filter("id % 13 = 0").select("id", (F.col("file_size") + 1).alias("file_size"), "modified_at_fs", F.lit("new").alias("content_hash"))
     after = cat.reset_changed(after, changed, NOW)
-    return after.groupBy("ocr_status", "ocr_pipeline_version").agg(F.count("*").alias("n"), F.count("ocr_text").alias("with_text"), F.sum("file_size").alias("bytes"))
+    return after.select("id", "ocr_status", "ocr_pipeline_version", "ocr_language", F.sha2("ocr_text", 256).alias("text_hash"), "file_size", "content_hash", F.unix_seconds("updated_at").alias("updated_s"))
 
 
 def vectors_upserted(spark: SparkSession, base: str) -> DataFrame:
     """One vector per item after new ones for every third."""
     v = vectors(spark, base)
     after = cat.upsert_vectors(v, v.filter("screenshot_id % 3 = 0").withColumn("model_version", F.lit("new")))
-    return after.groupBy("model_version").agg(F.count("*").alias("n"), F.countDistinct("screenshot_id").alias("n_items"))
+    return after.select("screenshot_id", "model_version", F.size("embedding").cast("long").alias("dims"))
 
 
 def folder_deleted(spark: SparkSession, base: str) -> DataFrame:
-    """What is left in each table after folder 7 and all that belongs to it."""
-    left = cat.delete_folder(7, table(spark, base, "folders"), items(spark, base), vectors(spark, base), jobs(spark, base))
+    """The rows left in each table after folder 7 and all that belongs to it."""
+    left = cat.delete_folder(7, table(spark, base, "folders"), items(spark, base, "folder_id"), vectors(spark, base), jobs(spark, base, "folder_id"))
     out = None
     for name, df in zip(("folders", "items", "vectors", "jobs"), left):
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+        one = df.select(F.lit(name).alias("table_name"), F.col("screenshot_id" if name == "vectors" else "id").alias("id"))
         out = one if out is None else out.union(one)
     return out
 
@@ -115,15 +125,19 @@ def folder_deleted(spark: SparkSession, base: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- reconciliation
 
 
+SCAN_COLUMNS = ("path", "folder_id", "content_hash", "file_size", "modified_at_fs")
+JOB_COLUMNS = ("ocr_status", "folder_id", "path", "content_hash")
+
+
 def _scan(spark: SparkSession, base: str) -> DataFrame:
     """A scan as of later: every 17th file is gone, every 13th grew, every 19th has another name."""
-    rows = items(spark, base).filter("id % 17 <> 0")
+    rows = items(spark, base, *SCAN_COLUMNS).filter("id % 17 <> 0")
     path = F.when(F.col("id") % 19 == 0, F.concat("path", F.lit(".new.png"))).otherwise(F.col("path"))
     return rows.select(path.alias("path"), "folder_id", "content_hash", F.when(F.col("id") % 13 == 0, F.col("file_size") + 1).otherwise(F.col("file_size")).alias("file_size"), "modified_at_fs").dropDuplicates(["path"])
 
 
 def _known(spark: SparkSession, base: str) -> DataFrame:
-    return items(spark, base).groupBy("path").agg(F.max_by(F.struct("id", "folder_id", "content_hash", "file_size", "modified_at_fs"), "id").alias("i")).select("path", "i.*")
+    return items(spark, base, *SCAN_COLUMNS).groupBy("path").agg(F.max_by(F.struct("id", "folder_id", "content_hash", "file_size", "modified_at_fs"), "id").alias("i")).select("path", "i.*")
 
 
 def scan_diff(spark: SparkSession, base: str) -> DataFrame:
@@ -154,7 +168,7 @@ def rename_detect(spark: SparkSession, base: str) -> DataFrame:
 
 def job_enqueue(spark: SparkSession, base: str) -> DataFrame:
     """The queue after a scan's jobs for all pending items."""
-    after = jb.enqueue(jobs(spark, base), jb.scan_jobs(items(spark, base)), NOW)
+    after = jb.enqueue(jobs(spark, base), jb.scan_jobs(items(spark, base, *JOB_COLUMNS)), NOW)
     return after.select("id", "dedupe_key", "status", "attempts", "screenshot_id")
 
 
@@ -174,48 +188,49 @@ def job_complete(spark: SparkSession, base: str) -> DataFrame:
     now = jobs(spark, base)
     done = now.filter("status = 'PROCESSING'").select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("screenshot_id"))
     after = jb.complete(now, done, NOW)
-    return after.groupBy("status").agg(F.count("*").alias("n"), F.count("lease_until").alias("leased"), F.sum("screenshot_id").alias("items"))
+    return after.select("id", "status", "screenshot_id", F.unix_seconds("lease_until").alias("lease_s"), F.unix_seconds("completed_at").alias("completed_s"))
 
 
 def job_recover(spark: SparkSession, base: str) -> DataFrame:
-    return jb.recover_stale(jobs(spark, base), NOW).groupBy("status").agg(F.count("*").alias("n"), F.count("lease_until").alias("leased"))
+    return jb.recover_stale(jobs(spark, base, "status", "lease_until", "updated_at"), NOW).select("id", "status", F.unix_seconds("lease_until").alias("lease_s"))
 
 
 def job_retention(spark: SparkSession, base: str) -> DataFrame:
-    return jb.expire(jobs(spark, base), NOW).groupBy("status").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return jb.expire(jobs(spark, base, "status", "completed_at"), NOW).select("id", "status")
 
 
 def job_retry_failed(spark: SparkSession, base: str) -> DataFrame:
-    return jb.retry_all_failed(jobs(spark, base), NOW).groupBy("status").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"), F.count("last_error_code").alias("errors"))
+    return jb.retry_all_failed(jobs(spark, base), NOW).select("id", "status", "attempts", "last_error_code", F.unix_seconds("available_at").alias("available_s"), F.unix_seconds("completed_at").alias("completed_s"))
 
 
 def job_backoff(spark: SparkSession, base: str) -> DataFrame:
-    return jobs(spark, base).select("id", jb.backoff_seconds(F.col("attempts")).alias("seconds"), F.coalesce(jb.is_permanent(F.col("last_error_code")), F.lit(False)).alias("permanent"))
+    return jobs(spark, base, "attempts", "last_error_code").select("id", jb.backoff_seconds(F.col("attempts")).alias("seconds"), F.coalesce(jb.is_permanent(F.col("last_error_code")), F.lit(False)).alias("permanent"))
 
 
 def job_next_per_folder(spark: SparkSession, base: str) -> DataFrame:
-    return jb.first_claimable_per_folder(jobs(spark, base), NOW).select("folder_id", "id")
+    return jb.first_claimable_per_folder(jobs(spark, base, "folder_id", "status", "available_at"), NOW).select("folder_id", "id")
 
 
 def pending_embeddings(spark: SparkSession, base: str) -> DataFrame:
-    return jb.embedding_jobs(items(spark, base), vectors(spark, base), MODEL, MODEL_VERSION).select("screenshot_id", "dedupe_key")
+    return jb.embedding_jobs(items(spark, base, *JOB_COLUMNS), vectors(spark, base), MODEL, MODEL_VERSION).select("screenshot_id", "dedupe_key")
 
 
 def re_process_jobs(spark: SparkSession, base: str) -> DataFrame:
-    return jb.re_process_jobs(items(spark, base), TARGET).select("screenshot_id", "dedupe_key")
+    return jb.re_process_jobs(items(spark, base, *JOB_COLUMNS, "ocr_pipeline_version"), TARGET).select("screenshot_id", "dedupe_key")
 
 
 def pending_batch(spark: SparkSession, base: str) -> DataFrame:
-    rows = items(spark, base)
-    batch = jb.pending_items(rows).select("id")
-    return jb.recover_items(jb.claim_items(rows, batch)).groupBy("ocr_status").agg(F.count("*").alias("n")).unionByName(batch.agg(F.lit("batch").alias("ocr_status"), F.count("*").alias("n")))
+    """Every item's status after the next batch is claimed, and after a recovery of what was claimed."""
+    rows = items(spark, base, "ocr_status", "folder_id")
+    claimed = jb.claim_items(rows, jb.pending_items(rows).select("id"))
+    return jb.recover_items(claimed.withColumn("claimed", F.col("ocr_status"))).select("id", "claimed", F.col("ocr_status").alias("recovered"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_path, data_url, job_keys, re_ocr_targets, ocr_stats, folder_stats, folder_lookup, item_lookup, job_stats, embedding_stats, engine_stats,
-        service_status, eligible_items, duplicate_texts, newest_by_hash, text_results_saved, vectors_upserted, folder_deleted, scan_diff, scan_summary,
+        service_status, eligible_items, duplicate_texts, duplicate_members, newest_by_hash, text_results_saved, vectors_upserted, folder_deleted, scan_diff, scan_summary,
         guarded_missing, rename_detect, job_enqueue, job_claim, job_retry, job_complete, job_recover, job_retention, job_retry_failed, job_backoff,
         job_next_per_folder, pending_embeddings, re_process_jobs, pending_batch,
     )
@@ -242,7 +257,7 @@ b AS (SELECT *, CASE WHEN starts_with(s, '\\?\UNC\') THEN '\\' || s[9:] WHEN sta
 c AS (SELECT *, CASE WHEN regexp_matches(t, '^[A-Za-z]:') THEN upper(t[1:1]) || t[2:] ELSE t END AS u FROM b)
 SELECT path, CASE WHEN len(u) <= 3 THEN u ELSE regexp_replace(u, '\\+$', '') END AS plain, {_NAME} AS name, {_EXT} AS ext, {_TEMP} AS temporary,
   NOT {_TEMP} AND {_EXT} IN ('png', 'jpg', 'jpeg', 'webp') AS supported, {_MEDIA.format(e=_EXT)} AS media_type FROM c""",
-    "data_url": f"WITH {ITEMS_SQL} SELECT id, 'data:' || {_MEDIA.format(e='lower(extension)')} || ';base64,' || to_base64(encode(path)) AS data_url, id AS uri_id FROM items",
+    "data_url": f"WITH {ITEMS_SQL} SELECT id, 'data:' || {_MEDIA.format(e='lower(extension)')} || ';base64,' || to_base64(encode(ocr_text)) AS data_url, id AS uri_id FROM items",
     "job_keys": f"""WITH {ITEMS_SQL} SELECT id, 'UPSERT:' || folder_id || ':' || path || ':' || coalesce(content_hash, '') AS upsert_key, 'DELETE:' || folder_id || ':' || path AS delete_key,
   'EMBED:' || id || ':' || coalesce(content_hash, 'unknown') || ':{MODEL_VERSION}' AS embed_key, 'RE_OCR:' || id || ':' || coalesce(content_hash, '') || ':{TARGET}' AS re_ocr_key FROM items""",
     "re_ocr_targets": f"WITH {JOBS_SQL} SELECT nullif(regexp_extract(dedupe_key, '^RE_OCR:[^:]*:[^:]*:(.+)$', 1), '') AS target, count(*) AS n FROM jobs GROUP BY 1",
@@ -266,15 +281,15 @@ UNION ALL SELECT 'watchers', 'folders', 3""",
     "duplicate_texts": f"WITH {ITEMS_SQL} SELECT sha256(ocr_text) AS text_hash, count(*) AS copies, min(id) AS first_id, max(id) AS last_id FROM items WHERE trim(ocr_text) <> '' GROUP BY ocr_text HAVING count(*) > 1",
     "newest_by_hash": f"WITH {ITEMS_SQL} SELECT folder_id, content_hash, max(id) AS id, arg_max(path, id) AS path FROM items WHERE content_hash IS NOT NULL GROUP BY 1, 2",
     "text_results_saved": f"""WITH {ITEMS_SQL}
-SELECT ocr_status, ocr_pipeline_version, count(*) AS n, count(ocr_text) AS with_text, sum(file_size)::BIGINT AS bytes FROM (
-  SELECT CASE WHEN id % 13 = 0 THEN 'PENDING' WHEN id % 11 = 0 THEN 'FAILED' WHEN id % 7 = 0 THEN 'SUCCEEDED' ELSE ocr_status END AS ocr_status,
-    CASE WHEN id % 7 = 0 THEN 'mock:1.0' ELSE ocr_pipeline_version END AS ocr_pipeline_version,
-    CASE WHEN id % 13 = 0 THEN NULL WHEN id % 7 = 0 THEN 'text ' || id ELSE ocr_text END AS ocr_text, CASE WHEN id % 13 = 0 THEN file_size + 1 ELSE file_size END AS file_size FROM items)
-GROUP BY 1, 2""",
-    "vectors_upserted": f"WITH {VECTORS_SQL} SELECT CASE WHEN screenshot_id % 3 = 0 THEN 'new' ELSE model_version END AS model_version, count(*) AS n, count(DISTINCT screenshot_id) AS n_items FROM vecs GROUP BY 1",
+SELECT id, CASE WHEN id % 13 = 0 THEN 'PENDING' WHEN id % 11 = 0 THEN 'FAILED' WHEN id % 7 = 0 THEN 'SUCCEEDED' ELSE ocr_status END AS ocr_status,
+    CASE WHEN id % 7 = 0 THEN 'mock:1.0' ELSE ocr_pipeline_version END AS ocr_pipeline_version, CASE WHEN id % 7 = 0 THEN 'en' ELSE ocr_language END AS ocr_language,
+    sha256(CASE WHEN id % 13 = 0 THEN NULL WHEN id % 7 = 0 THEN 'text ' || id ELSE ocr_text END) AS text_hash, CASE WHEN id % 13 = 0 THEN file_size + 1 ELSE file_size END AS file_size,
+    CASE WHEN id % 13 = 0 THEN 'new' ELSE content_hash END AS content_hash,
+    CASE WHEN id % 7 = 0 OR id % 11 = 0 OR id % 13 = 0 THEN epoch({NOW_SQL})::BIGINT ELSE floor(epoch(updated_at))::BIGINT END AS updated_s FROM items""",
+    "vectors_upserted": f"WITH {VECTORS_SQL} SELECT screenshot_id, CASE WHEN screenshot_id % 3 = 0 THEN 'new' ELSE model_version END AS model_version, len(embedding) AS dims FROM vecs",
     "folder_deleted": f"""WITH {ITEMS_SQL}, {JOBS_SQL}, {VECTORS_SQL}
-SELECT 'folders' AS table_name, count(*) AS n FROM folders WHERE id <> 7 UNION ALL SELECT 'items', count(*) FROM items WHERE folder_id IS DISTINCT FROM 7
-UNION ALL SELECT 'vectors', count(*) FROM vecs WHERE screenshot_id NOT IN (SELECT id FROM items WHERE folder_id = 7) UNION ALL SELECT 'jobs', count(*) FROM jobs WHERE folder_id IS DISTINCT FROM 7""",
+SELECT 'folders' AS table_name, id FROM folders WHERE id <> 7 UNION ALL SELECT 'items', id FROM items WHERE folder_id IS DISTINCT FROM 7
+UNION ALL SELECT 'vectors', screenshot_id FROM vecs WHERE screenshot_id NOT IN (SELECT id FROM items WHERE folder_id = 7) UNION ALL SELECT 'jobs', id FROM jobs WHERE folder_id IS DISTINCT FROM 7""",
     "scan_diff": f"WITH {_SCAN} SELECT path, id, action FROM diff",
     "scan_summary": f"""WITH {_SCAN} SELECT count(*) FILTER (WHERE action <> 'missing') AS discovered, count(*) FILTER (WHERE action = 'added') AS added,
   count(*) FILTER (WHERE action = 'updated') AS updated, count(*) FILTER (WHERE action = 'unchanged') AS unchanged, count(*) FILTER (WHERE action = 'missing') AS removed, 2::BIGINT AS failed FROM diff""",
@@ -299,19 +314,23 @@ SELECT id, CASE WHEN id IN (FROM due) THEN attempts + 1 ELSE attempts END AS att
   CASE WHEN id % 3 = 0 THEN 'FileNotFound' ELSE 'DatabaseError' END AS last_error_code,
   CASE WHEN id % 3 = 0 OR attempts >= max_attempts THEN floor(epoch(available_at))::BIGINT ELSE epoch({NOW_SQL})::BIGINT + least(pow(2, least(attempts, 5)), 60)::BIGINT END AS available_s
 FROM jobs WHERE status = 'PROCESSING'""",
-    "job_complete": f"""WITH {JOBS_SQL} SELECT CASE WHEN status = 'PROCESSING' THEN 'SUCCEEDED' ELSE status END AS status, count(*) AS n, count(CASE WHEN status <> 'PROCESSING' THEN lease_until END) AS leased,
-  sum(CASE WHEN status = 'PROCESSING' AND id % 2 = 0 THEN id ELSE screenshot_id END)::BIGINT AS items FROM jobs GROUP BY 1""",
+    "job_complete": f"""WITH {JOBS_SQL} SELECT id, CASE WHEN status = 'PROCESSING' THEN 'SUCCEEDED' ELSE status END AS status,
+  CASE WHEN status = 'PROCESSING' AND id % 2 = 0 THEN id ELSE screenshot_id END AS screenshot_id, CASE WHEN status <> 'PROCESSING' THEN floor(epoch(lease_until))::BIGINT END AS lease_s,
+  CASE WHEN status = 'PROCESSING' THEN epoch({NOW_SQL})::BIGINT ELSE floor(epoch(completed_at))::BIGINT END AS completed_s FROM jobs""",
     "job_recover": f"""WITH {JOBS_SQL}, s AS (SELECT *, status = 'PROCESSING' AND (lease_until IS NULL OR lease_until < {NOW_SQL}) AS stale FROM jobs)
-SELECT CASE WHEN stale THEN 'PENDING' ELSE status END AS status, count(*) AS n, count(CASE WHEN NOT stale THEN lease_until END) AS leased FROM s GROUP BY 1""",
-    "job_retention": f"WITH {JOBS_SQL} SELECT status, count(*) AS n, min(id) AS first_id FROM jobs WHERE NOT coalesce(status = 'SUCCEEDED' AND completed_at < {NOW_SQL} - INTERVAL 24 HOUR, false) GROUP BY 1",
-    "job_retry_failed": f"""WITH {JOBS_SQL} SELECT CASE WHEN status = 'FAILED' THEN 'PENDING' ELSE status END AS status, count(*) AS n, sum(CASE WHEN status = 'FAILED' THEN 0 ELSE attempts END)::BIGINT AS attempts,
-  count(CASE WHEN status <> 'FAILED' THEN last_error_code END) AS errors FROM jobs GROUP BY 1""",
+SELECT id, CASE WHEN stale THEN 'PENDING' ELSE status END AS status, CASE WHEN NOT stale THEN floor(epoch(lease_until))::BIGINT END AS lease_s FROM s""",
+    "job_retention": f"WITH {JOBS_SQL} SELECT id, status FROM jobs WHERE NOT coalesce(status = 'SUCCEEDED' AND completed_at < {NOW_SQL} - INTERVAL 24 HOUR, false)",
+    "job_retry_failed": f"""WITH {JOBS_SQL} SELECT id, CASE WHEN status = 'FAILED' THEN 'PENDING' ELSE status END AS status, CASE WHEN status = 'FAILED' THEN 0 ELSE attempts END AS attempts,
+  CASE WHEN status <> 'FAILED' THEN last_error_code END AS last_error_code, CASE WHEN status = 'FAILED' THEN epoch({NOW_SQL})::BIGINT ELSE floor(epoch(available_at))::BIGINT END AS available_s,
+  floor(epoch(completed_at))::BIGINT AS completed_s FROM jobs""",
     "job_backoff": f"WITH {JOBS_SQL} SELECT id, least(pow(2, least(attempts, 5)), 60)::BIGINT AS seconds, coalesce(last_error_code = 'FileNotFound', false) AS permanent FROM jobs",
     "job_next_per_folder": f"WITH {JOBS_SQL} SELECT folder_id, min(id) AS id FROM jobs WHERE status = 'PENDING' AND available_at <= {NOW_SQL} GROUP BY 1",
     "pending_embeddings": f"""WITH {ITEMS_SQL}, {VECTORS_SQL} SELECT id AS screenshot_id, 'EMBED:' || id || ':' || coalesce(content_hash, 'unknown') || ':{MODEL_VERSION}' AS dedupe_key
 FROM items WHERE ocr_status = 'SUCCEEDED' AND id NOT IN (SELECT screenshot_id FROM vecs WHERE model_version = '{MODEL_VERSION}')""",
     "re_process_jobs": f"""WITH {ITEMS_SQL} SELECT id AS screenshot_id, 'RE_OCR:' || id || ':' || coalesce(content_hash, '') || ':{TARGET}' AS dedupe_key FROM items
 WHERE ocr_status = 'SUCCEEDED' AND ocr_pipeline_version IS DISTINCT FROM '{TARGET}' ORDER BY id LIMIT 10000""",
-    "pending_batch": f"""WITH {ITEMS_SQL} SELECT CASE WHEN ocr_status = 'PROCESSING' THEN 'PENDING' ELSE ocr_status END AS ocr_status, count(*) AS n FROM items GROUP BY 1
-UNION ALL SELECT 'batch', least(count(*), 500) FROM items WHERE ocr_status = 'PENDING'""",
+    "pending_batch": f"""WITH {ITEMS_SQL}, batch AS (SELECT id FROM items WHERE ocr_status = 'PENDING' ORDER BY id LIMIT 500)
+SELECT id, CASE WHEN id IN (FROM batch) THEN 'PROCESSING' ELSE ocr_status END AS claimed, CASE WHEN ocr_status = 'PROCESSING' THEN 'PENDING' ELSE ocr_status END AS recovered FROM items""",
+    "duplicate_members": f"""WITH {ITEMS_SQL}, h AS (SELECT id, sha256(ocr_text) AS text_hash FROM items WHERE trim(ocr_text) <> '')
+SELECT text_hash, id FROM h WHERE text_hash IN (SELECT text_hash FROM h GROUP BY 1 HAVING count(*) > 1)""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocrlake.operators.catalog import distinct_items
-from ocrlake.operators.jobs import current_jobs
+from ocrlake.operators.jobs import JOB_ORDER, current_jobs
 from ocrlake.sources.tables import table
 
 NOW = datetime(2026, 4, 15, 0, 0, 0)
@@ -17,12 +17,25 @@ TARGET = "hybrid_windows_vietocr:hybrid_v2"
 MODEL, MODEL_VERSION = "multilingual-e5-small", "multi-small-v1"
 
 
-def items(spark: SparkSession, base: str) -> DataFrame:
-    return distinct_items(table(spark, base, "screenshots"))
+def items(spark: SparkSession, base: str, *columns: str) -> DataFrame:
+    """Items once per id, with ``id`` and the stated columns (all without any): no other column is read or shuffled.
 
+    Deliveries of one id and update time are equal, so the columns of one item come from one delivery.
+    """
+    rows = table(spark, base, "screenshots")
+    if not columns:
+        return distinct_items(rows)
+    named = list(dict.fromkeys(("id", *columns)))
+    return distinct_items(rows.select(*dict.fromkeys((*named, "updated_at")))).select(named)
 
-def jobs(spark: SparkSession, base: str) -> DataFrame:
-    return current_jobs(table(spark, base, "index_jobs"))
+
+def jobs(spark: SparkSession, base: str, *columns: str) -> DataFrame:
+    """Jobs once per id, as delivered last, with ``id`` and the stated columns (all without any)."""
+    rows = table(spark, base, "index_jobs")
+    if not columns:
+        return current_jobs(rows)
+    named = list(dict.fromkeys(("id", *columns)))
+    return current_jobs(rows.select(*dict.fromkeys((*named, *JOB_ORDER)))).select(named)
 
 
 def vectors(spark: SparkSession, base: str) -> DataFrame:

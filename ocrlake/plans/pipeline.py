@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ocrlake.operators import evaluate as ev
 from ocrlake.operators import extract as ex
-from ocrlake.plans.common import ITEMS_SQL, JOBS_SQL, items, jobs, norm_sql, wstrim_sql
+from ocrlake.plans.common import ITEMS_SQL, JOBS_SQL, WS, items, jobs, norm_sql, wstrim_sql
 from ocrlake.sources.tables import table
 from ocrlake.streaming import events as st
 
@@ -48,7 +48,7 @@ def event_jobs(spark: SparkSession, base: str) -> DataFrame:
 
 def stability_gate(spark: SparkSession, base: str) -> DataFrame:
     """Five looks at every item's file; the file grows until look id % 7."""
-    rows = items(spark, base).select(F.col("id").cast("string").alias("path"), "id", "file_size", "modified_at_fs", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("attempt"))
+    rows = items(spark, base, "file_size", "modified_at_fs").select(F.col("id").cast("string").alias("path"), "id", "file_size", "modified_at_fs", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("attempt"))
     seen = rows.select("path", "attempt", (F.col("file_size") - F.greatest(F.col("id") % 7 - F.col("attempt"), F.lit(0))).alias("file_size"), "modified_at_fs", (F.col("id") % 23 != 0).alias("readable"))
     return st.stable_observations(seen).select("path", F.col("attempt").cast("long").alias("attempt"), "file_size")
 
@@ -58,7 +58,7 @@ def stability_gate(spark: SparkSession, base: str) -> DataFrame:
 
 def _sizes(spark: SparkSession, base: str) -> DataFrame:
     """Image sizes of all shapes, from the items' ids and sizes (the tables hold none)."""
-    return items(spark, base).select("id", (F.col("id") * 37 % 6000 + 1).alias("w"), (F.col("file_size") * 53 % 9000 + 1).alias("h"))
+    return items(spark, base, "file_size").select("id", (F.col("id") * 37 % 6000 + 1).alias("w"), (F.col("file_size") * 53 % 9000 + 1).alias("h"))
 
 
 def tile_plan(spark: SparkSession, base: str) -> DataFrame:
@@ -87,7 +87,7 @@ def tile_merge(spark: SparkSession, base: str) -> DataFrame:
     lines = F.split("ocr_text", "\n")
     n = F.size(lines)
     tiles = F.array(F.array_join(F.slice(lines, F.lit(1), F.ceil(n / 2) + 2), "\n"), F.array_join(F.slice(lines, F.greatest(F.ceil(n / 2) - 1, F.lit(1)), n), "\n"))
-    return items(spark, base).filter("ocr_text is not null").select("id", ex.merged_tiles(tiles).alias("merged"))
+    return items(spark, base, "ocr_text").filter("ocr_text is not null").select("id", ex.merged_tiles(tiles).alias("merged"))
 
 
 def box_merge(spark: SparkSession, base: str) -> DataFrame:
@@ -103,32 +103,50 @@ def ctc_decode(spark: SparkSession, base: str) -> DataFrame:
 
 
 def mock_recognition(spark: SparkSession, base: str) -> DataFrame:
-    """Pending items through a stand-in engine that fails on every tenth path of a folder, with the run's summary."""
-    rows = items(spark, base).filter("ocr_status = 'PENDING'").select("id", F.concat(F.lit("p"), (F.col("id") % 10).cast("string")).alias("path"))
-    engine = ex.mock_engine(failing=frozenset(["p3"]), empty=frozenset(["p4"]))
-    return ex.batch_summary(ex.recognise(rows, {"mock": engine}, ["mock"]))
+    """Pending items through a stand-in engine that fails on some paths and reads nothing on others, with a second engine
+    for half of the failures."""
+
+    def first(path: str) -> ex.Recognised:
+        if len(path) % 10 == 3:
+            raise ex.EngineError("OCR_FAILED", path)
+        return ex.Recognised("" if len(path) % 10 == 4 else path.upper(), "mock", "1.0", "en", 1.0)
+
+    def second(path: str) -> ex.Recognised:
+        if path.endswith(".png"):
+            raise ex.EngineError("OCR_EMPTY", path)
+        return ex.Recognised("second", "mock2", "1.0")
+
+    rows = items(spark, base, "ocr_status", "path").filter("ocr_status = 'PENDING'")
+    done = ex.recognise(rows, {"mock": first, "other": second}, ["mock", "other"])
+    return done.select("id", "ocr_text", "ocr_engine", "error_code")
+
+
+def recognition_summary(spark: SparkSession, base: str) -> DataFrame:
+    return ex.batch_summary(mock_recognition(spark, base))
 
 
 # ------------------------------------------------------------------------------------------------- evaluation
 
 
 def _pairs(spark: SparkSession, base: str) -> DataFrame:
-    """Fixture names with a reading that drops every 'a' and adds a word, and the fixtures' texts likewise."""
-    b = table(spark, base, "benchmark_corpus")
-    return b.select("fixture_name", F.col("fixture_name").alias("ref"), F.concat(F.regexp_replace("fixture_name", "a", ""), F.lit(" x")).alias("hyp"))
+    """Fixtures' texts joined by name with readings in which every 'a' is another letter and a word is added; every ninth
+    fixture has no reading."""
+    b = table(spark, base, "benchmark_corpus").select("fixture_name", "text")
+    read = b.filter(F.length("fixture_name") % 9 != 0).select("fixture_name", F.concat(F.regexp_replace("text", "a", "Ω"), F.lit(" x")).alias("text"))
+    return ev.readings_by_name(b, read)
 
 
 def cer_wer(spark: SparkSession, base: str) -> DataFrame:
-    return ev.error_rates(_pairs(spark, base)).select("fixture_name", "char_dist", "ref_chars", F.round("cer", 6).alias("cer"), "word_dist", F.round("wer", 6).alias("wer"))
+    return ev.error_rates(_pairs(spark, base)).select("fixture_name", "char_dist", "ref_chars", F.round("cer", 6).alias("cer"), "word_dist", "ref_words", F.round("wer", 6).alias("wer"))
 
 
 def cer_wer_texts(spark: SparkSession, base: str) -> DataFrame:
-    b = table(spark, base, "benchmark_corpus").select("fixture_name", F.col("text").alias("ref"), F.regexp_replace("text", "[aiu]", "").alias("hyp"))
-    return ev.overall_rates(ev.error_rates(b))
+    one = ev.overall_rates(ev.error_rates(_pairs(spark, base)))
+    return one.select("n", *(F.round(c, 6).alias(c) for c in ("cer", "wer", "median_cer", "median_wer")))
 
 
 def latency_percentiles(spark: SparkSession, base: str) -> DataFrame:
-    took = jobs(spark, base).filter("completed_at is not null").select(F.upper(F.trim("job_type")).alias("job_type"), (F.unix_seconds("completed_at") - F.unix_seconds("created_at")).alias("s"))
+    took = jobs(spark, base, "completed_at", "created_at", "job_type").filter("completed_at is not null").select(F.upper(F.trim("job_type")).alias("job_type"), (F.unix_seconds("completed_at") - F.unix_seconds("created_at")).alias("s"))
     out = ev.latency_figures(took, "s", ["job_type"])
     return out.select("job_type", "n", F.round("mean", 4).alias("mean"), "least", "greatest", "p50", "p90", "p95")
 
@@ -143,7 +161,7 @@ TOKENS = ["TK-12115", "ERR_", "P20", "v1.2", "0x1", "Storage report", "10.37"]
 
 
 def token_hits(spark: SparkSession, base: str) -> DataFrame:
-    texts = items(spark, base).filter("ocr_text is not null").select(F.col("ocr_text").alias("text"))
+    texts = items(spark, base, "ocr_text").filter("ocr_text is not null").select(F.col("ocr_text").alias("text"))
     return ev.token_hits(texts, TOKENS)
 
 
@@ -151,7 +169,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_normalize, event_debounce, event_jobs, stability_gate, tile_plan, line_classify, candidate_select, tile_merge, box_merge, ctc_decode,
-        mock_recognition, cer_wer, cer_wer_texts, latency_percentiles, classifier_confusion, token_hits,
+        mock_recognition, recognition_summary, cer_wer, cer_wer_texts, latency_percentiles, classifier_confusion, token_hits,
     )
 }
 
@@ -173,6 +191,14 @@ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY ts) AS burs
 bursts AS (SELECT {keys}, burst, arg_max(kind, (ts, event_id, kind)) AS kind, min(ts) AS started, max(ts) AS last, count(*) AS n FROM numbered GROUP BY {keys}, burst)"""
 
 
+# a changed letter or word is like none of the text, so the distances are counts
+_RATES = f"""t AS (SELECT fixture_name, text, length(fixture_name) % 9 = 0 AS unread, length(text) AS ref_chars, list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '') AS words FROM benchmark_corpus),
+dist AS (SELECT fixture_name, unread, ref_chars, len(words) AS ref_words, CASE WHEN unread THEN ref_chars ELSE ref_chars - length(replace(text, 'a', '')) + 2 END AS char_dist,
+  CASE WHEN unread THEN len(words) ELSE len(list_filter(words, lambda w: contains(w, 'a'))) + 1 END AS word_dist FROM t),
+rates AS (SELECT *, CASE WHEN ref_chars > 0 THEN char_dist / ref_chars WHEN NOT unread THEN 1.0 ELSE 0.0 END AS cer, CASE WHEN ref_words > 0 THEN word_dist / ref_words WHEN NOT unread THEN 1.0 ELSE 0.0 END AS wer FROM dist)"""
+_RECOGNISED = f"""{ITEMS_SQL}, done AS (SELECT id, CASE WHEN length(path) % 10 = 3 THEN CASE WHEN NOT ends_with(path, '.png') THEN 'second' END WHEN length(path) % 10 = 4 THEN '' ELSE upper(path) END AS ocr_text,
+  CASE WHEN length(path) % 10 <> 3 THEN 'mock' WHEN NOT ends_with(path, '.png') THEN 'mock2' END AS ocr_engine,
+  CASE WHEN length(path) % 10 = 3 AND ends_with(path, '.png') THEN 'OCR_EMPTY' END AS error_code FROM items WHERE ocr_status = 'PENDING')"""
 _W = "w::DOUBLE * 2600 / greatest(w, h)"
 _H = "h::DOUBLE * 2600 / greatest(w, h)"
 
@@ -192,9 +218,10 @@ t AS (SELECT *, unnest(range(0, last + 1)) AS tile_no FROM n)
 SELECT id, strategy, tile_no, CASE strategy WHEN 'horizontal_tiling' THEN tile_no * 1850 ELSE 0 END AS x, CASE strategy WHEN 'vertical_tiling' THEN tile_no * 1850 ELSE 0 END AS y,
   CASE strategy WHEN 'horizontal_tiling' THEN least(w - tile_no * 1850, 2000) WHEN 'downscale' THEN greatest(round({_W}), 1)::BIGINT ELSE w END AS width,
   CASE strategy WHEN 'vertical_tiling' THEN least(h - tile_no * 1850, 2000) WHEN 'downscale' THEN greatest(round({_H}), 1)::BIGINT ELSE h END AS height FROM t""",
-    "cer_wer": """SELECT fixture_name, levenshtein(fixture_name, replace(fixture_name, 'a', '') || ' x') AS char_dist, length(fixture_name) AS ref_chars,
-  round(levenshtein(fixture_name, replace(fixture_name, 'a', '') || ' x') / length(fixture_name)::DOUBLE, 6) AS cer,
-  CASE WHEN contains(fixture_name, 'a') THEN 2 ELSE 1 END::BIGINT AS word_dist, CASE WHEN contains(fixture_name, 'a') THEN 2.0 ELSE 1.0 END::DOUBLE AS wer FROM benchmark_corpus""",
+    "cer_wer": f"WITH {_RATES} SELECT fixture_name, char_dist, ref_chars, round(cer, 6) AS cer, word_dist, ref_words, round(wer, 6) AS wer FROM rates",
+    "cer_wer_texts": f"""WITH {_RATES}, c AS (SELECT cer, row_number() OVER (ORDER BY cer) - 1 AS k, count(*) OVER () AS n FROM rates), w AS (SELECT wer, row_number() OVER (ORDER BY wer) - 1 AS k, count(*) OVER () AS n FROM rates)
+SELECT count(*) AS n, round(sum(char_dist) / sum(ref_chars), 6) AS cer, round(sum(word_dist) / sum(ref_words), 6) AS wer,
+  (SELECT round(max(cer), 6) FROM c WHERE k = n // 2) AS median_cer, (SELECT round(max(wer), 6) FROM w WHERE k = n // 2) AS median_wer FROM rates""",
     "latency_percentiles": f"""WITH {JOBS_SQL}, t AS (SELECT upper(trim(job_type)) AS job_type, floor(epoch(completed_at))::BIGINT - floor(epoch(created_at))::BIGINT AS s FROM jobs WHERE completed_at IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY job_type ORDER BY s) - 1 AS k, count(*) OVER (PARTITION BY job_type) AS n FROM t)
 SELECT job_type, count(*) AS n, round(avg(s), 4) AS mean, min(s) AS least, max(s) AS greatest, max(s) FILTER (WHERE k = least(round(n * 0.5), n - 1)) AS p50,
@@ -208,6 +235,7 @@ SELECT line, CASE WHEN b = '' THEN u WHEN u = '' OR u = b THEN b
   b = '' OR b = 'Migration' OR regexp_matches(b, ' = |= | =|pid-|client new|OcrEngineMode "|node modules') AS second_pass FROM r""",
     "ctc_decode": """WITH s AS (SELECT vec_id, list_transform(range(0, 16), lambda t: list_position(embedding[t * 4 + 1:t * 4 + 4], list_max(embedding[t * 4 + 1:t * 4 + 4])) - 1) AS c FROM embeddings)
 SELECT vec_id, array_to_string(list_transform(list_filter(range(1, 17), lambda i: c[i] <> 0 AND (i = 1 OR c[i] <> c[i - 1])), lambda i: ['A', 'B', 'C'][c[i]]), '') AS text FROM s""",
-    "mock_recognition": f"""WITH {ITEMS_SQL} SELECT count(*) AS processed, count(*) FILTER (WHERE id % 10 <> 3) AS succeeded, count(*) FILTER (WHERE id % 10 = 3) AS failed,
-  count(*) FILTER (WHERE id % 10 = 4) AS empty FROM items WHERE ocr_status = 'PENDING'""",
+    "mock_recognition": f"WITH {_RECOGNISED} SELECT * FROM done",
+    "recognition_summary": f"""WITH {_RECOGNISED} SELECT count(*) AS processed, count(*) FILTER (WHERE error_code IS NULL) AS succeeded, count(*) FILTER (WHERE error_code IS NOT NULL) AS failed,
+  count(*) FILTER (WHERE error_code IS NULL AND ocr_text = '') AS empty FROM done""",
 }

@@ -118,3 +118,38 @@ def test_phrases_equal_sqlite_tokens(spark, q):
     con.execute("INSERT INTO t VALUES (?)", ("alpha beta gamma x.y.z 192.168.1.1 a",))
     match = " AND ".join('"' + " ".join(p) + '"*' for p in tx.query_phrases(q))
     assert con.execute("SELECT count(*) FROM t WHERE t MATCH ?", (match,)).fetchone()[0] == 1
+
+
+@pytest.mark.parametrize("word", ["май", "ガイド", "Άλφα", "đường", "naïve", "ﾊﾝｶｸ", "ΣΊΣΥΦΟΣ", "ǽon", "हिन्दी", "Ёлка", "école"])
+def test_one_fold_for_index_and_query(spark, word):
+    """Whole words, beginnings of them and their decomposed spelling are found as the independent engine finds them."""
+    import unicodedata
+
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='unicode61 remove_diacritics 2')")
+    con.execute("INSERT INTO t VALUES (?)", (tx.normalize_search_query(word + " end"),))
+    index = spark.createDataFrame([(word + " end",)], "s string").select(tx.fts_tokens(tx.normalize_search_text(F.col("s"))).alias("t")).first()["t"]
+    for asked in (word, word[: len(word) - 1], unicodedata.normalize("NFD", word), word.upper()):
+        for phrase in tx.query_phrases(asked) or []:
+            ours = any(index[i : i + len(phrase) - 1] == phrase[:-1] and index[i + len(phrase) - 1].startswith(phrase[-1]) for i in range(len(index) - len(phrase) + 1))
+            theirs = con.execute("SELECT count(*) FROM t WHERE t MATCH ?", ('"' + " ".join(phrase) + '"*',)).fetchone()[0]
+            assert ours == bool(theirs), (asked, phrase)
+    assert tx.query_phrases(word)
+
+
+def test_bytes_of_a_key_and_value_count(spark):
+    from ocrlake.operators import extract as ex
+
+    lines = {"đ=éa": True, "a=ba": False, "ab=ba": True, "x 0xé": True, "x 0xa": False, "SIGé": True, "SIGa": False, "a=b=c1": False}
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in lines], "s string").select(ex.strong_technical(F.col("s"))).collect()]
+    assert got == list(lines.values())
+
+
+def test_boxes_join_pass_by_pass():
+    from ocrlake.operators import extract as ex
+
+    # the first box reaches the second only after it has taken in the third: the next pass joins them
+    boxes = [(85, 0, 95, 9), (0, 0, 10, 9), (40, 0, 60, 9), (400, 0, 410, 9)]
+    assert ex._joined_once(boxes) == [(40, 0, 95, 9), (0, 0, 10, 9), (400, 0, 410, 9)]
+    assert ex.merge_boxes(boxes) == [(0, 0, 95, 9), (400, 0, 410, 9)]
+    assert ex.merge_boxes([(0, 0, 9, 9), (0, 40, 9, 49)]) == [(0, 0, 9, 9), (0, 40, 9, 49)] and ex.merge_boxes([]) == []

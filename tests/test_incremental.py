@@ -65,13 +65,16 @@ class Dies(Exception):
 
 
 def _listing(spark, files):
-    return spark.createDataFrame(files, "path string, size long, checksum string")
+    """files: (path, size, checksum) or (path, size, checksum, time, version)"""
+    rows = [(p, n, (more or ["2026-01-01T00:00:00Z"])[0], h, (more or [None, "v"])[1]) for p, n, h, *more in files]
+    return spark.createDataFrame(rows, "path string, file_size long, modified_at_fs string, content_hash string, ocr_pipeline_version string")
 
 
 @pytest.mark.parametrize("step", ["planned", "written"])
 def test_a_run_that_dies_is_neither_skipped_nor_repeated(spark, tmp_path, step):
     root = f"file://{tmp_path}/job"
     layout = inc.Layout(root)
+    root = layout
 
     def die(at_step):
         if at_step == step:
@@ -93,6 +96,34 @@ def test_a_run_that_dies_is_neither_skipped_nor_repeated(spark, tmp_path, step):
         inc.run_incremental(spark, second, root, lambda df: df, inc.new_batch_id(0))
 
 
+def test_one_predicate_for_the_cycle(spark, tmp_path):
+    """Unknown checksums, times and processing versions count in a run as they do in ``pending``."""
+    layout = inc.Layout(f"file://{tmp_path}/job")
+    done = []
+
+    def run(number, files):
+        return inc.run_incremental(spark, _listing(spark, files), layout, lambda df: df.select("path"), inc.new_batch_id(number))
+
+    t, later = "2026-01-01T00:00:00Z", "2026-01-02T00:00:00Z"
+    assert run(1, [("a", 1, None, t, "v"), ("b", 1, "x", t, "v"), ("c", 1, "x", t, "v"), ("d", 1, None, t, "v")]) == 4
+    assert run(2, [("a", 1, None, later, "v"), ("b", 2, "x", later, "v"), ("c", 1, "x", t, "w"), ("d", 1, None, "2026-01-01T07:00:00+07:00", "v")]) == 2
+    assert sorted(r["path"] for r in inc.read_output(spark, layout).filter("batch_id = 'b000000000002'").collect()) == ["a", "c"]
+    assert done == []
+
+
+def test_manifest_is_merged_now_and_then(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inc, "COMPACT_EVERY", 2)
+    layout = inc.Layout(f"file://{tmp_path}/job")
+    for k in range(1, 6):
+        rows = _listing(spark, [(f"f{i}", i, f"h{i}" if i else f"h{k}") for i in range(k)])
+        assert inc.run_incremental(spark, rows, layout, lambda df: df.select("path"), inc.new_batch_id(k)) == (1 if k == 1 else 2)
+    assert inc.committed_batches(spark, layout) == [inc.new_batch_id(k) for k in range(1, 6)]
+    assert len(inc._names(spark, layout, "base")) == 2 and len(inc._after(spark, layout, inc._latest_base(spark, layout))) == 1
+    assert inc.read_output(spark, layout).count() == 9
+    assert inc.run_incremental(spark, _listing(spark, [("f0", 0, "h5")]), layout, lambda df: df.select("path"), inc.new_batch_id(2)) == 0
+    assert {r["screenshot_id"]: r["content_hash"] for r in inc.read_manifest(spark, layout).collect()} == {"f0": "h5", **{f"f{i}": f"h{i}" for i in range(1, 5)}}
+
+
 def brute_force(changes):
     rows = {}
     for seq, op, key, a, b in sorted((c for c in changes if c[0] is not None), key=lambda c: (c[0], {"DELETE": 0, "REPLACE": 1, "UPSERT": 2}[c[1]])):

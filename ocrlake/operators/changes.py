@@ -59,24 +59,27 @@ def apply_changes(feed: DataFrame, keys: Sequence[str], seq: str, op: str, field
     return merged.toDF(*keys, *fields)
 
 
-#: Index jobs as changes. A key is KIND:folder:path[:hash]; the path may hold colons, the hash never does. Each step
-#: names the one before it once or twice only, as steps are put into each other before they run.
+#: Index jobs as changes. A key is KIND:folder:path[:hash]; the path may hold colons, the hash never does. Parts are cut
+#: out at the positions of colons. Each step names the one before it once or twice only, as steps are put into each other.
 _JOB_CHANGES = r"""
   SELECT seq, op, folder_id, content_hash,
-         concat(upper(regexp_extract(p, '^(?:[A-Za-z]:)?', 0)), regexp_replace(p, '^[A-Za-z]:', '')) AS path
+         CASE WHEN substring(p, 2, 1) = ':' AND upper(left(p, 1)) BETWEEN 'A' AND 'Z' THEN concat(upper(left(p, 1)), substring(p, 2)) ELSE p END AS path
   FROM (
     SELECT seq, op, folder_id, content_hash,
-           regexp_replace(regexp_replace(translate(s, '/', '\\'), r'^\\\\\?\\UNC\\', r'\\\\'), r'^\\\\\?\\', '') AS p
+           CASE WHEN startswith(s, r'\\?\UNC\') THEN concat(r'\\', substring(s, 9)) WHEN startswith(s, r'\\?\') THEN substring(s, 5) ELSE s END AS p
     FROM (
-      SELECT id AS seq,
-             CASE kind WHEN 'UPSERT_SCREENSHOT' THEN 'REPLACE' ELSE 'DELETE' END AS op,
-             coalesce(folder_id, try_cast(regexp_extract(dedupe_key, '^[^:]*:([^:]*):', 1) AS BIGINT)) AS folder_id,
-             CASE WHEN kind = 'UPSERT_SCREENSHOT' THEN coalesce(regexp_extract(dedupe_key, ':([^:]*)$', 1), '') END AS content_hash,
-             CASE WHEN kind = 'UPSERT_SCREENSHOT' AND dedupe_key RLIKE '(?s)^[^:]*:[^:]*:.+:[^:]*$' THEN regexp_extract(dedupe_key, '(?s)^[^:]*:[^:]*:(.+):[^:]*$', 1)
-                  WHEN kind = 'DELETE_SCREENSHOT' AND dedupe_key RLIKE '(?s)^[^:]*:[^:]*:.+$' THEN regexp_extract(dedupe_key, '(?s)^[^:]*:[^:]*:(.+)$', 1)
-                  ELSE path END AS s
-      FROM (SELECT id, folder_id, path, dedupe_key, upper(trim(BOTH ' \t\r\n' FROM job_type)) AS kind FROM {jobs})
-      WHERE kind IN ('UPSERT_SCREENSHOT', 'DELETE_SCREENSHOT')
+      SELECT seq, op, coalesce(folder_id, try_cast(folder AS BIGINT)) AS folder_id, CASE WHEN op = 'REPLACE' THEN last END AS content_hash,
+             translate(CASE WHEN op = 'REPLACE' AND length(rest) > length(last) + 1 THEN left(rest, length(rest) - length(last) - 1)
+                            WHEN op = 'DELETE' AND rest <> '' THEN rest ELSE path END, '/', '\\') AS s
+      FROM (
+        SELECT id AS seq, CASE kind WHEN 'UPSERT_SCREENSHOT' THEN 'REPLACE' ELSE 'DELETE' END AS op, folder_id, path,
+               CASE WHEN b > 0 THEN substring(dedupe_key, b + 1) END AS rest,
+               CASE WHEN b > 0 THEN split_part(dedupe_key, ':', 2) END AS folder,
+               CASE WHEN contains(dedupe_key, ':') THEN substring_index(dedupe_key, ':', -1) ELSE '' END AS last
+        FROM (SELECT *, CASE WHEN contains(dedupe_key, ':') THEN locate(':', dedupe_key, locate(':', dedupe_key) + 1) ELSE 0 END AS b
+              FROM (SELECT id, folder_id, path, dedupe_key, upper(trim(BOTH ' \t\r\n' FROM job_type)) AS kind FROM {jobs})
+              WHERE kind IN ('UPSERT_SCREENSHOT', 'DELETE_SCREENSHOT'))
+      )
     )
   )
 """

@@ -1,8 +1,8 @@
 """Full-text search over items: index, phrase match, BM25 rank, snippets, recency listing, pages.
 
-The index is a derived DataFrame with one row per item that has text: tokens of the file name and of the normalised
-text, and the number of tokens. A query reads the index once for its statistics (one global aggregate) and once for the
-page (a top-k), without a shuffle of rows; an index that serves several queries is best written as a table.
+``build_index`` makes one row per item that has text: tokens of the file name and of the normalised text, and the number
+of tokens. ``invindex`` writes them as a stored index, which all searches read by token. Searching the rows themselves
+(``keyword_matches``) is for small sets and one-off queries: it reads them once for statistics and once for matches.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ocrlake.functions.text import fold_marks_of, fts_tokens, normalize_search_text, query_phrases
+from ocrlake.session import cut
 
 SUCCEEDED = "SUCCEEDED"
 # Fixed values of the ranking function: term saturation, length weight, column weights, floor of the idf
@@ -198,6 +199,15 @@ def recent_items(items: DataFrame, folder_id: int | None = None) -> DataFrame:
     return rows.orderBy(F.desc("modified_at_fs"), F.desc("id"))
 
 
+def matches_of(index, query: str, folder_id: int | None = None) -> DataFrame:
+    """Keyword matches in a stored index or in rows of ``build_index``."""
+    if isinstance(index, DataFrame):
+        return keyword_matches(index, query, folder_id)
+    from ocrlake.operators import invindex
+
+    return invindex.keyword_matches(index, query, folder_id)
+
+
 @dataclass
 class Page:
     items: DataFrame
@@ -205,15 +215,19 @@ class Page:
     has_more: bool
 
 
-def search_page(index: DataFrame, items: DataFrame, query: str, folder_id: int | None = None, limit: int | None = None, offset: int | None = None) -> Page:
-    """One page of keyword results (or of the recency listing where the query has no tokens), total and whether more follow."""
+def search_page(index, items: DataFrame, query: str, folder_id: int | None = None, limit: int | None = None, offset: int | None = None) -> Page:
+    """One page of keyword results (or of the recency listing where the query has no tokens), total and whether more follow.
+
+    ``index`` is a stored index, or rows of ``build_index``. Matches are found once: total and page are both read from
+    their written ids and ranks.
+    """
     limit, offset = clamp_page(limit, offset)
     if query_phrases(query) is None:
         listed = recent_items(items, folder_id)
         total = listed.count()
         page = listed.offset(offset).limit(limit).select("id", "folder_id", "filename", "path", "modified_at_fs", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("string").alias("match_type"))
     else:
-        found = keyword_matches(index, query, folder_id)
+        found = cut(matches_of(index, query, folder_id).select("id", "folder_id", "filename", "path", "modified_at_fs", "bm25", "body"))
         total = found.count()
         top = found.orderBy("bm25", F.desc("modified_at_fs"), F.desc("id")).offset(offset).limit(limit)
         page = snippets(top, query).select("id", "folder_id", "filename", "path", "modified_at_fs", (-F.col("bm25")).alias("score"), "snippet", F.lit("keyword").alias("match_type"))
@@ -226,78 +240,3 @@ def index_health(items: DataFrame, index: DataFrame) -> DataFrame:
     b = index.agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("m"))
     both = a.union(b).agg(F.sum("n").alias("expected"), F.sum("m").alias("indexed"))
     return both.withColumn("healthy", F.col("expected") == F.col("indexed"))
-
-
-# ------------------------------------------------------------------------------------------- many queries
-
-
-def batch_matches(index: DataFrame, requests: DataFrame, most_requests: int = 100_000) -> DataFrame:
-    """(request_id, id, modified_at_fs, bm25) of all matches of many requests (request_id, query_text) at once.
-
-    The stated requests (at most ``most_requests``) go to every task as one dictionary; each task looks up the distinct
-    tokens of its rows, so the corpus is read once for the hits and nothing is joined pair by pair. Statistics are those
-    of the whole index. Requests without tokens match nothing.
-    """
-    rows = requests.select("request_id", "query_text").filter("request_id is not null and query_text is not null").distinct().limit(most_requests + 1).collect()
-    if len(rows) > most_requests:
-        raise ValueError(f"more than {most_requests} requests: run them in blocks")
-    phrase_of: dict[tuple[str, ...], int] = {}
-    wanted: list[tuple[int, int]] = []
-    sizes: list[tuple[int, int]] = []
-    for r in rows:
-        own = {phrase_of.setdefault(tuple(p), len(phrase_of)) for p in query_phrases(r["query_text"]) or []}
-        if own:
-            wanted += [(r["request_id"], k) for k in own]
-            sizes.append((r["request_id"], len(own)))
-    spark = index.sparkSession
-    result = "request_id long, id long, modified_at_fs string, bm25 double"
-    if not wanted:
-        return spark.createDataFrame([], result)
-    shared = spark.sparkContext.broadcast([list(p) for p in phrase_of])
-
-    def run(batches):
-        phrases = shared.value
-        by_first: dict[str, list[int]] = {}
-        prefixes: dict[str, list[int]] = {}
-        for k, p in enumerate(phrases):
-            if len(p) == 1:
-                prefixes.setdefault(p[0], []).append(k)
-            else:
-                by_first.setdefault(p[0], []).append(k)
-        lengths = sorted({len(x) for x in prefixes})
-        known: dict[str, list[int]] = {}
-        for pdf in batches:
-            out = []
-            for i, fn, body, n, m in zip(pdf["id"], pdf["fn_tokens"], pdf["body_tokens"], pdf["n_tokens"], pdf["modified_at_fs"]):
-                hits: dict[int, list[int]] = {}
-                for col, tokens in ((0, fn), (1, body)):
-                    for at, t in enumerate(tokens):
-                        ks = known.get(t)
-                        if ks is None:
-                            if len(known) > 300_000:
-                                known.clear()
-                            ks = known[t] = [k for size in lengths if size <= len(t) for k in prefixes.get(t[:size], ())]
-                        for k in ks:
-                            hits.setdefault(k, [0, 0])[col] += 1
-                        for k in by_first.get(t, ()):
-                            p = phrases[k]
-                            rest = tokens[at + 1 : at + len(p)]
-                            if len(rest) == len(p) - 1 and all(a == b for a, b in zip(rest, p[1:-1])) and rest[-1].startswith(p[-1]):
-                                hits.setdefault(k, [0, 0])[col] += 1
-                out += [(k, i, a, b, n, m) for k, (a, b) in hits.items()]
-            yield pd.DataFrame(out, columns=["phrase", "id", "in_name", "in_body", "n_tokens", "modified_at_fs"])
-
-    hits = index.select("id", "fn_tokens", "body_tokens", "n_tokens", "modified_at_fs").mapInPandas(run, "phrase long, id long, in_name long, in_body long, n_tokens long, modified_at_fs string")
-    whole = index.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).first()
-    counts = hits.groupBy("phrase").agg(F.count("*").alias("containing"))
-    f = FILENAME_WEIGHT * F.col("in_name") + BODY_WEIGHT * F.col("in_body")
-    idf = F.log((F.lit(whole["n"]) - F.col("containing") + 0.5) / (F.col("containing") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(IDF_FLOOR)
-    average = (whole["t"] or 0) / whole["n"] if whole["n"] else 1.0
-    part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.lit(average or 1.0)))
-    links = spark.createDataFrame(wanted, "request_id long, phrase long")
-    need = spark.createDataFrame(sizes, "request_id long, needed long")
-    # both small tables are bounded by most_requests
-    scored = hits.join(F.broadcast(counts), "phrase").join(F.broadcast(links), "phrase").select("request_id", "id", "modified_at_fs", part.alias("part"))
-    both = scored.groupBy("request_id", "id").agg(F.count("*").alias("got"), F.max("modified_at_fs").alias("modified_at_fs"), F.sum("part").alias("score"))
-    return both.join(F.broadcast(need), "request_id").filter("got = needed").select("request_id", "id", "modified_at_fs", (-F.col("score")).alias("bm25"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocrlake.functions import text as tx
 from ocrlake.functions import vectors as vx
 from ocrlake.operators import fts, hybrid
+from ocrlake.operators import invindex as inv
 from ocrlake.plans.common import INDEX_SQL, ITEMS_SQL, MODEL_VERSION, VECTORS_SQL, bm25_sql, items, norm_sql, tokens_sql, vectors, wstrim_sql
+from ocrlake.session import ensure_checkpoint_dir
 from ocrlake.sources.tables import table
 
 QUERY, FOLDER = "error report", 7
@@ -17,8 +21,20 @@ PAGE_QUERY = "The menu"
 HYBRID_QUERY = "Storage report"
 
 
-def _index(spark: SparkSession, base: str) -> DataFrame:
-    return fts.build_index(items(spark, base))
+INDEX_COLUMNS = ("folder_id", "filename", "path", "modified_at_fs", "ocr_status", "ocr_text")
+_WRITTEN: dict[tuple[str, str], inv.StoredIndex] = {}
+
+
+def _items(spark: SparkSession, base: str) -> DataFrame:
+    return items(spark, base, *INDEX_COLUMNS)
+
+
+def _index(spark: SparkSession, base: str) -> inv.StoredIndex:
+    """The stored index of the items, written once per session into the shared folder and read by all searches."""
+    key = spark.sparkContext.applicationId, base
+    if key not in _WRITTEN:
+        _WRITTEN[key] = inv.write_index(_items(spark, base), f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _WRITTEN[key]
 
 
 def normalize_text(spark: SparkSession, base: str) -> DataFrame:
@@ -35,65 +51,68 @@ def technical_tokens(spark: SparkSession, base: str) -> DataFrame:
 
 
 def exact_signals(spark: SparkSession, base: str) -> DataFrame:
-    return items(spark, base).select("id", tx.exact_signal(HYBRID_QUERY, F.col("filename"), F.col("ocr_text")).alias("exact"))
+    return items(spark, base, "filename", "ocr_text").select("id", tx.exact_signal(HYBRID_QUERY, F.col("filename"), F.col("ocr_text")).alias("exact"))
 
 
 def semantic_document(spark: SparkSession, base: str) -> DataFrame:
-    return items(spark, base).select("id", tx.passage_input(tx.semantic_document(F.col("filename"), F.col("ocr_text"))).alias("input"))
+    return items(spark, base, "filename", "ocr_text").select("id", tx.passage_input(tx.semantic_document(F.col("filename"), F.col("ocr_text"))).alias("input"))
 
 
 def index_build(spark: SparkSession, base: str) -> DataFrame:
-    return _index(spark, base).select("id", "body", "n_tokens", F.array_join("fn_tokens", " ").alias("fn_tokens"), F.array_join("body_tokens", " ").alias("body_tokens"))
+    return fts.build_index(_items(spark, base)).select("id", "body", "n_tokens", F.array_join("fn_tokens", " ").alias("fn_tokens"), F.array_join("body_tokens", " ").alias("body_tokens"))
 
 
 def index_health(spark: SparkSession, base: str) -> DataFrame:
-    rows = items(spark, base)
-    return fts.index_health(rows, fts.build_index(rows))
+    return inv.index_health(items(spark, base, "ocr_status", "ocr_text"), _index(spark, base))
+
+
+def index_refresh(spark: SparkSession, base: str) -> DataFrame:
+    """Matches after a refresh: every seventh item has another text, every eleventh is gone; and after merging segments."""
+    rows = _items(spark, base)
+    first = inv.write_index(rows, f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    changed = rows.filter("id % 7 = 0").withColumn("ocr_text", F.lit("refreshed error text"))
+    after = inv.refresh(first, changed, rows.filter("id % 11 = 0 and id % 7 <> 0").select("id"))
+    found = lambda index: inv.keyword_matches(index, "refreshed").select("id", F.round("bm25", 6).alias("bm25"))
+    return found(after).withColumn("merged", F.lit(False)).union(found(inv.merge(after)).withColumn("merged", F.lit(True)))
 
 
 def fts_bm25(spark: SparkSession, base: str) -> DataFrame:
-    return fts.keyword_matches(_index(spark, base), QUERY).select("id", F.round("bm25", 6).alias("bm25"))
+    return inv.keyword_matches(_index(spark, base), QUERY).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 def fts_phrase(spark: SparkSession, base: str) -> DataFrame:
-    return fts.keyword_matches(_index(spark, base), PHRASE_QUERY).select("id", F.round("bm25", 6).alias("bm25"))
+    return inv.keyword_matches(_index(spark, base), PHRASE_QUERY).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 def fts_folder_page(spark: SparkSession, base: str) -> DataFrame:
-    rows = items(spark, base)
-    page = fts.search_page(fts.build_index(rows), rows, PAGE_QUERY, folder_id=FOLDER, limit=20, offset=5)
+    page = fts.search_page(_index(spark, base), _items(spark, base), PAGE_QUERY, folder_id=FOLDER, limit=20, offset=5)
     return page.items.select("id", F.round("score", 6).alias("score"), "match_type", F.lit(page.total).cast("long").alias("total"), F.lit(page.has_more).alias("has_more"))
 
 
 def fts_filename(spark: SparkSession, base: str) -> DataFrame:
-    return fts.keyword_matches(_index(spark, base), "scan_18").select("id", F.round("bm25", 6).alias("bm25"))
+    return inv.keyword_matches(_index(spark, base), "scan_18").select("id", F.round("bm25", 6).alias("bm25"))
 
 
 def fts_snippets(spark: SparkSession, base: str) -> DataFrame:
-    rows = items(spark, base)
-    return fts.search_page(fts.build_index(rows), rows, QUERY, limit=100).items.select("id", "snippet")
+    return fts.search_page(_index(spark, base), _items(spark, base), QUERY, limit=100).items.select("id", "snippet")
 
 
 def recent_items(spark: SparkSession, base: str) -> DataFrame:
-    rows = items(spark, base)
-    return fts.search_page(fts.build_index(rows), rows, "  ", limit=50, offset=10).items.select("id", "filename", "modified_at_fs", "score")
+    rows = items(spark, base, "folder_id", "filename", "path", "modified_at_fs", "ocr_status")
+    return fts.search_page(_index(spark, base), rows, "  ", limit=50, offset=10).items.select("id", "filename", "modified_at_fs", "score")
 
 
 def search_batch(spark: SparkSession, base: str) -> DataFrame:
     """All matches of every hundredth request against all items."""
     wanted = table(spark, base, "search_requests").filter(F.col("request_id") % 100 == 0)
-    return fts.batch_matches(_index(spark, base), wanted).select("request_id", "id", F.round("bm25", 6).alias("bm25"))
+    return inv.batch_matches(_index(spark, base), wanted).select("request_id", "id", F.round("bm25", 6).alias("bm25"))
 
 
 def vector_similarity(spark: SparkSession, base: str) -> DataFrame:
-    """Cosine of every hundredth vector with all vectors, at least the threshold."""
+    """The hundred nearest of all vectors, at any positive similarity, for every hundredth one."""
     v = table(spark, base, "embeddings")
-    asked = [r for r in v.filter(F.col("vec_id") % 100 == 0).select("vec_id", "embedding").collect()]  # the stated query set
-    out = None
-    for r in asked:
-        one = hybrid.vector_topk(v, list(r["embedding"]), id_col="vec_id").select(F.lit(r["vec_id"]).alias("query_id"), "id", F.round("similarity", 6).alias("similarity"))
-        out = one if out is None else out.union(one)
-    return out
+    asked = v.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")  # the stated query set
+    return hybrid.vector_topk_many(v, asked, least=1e-9, id_col="vec_id").select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def vector_codec(spark: SparkSession, base: str) -> DataFrame:
@@ -104,18 +123,18 @@ def vector_codec(spark: SparkSession, base: str) -> DataFrame:
 
 def mock_embeddings(spark: SparkSession, base: str) -> DataFrame:
     doc = tx.semantic_document(F.col("filename"), F.col("ocr_text"))
-    return items(spark, base).select("id", vx.mock_embedding(tx.passage_input(doc)).alias("embedding"))
+    return items(spark, base, "filename", "ocr_text").select("id", vx.mock_embedding(tx.passage_input(doc)).alias("embedding"))
 
 
 def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
-    rows = items(spark, base)
+    rows = _items(spark, base)
     v = vectors(spark, base).filter(F.col("model_version") == MODEL_VERSION).select(F.col("screenshot_id").alias("id"), "embedding")
     query = list(v.filter("id = 100").first()["embedding"])
-    found = hybrid.hybrid_candidates(fts.build_index(rows), rows, v, HYBRID_QUERY, query)
+    found = hybrid.hybrid_candidates(_index(spark, base), rows, v, HYBRID_QUERY, query)
     return found.select("id", "match_type", *(F.round(c, 6).alias(c) for c in ("exact", "in_name", "fts", "sem", "score")))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, normalize_ocr, technical_tokens, exact_signals, semantic_document, index_build, index_health, fts_bm25, fts_phrase, fts_folder_page, fts_filename, fts_snippets, recent_items, search_batch, vector_similarity, vector_codec, mock_embeddings, hybrid_search)}
+QUERIES = {f.__name__: f for f in (normalize_text, normalize_ocr, technical_tokens, exact_signals, semantic_document, index_build, index_health, index_refresh, fts_bm25, fts_phrase, fts_folder_page, fts_filename, fts_snippets, recent_items, search_batch, vector_similarity, vector_codec, mock_embeddings, hybrid_search)}
 
 _NORM_OCR = f"regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]', '', 'g'), '[\\x09\\x0b-\\x0d\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+(\\n|$)', '\\1', 'g')"
 _HYBRID_WORDS = [[w] for w in ("storage", "report")]
@@ -136,6 +155,10 @@ FROM (SELECT id, filename, {wstrim_sql("coalesce(ocr_text, '')")} AS t FROM item
     "index_build": f"WITH {INDEX_SQL} SELECT id, body, n_tokens, array_to_string(fn, ' ') AS fn_tokens, array_to_string(bt, ' ') AS body_tokens FROM idx",
     "index_health": f"""WITH {INDEX_SQL} SELECT (SELECT count(*) FROM items WHERE ocr_status = 'SUCCEEDED' AND ocr_text IS NOT NULL) AS expected,
   (SELECT count(*) FROM idx) AS indexed, (SELECT count(*) FROM items WHERE ocr_status = 'SUCCEEDED' AND ocr_text IS NOT NULL) = (SELECT count(*) FROM idx) AS healthy""",
+    "index_refresh": f"""WITH {INDEX_SQL}, now AS (SELECT id, n_tokens, false AS hit FROM idx WHERE id % 7 <> 0 AND id % 11 <> 0
+  UNION ALL SELECT id, len({tokens_sql("filename")}) + 3, true FROM items WHERE id % 7 = 0 AND ocr_status = 'SUCCEEDED'),
+s AS (SELECT count(*) AS n, sum(n_tokens) / count(*)::DOUBLE AS avgdl, count(*) FILTER (WHERE hit) AS c FROM now)
+SELECT id, round(-(CASE WHEN ln((n - c + 0.5) / (c + 0.5)) > 0 THEN ln((n - c + 0.5) / (c + 0.5)) ELSE 1e-6 END) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * n_tokens / avgdl)), 6) AS bm25, unnest([false, true]) AS merged FROM now, s WHERE hit""",
     "fts_bm25": f"WITH {bm25_sql([['error'], ['report']])} SELECT id, round(bm25, 6) AS bm25 FROM ranked",
     "fts_phrase": f"WITH {bm25_sql([['10', '4'], ['the']])} SELECT id, round(bm25, 6) AS bm25 FROM ranked",
     "fts_filename": f"WITH {bm25_sql([['scan'], ['18']])} SELECT id, round(bm25, 6) AS bm25 FROM ranked",
@@ -164,7 +187,7 @@ SELECT request_id, id, round(-s, 6) AS bm25 FROM scored JOIN need USING (request
     "vector_similarity": """
 WITH pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s
   FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rn FROM pairs WHERE s >= 0.5)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rn FROM pairs WHERE s >= 1e-9)
 SELECT query_id, id, round(s, 6) AS similarity FROM ranked WHERE rn <= 100""",
     "vector_codec": "SELECT vec_id, len(embedding) AS dims, 1.0::DOUBLE AS similarity FROM embeddings",
     "hybrid_search": f"""WITH {bm25_sql(_HYBRID_WORDS)}, {VECTORS_SQL},

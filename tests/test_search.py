@@ -8,6 +8,7 @@ import pytest
 from ocrlake.functions.text import normalize_search_query, query_phrases
 from ocrlake.functions.vectors import mock_embedding_of
 from ocrlake.operators import fts, hybrid
+from ocrlake.operators import invindex as inv
 from ocrlake.schema import ITEMS
 
 WORDS = "alpha beta gamma delta err.x 10.4 alphabet bet zeta lỗi menu".split()
@@ -20,13 +21,15 @@ def items(spark, rows):
 
 
 @pytest.fixture(scope="module")
-def corpus(spark):
+def corpus(spark, tmp_path_factory):
     rnd = random.Random(3)
     rows = []
     for i in range(1, 121):
         text = " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(0, 40)))
         rows.append((i, i % 3, f"{rnd.choice(WORDS)}-{i}.png", f"2026-01-{i % 9 + 1:02d}", text, "SUCCEEDED"))
     index = fts.build_index(items(spark, rows)).cache()
+    global STORED
+    STORED = inv.write_index(items(spark, rows), f"file://{tmp_path_factory.mktemp('index')}/i")
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(filename, body, tokenize='unicode61 remove_diacritics 2')")
     for r in rows:
@@ -46,6 +49,8 @@ def test_rank_and_snippets_equal_sqlite(spark, corpus, q):
     ours = {r["id"]: (r["bm25"], r["snippet"]) for r in fts.snippets(fts.keyword_matches(index, q), q).select("id", "bm25", "snippet").collect()}
     assert ours.keys() == theirs.keys()
     assert ours
+    stored = {r["id"]: r["bm25"] for r in inv.keyword_matches(STORED, q).collect()}
+    assert stored == pytest.approx({i: b for i, (b, _) in ours.items()})
     for i in ours:
         assert ours[i][0] == pytest.approx(theirs[i][0], rel=1e-9)
         assert ours[i][1] == theirs[i][1]
@@ -55,11 +60,46 @@ def test_batch_equals_single_queries(spark, corpus):
     index, _ = corpus
     asked = ["alpha", "bet", "10.4 beta", "loi men", "", None, "***"]
     requests = spark.createDataFrame(list(enumerate(asked)) + [(0, "alpha")], "request_id long, query_text string")
-    got = {(r["request_id"], r["id"]): r["bm25"] for r in fts.batch_matches(index, requests).collect()}
+    got = {(r["request_id"], r["id"]): r["bm25"] for r in inv.batch_matches(STORED, requests).collect()}
     want = {(k, r["id"]): r["bm25"] for k, q in enumerate(asked) if q for r in fts.keyword_matches(index, q).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in got)
-    assert fts.batch_matches(index, requests.filter("request_id = 4")).count() == 0
+    assert inv.batch_matches(STORED, requests.filter("request_id = 4")).count() == 0
+
+
+def test_scan_reads_the_tokens_of_the_query(spark, corpus, capsys):
+    inv.keyword_matches(STORED, "alpha bet").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "StringStartsWith(token,alpha)" in plan and "StringStartsWith(token,bet)" in plan and "ArrowEvalPython" not in plan
+
+
+def test_refreshed_index_equals_a_new_one(spark, tmp_path):
+    rows = [(i, 1, f"{i}.png", "2026", f"alpha w{i} beta", "SUCCEEDED") for i in range(12)]
+    changed = [(2, 1, "2.png", "2026", "gamma alpha alpha", "SUCCEEDED"), (3, 1, "3.png", "2026", "alpha", "FAILED"), (20, 1, "20.png", "2026", "alpha new", "SUCCEEDED")]
+    old = inv.write_index(items(spark, rows), f"file://{tmp_path}/i")
+    new = inv.refresh(old, items(spark, changed), spark.createDataFrame([(5,), (77,)], "id long"))
+    want_rows = [r for r in rows if r[0] not in (2, 3, 5)] + changed
+    want = inv.write_index(items(spark, want_rows), f"file://{tmp_path}/j")
+    read = lambda index, q: {r["id"]: r["bm25"] for r in inv.keyword_matches(index, q).collect()}
+    merged = inv.merge(new)
+    for q in ("alpha", "gamma", "w5", "alp bet", "alpha-w1"):
+        assert read(new, q) == pytest.approx(read(want, q)) and read(merged, q) == pytest.approx(read(want, q))
+    assert new.stats() == want.stats() and len(read(old, "alpha")) == 12
+    assert tuple(inv.index_health(items(spark, want_rows), new).first()) == (11, 11, True)
+    assert inv.open_index(spark, f"file://{tmp_path}/i").parts[-1] > 1 and inv.segments(spark, f"file://{tmp_path}/none") == []
+
+
+def test_many_vectors_at_once(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(60, [0.0] * 4), (61, [1.0]), (62, None), (63, [])]
+    df = spark.createDataFrame(v, "id long, embedding array<float>")
+    asked = df.filter("id % 20 = 0 or id > 59").withColumnRenamed("id", "query_id")
+    got = {(r["query_id"], r["id"]): r["similarity"] for r in hybrid.vector_topk_many(df, asked, k=5, least=0.1, block=2).collect()}
+    want = {(q, r["id"]): r["similarity"] for q in (0, 20, 40) for r in hybrid.vector_topk(df.filter("id < 60"), v[q][1], 5, 0.1).collect()}
+    assert got == pytest.approx({**want, (61, 61): 1.0}, abs=1e-6)
+    assert hybrid.vector_topk_many(df, asked.limit(0)).count() == 0
 
 
 def page(spark, rows, query, **kw):

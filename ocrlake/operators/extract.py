@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ocrlake.functions.text import wstrim
+from ocrlake.functions.text import normalize_ocr_text, wstrim
 from ocrlake.schema import EngineError
 
 # Side and overlap of tiles
@@ -251,8 +251,76 @@ def needs_second_pass(text: Column) -> Column:
     return hit
 
 
+def routed_line(probe: Column, second: Column, native: Column) -> Column:
+    """What is kept of one text line from its readings; null where nothing is.
+
+    ``probe`` is the first engine's reading, ``second`` its reading of the enlarged line, ``native`` the language engine's
+    (null where an engine has none). A natural line takes the language engine's reading if it is not blank. A technical or
+    uncertain one takes the better of probe and second reading where the probe looks broken, and falls back to the
+    language engine's.
+    """
+    filled = lambda c: F.when(wstrim(F.coalesce(c, F.lit(""))) != "", c)
+    base = F.coalesce(probe, F.lit(""))
+    chosen = F.when(needs_second_pass(base), choose_candidate(base, F.coalesce(second, F.lit("")))).otherwise(base)
+    return F.when(classify_line(base) == NATURAL, F.coalesce(filled(native), filled(probe))).otherwise(F.coalesce(filled(chosen), filled(native)))
+
+
+def routed_texts(lines: DataFrame, whole: DataFrame) -> DataFrame:
+    """(id, ocr_text, by_lines) from lines (id, line_no, probe, second, native): the kept lines of each image in order.
+
+    An image without lines, or of which nothing is kept, has the text that ``whole`` (id, text) gives it. Lines are cleaned
+    up as one text.
+    """
+    kept = lines.select("id", "line_no", routed_line(F.col("probe"), F.col("second"), F.col("native")).alias("text")).filter("text is not null")
+    texts = kept.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
+    texts = texts.select("id", normalize_ocr_text(F.array_join(F.transform("ls", lambda x: x["text"]), "\n")).alias("lines_text"))
+    both = whole.join(texts, "id", "left")
+    return both.select("id", F.coalesce("lines_text", "text").alias("ocr_text"), F.col("lines_text").isNotNull().alias("by_lines"))
+
+
 # ----------------------------------------------------------------------------------------------------- boxes
 
+# Fixed values of the line detector: greatest side it sees, step of its sides, padding of boxes and its least values, lines kept
+DETECTOR_SIDE, DETECTOR_STEP, MOST_LINES = 960, 32, 128
+PAD_X, PAD_Y, LEAST_PAD_X, LEAST_PAD_Y, LEAST_CROP = 0.15, 0.55, 4, 6, 4
+
+
+def detector_size(width: Column, height: Column) -> tuple[Column, Column]:
+    """Width and height of the picture the detector sees: scaled down to its greatest side, rounded up to its step."""
+    # all in single precision, as the detector's own arithmetic
+    scale = F.least((F.lit(float(DETECTOR_SIDE)).cast("float") / F.greatest(width, height).cast("float")).cast("float"), F.lit(1.0).cast("float"))
+    side = lambda v: F.greatest(F.ceil((v.cast("float") * scale).cast("float") / DETECTOR_STEP) * DETECTOR_STEP, F.lit(DETECTOR_STEP)).cast("long")
+    return side(width), side(height)
+
+
+def padded_crop(box: Column, width: Column, height: Column) -> Column:
+    """A detected box (x0, y0, x1, y1 in the detector's picture) as a crop of the image, with room around it.
+
+    The crop's far sides are outside of it. Null where the crop is too small to read.
+    """
+    seen_w, seen_h = detector_size(width, height)
+
+    def side(low: str, high: str, share: float, least: int, seen: Column, whole: Column) -> tuple[Column, Column]:
+        pad = F.greatest(F.floor((box[high] - box[low] + 1).cast("float") * F.lit(share).cast("float")), F.lit(least))
+        a, b = F.greatest(box[low] - pad, F.lit(0)), F.least(box[high] + pad, seen - 1)
+        at = lambda v: F.floor(((v.cast("float") * whole.cast("float")).cast("float") / seen.cast("float")).cast("float")).cast("long")
+        return F.least(at(a), whole - 1), F.least(at(b + 1), whole)
+
+    x0, x1 = side("x0", "x1", PAD_X, LEAST_PAD_X, seen_w, width)
+    y0, y1 = side("y0", "y1", PAD_Y, LEAST_PAD_Y, seen_h, height)
+    crop = F.struct(x0.cast("long").alias("x0"), y0.cast("long").alias("y0"), x1.cast("long").alias("x1"), y1.cast("long").alias("y1"))
+    return F.when((x1 - x0 >= LEAST_CROP) & (y1 - y0 >= LEAST_CROP), crop)
+
+
+def line_crops(images: DataFrame) -> DataFrame:
+    """(id, line_no, crop) of images (id, width, height, boxes): the first lines' crops in reading order.
+
+    Lines are kept until ``MOST_LINES`` have a crop large enough; ``line_no`` is the place among all boxes.
+    """
+    numbered = F.transform("boxes", lambda b, i: F.struct(i.cast("long").alias("line_no"), padded_crop(b, F.col("width"), F.col("height")).alias("crop")))
+    return images.select("id", F.inline(F.slice(F.filter(numbered, lambda x: x["crop"].isNotNull()), 1, MOST_LINES)))
+
+
 Box = tuple[int, int, int, int]
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocrlake.operators import catalog as cat
+from ocrlake.session import cut
+
 ADDED, UPDATED, UNCHANGED, MISSING = "added", "updated", "unchanged", "missing"
 
 
@@ -52,3 +59,54 @@ def scan_summary(diff: DataFrame, failed: int = 0) -> DataFrame:
     """One row: discovered, added, updated, unchanged, removed, failed."""
     n = lambda a: F.count_if(F.col("action") == a)
     return diff.agg(F.count_if(F.col("action") != MISSING).alias("discovered"), n(ADDED).alias("added"), n(UPDATED).alias("updated"), n(UNCHANGED).alias("unchanged"), n(MISSING).alias("removed"), F.lit(failed).cast("long").alias("failed"))
+
+
+@dataclass(frozen=True)
+class Discovery:
+    """A folder's items after a scan, the actions by path, and the one-row summary."""
+
+    items: DataFrame
+    actions: DataFrame
+    summary: DataFrame
+
+
+def discover(
+    folder_id: int,
+    found: DataFrame,
+    items: DataFrame,
+    fingerprint: Callable[[DataFrame], DataFrame],
+    inaccessible: DataFrame,
+    now: datetime,
+    surely_gone: Callable[[DataFrame], DataFrame] | None = None,
+    failed: int = 0,
+) -> Discovery:
+    """One discovery scan of a folder, end to end.
+
+    ``found``: path, filename, extension, file_size, modified_at_fs of the files the scan saw, each path once. Files with
+    the size and time on record are not read; only added and changed ones go through ``fingerprint`` (path to path,
+    content_hash, error_code). A file that cannot be hashed counts as failed and leaves the catalog as it is. Items whose
+    file was not seen are removed unless they lie under an ``inaccessible`` path (path) or, where ``surely_gone`` (path to
+    path) is given, are not confirmed as gone. ``failed`` is the number of failures of the scan itself. Other folders'
+    items stay as they are.
+    """
+    own = items.filter(F.col("folder_id") == folder_id)
+    known = own.groupBy("path").agg(F.max(F.struct("id", "file_size", "modified_at_fs")).alias("m")).select("path", "m.*")
+    diff = cut(scan_diff(found.select("path", "file_size", "modified_at_fs"), known))
+    hashes = cut(fingerprint(diff.filter(F.col("action").isin(ADDED, UPDATED)).select("path")))
+    read = diff.join(hashes, "path", "left").withColumn("unread", F.col("action").isin(ADDED, UPDATED) & F.col("content_hash").isNull())
+    missing = diff.filter(F.col("action") == MISSING)
+    gone = None if surely_gone is None else surely_gone(missing.select("path"))
+    removable = cut(guarded_missing(diff, inaccessible, gone).select("path", "id"))
+    names = found.select("path", "filename", "extension")
+    added = read.filter((F.col("action") == ADDED) & ~F.col("unread")).join(names, "path").select(F.lit(folder_id).cast("long").alias("folder_id"), "path", "filename", "extension", "file_size", "modified_at_fs", "content_hash")
+    changed = read.filter((F.col("action") == UPDATED) & ~F.col("unread")).select("id", "file_size", "modified_at_fs", "content_hash")
+    # all items of a removed path go, as they share the file
+    dropped = own.join(removable.select("path"), "path", "left_semi").select("id")
+    after = cat.reset_changed(items.join(dropped, "id", "left_anti").select(items.columns), changed, now)
+    after = cut(cat.insert_items(after, added, now))
+    kept = F.when(F.col("unread"), "failed").when((F.col("action") == MISSING) & F.col("removed").isNull(), "kept").otherwise(F.col("action"))
+    actions = cut(read.join(removable.select("path", F.lit(True).alias("removed")), "path", "left").select("path", "id", kept.alias("action")))
+    n = lambda a: F.count_if(F.col("action") == a)
+    seen = F.count_if(~F.col("action").isin(MISSING, "kept")).alias("discovered")
+    summary = actions.agg(seen, n(ADDED).alias("added"), n(UPDATED).alias("updated"), n(UNCHANGED).alias("unchanged"), n(MISSING).alias("removed"), (n("failed") + failed).alias("failed"))
+    return Discovery(after, actions, summary)

@@ -2,11 +2,11 @@
 
 import pytest
 
-from ocrlake.plans import catalog, incremental, pipeline, search
+from ocrlake.plans import catalog, incremental, pipeline, search, worker
 from tests.conftest import DATA
 from tests.oracle import connect, same
 
-MODULES = (incremental, search, catalog, pipeline)
+MODULES = (incremental, search, catalog, pipeline, worker)
 WITH_SQL = [(m, n) for m in MODULES for n in m.QUERIES if n in m.SQL]
 WITHOUT = [(m, n) for m in MODULES for n in m.QUERIES if n not in m.SQL]
 

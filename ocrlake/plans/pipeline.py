@@ -48,9 +48,26 @@ def event_jobs(spark: SparkSession, base: str) -> DataFrame:
 
 def stability_gate(spark: SparkSession, base: str) -> DataFrame:
     """Five looks at every item's file; the file grows until look id % 7."""
+    return st.stable_observations(_looks(spark, base)).select("path", F.col("attempt").cast("long").alias("attempt"), "file_size")
+
+
+def unstable_files(spark: SparkSession, base: str) -> DataFrame:
+    """Files that never agreed in five looks, and when they are due again."""
+    return st.unstable_paths(_looks(spark, base).withColumn("seen_ms", F.col("attempt").cast("long") * 150))
+
+
+def event_renames(spark: SparkSession, base: str) -> DataFrame:
+    """Renames of files on record (those of even users), and the number of other events by path and kind."""
+    normal = st.normalize_events(file_events(spark, base))
+    known = table(spark, base, "events").filter("user_id % 2 = 0").select((F.col("user_id") % 6).alias("folder_id"), F.expr("concat('C:\\\\shots\\\\u', user_id % 40, '.png')").alias("path"))
+    renames, rest = st.split_renames(normal, known)
+    counted = rest.groupBy("folder_id", "path", "kind").agg(F.count("*").alias("n"))
+    return renames.select("folder_id", F.col("old_path").alias("path"), F.lit("rename").alias("kind"), F.col("new_path"), F.lit(1).cast("long").alias("n")).unionByName(counted.withColumn("new_path", F.lit(None).cast("string")))
+
+
+def _looks(spark: SparkSession, base: str) -> DataFrame:
     rows = items(spark, base, "file_size", "modified_at_fs").select(F.col("id").cast("string").alias("path"), "id", "file_size", "modified_at_fs", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("attempt"))
-    seen = rows.select("path", "attempt", (F.col("file_size") - F.greatest(F.col("id") % 7 - F.col("attempt"), F.lit(0))).alias("file_size"), "modified_at_fs", (F.col("id") % 23 != 0).alias("readable"))
-    return st.stable_observations(seen).select("path", F.col("attempt").cast("long").alias("attempt"), "file_size")
+    return rows.select("path", "attempt", (F.col("file_size") - F.greatest(F.col("id") % 7 - F.col("attempt"), F.lit(0))).alias("file_size"), "modified_at_fs", (F.col("id") % 23 != 0).alias("readable"))
 
 
 # ------------------------------------------------------------------------------------------------- extraction
@@ -168,7 +185,7 @@ def token_hits(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        event_normalize, event_debounce, event_jobs, stability_gate, tile_plan, line_classify, candidate_select, tile_merge, box_merge, ctc_decode,
+        event_normalize, event_debounce, event_jobs, event_renames, stability_gate, unstable_files, tile_plan, line_classify, candidate_select, tile_merge, box_merge, ctc_decode,
         mock_recognition, recognition_summary, cer_wer, cer_wer_texts, latency_percentiles, classifier_confusion, token_hits,
     )
 }
@@ -211,6 +228,13 @@ SQL = {
 sized AS (SELECT id, attempt, greatest(id % 7 - attempt, 0) AS short FROM looks)
 SELECT a.id::VARCHAR AS path, min(b.attempt) AS attempt, (any_value(i.file_size) - min(b.short))::BIGINT AS file_size
 FROM sized a JOIN sized b ON a.id = b.id AND b.attempt = a.attempt + 1 AND a.short = b.short JOIN items i ON i.id = a.id WHERE a.id % 23 <> 0 GROUP BY a.id""",
+    "unstable_files": f"WITH {ITEMS_SQL} SELECT id::VARCHAR AS path, 1250::BIGINT AS due_ms FROM items WHERE id % 23 <> 0 AND id % 7 > 4",
+    "event_renames": rf"""WITH {_EVENTS}, known AS (SELECT DISTINCT user_id % 6 AS folder_id, 'C:\shots\u' || (user_id % 40) || '.png' AS path FROM events WHERE user_id % 2 = 0),
+moves AS (SELECT n.*, k.path IS NOT NULL AS own FROM norm n LEFT JOIN known k ON k.folder_id = n.folder_id AND k.path = n.path WHERE kind = 'rename'),
+ren AS (SELECT folder_id, path, arg_max(to_path, (ts, to_path)) AS new_path, max(ts) AS at_ts FROM moves WHERE own GROUP BY 1, 2),
+rest AS (SELECT folder_id, path, kind, ts FROM norm WHERE kind <> 'rename' UNION ALL SELECT folder_id, to_path, 'upsert', ts FROM moves WHERE NOT own)
+SELECT folder_id, path, 'rename' AS kind, new_path, 1::BIGINT AS n FROM ren
+UNION ALL SELECT r.folder_id, r.path, r.kind, NULL, count(*) FROM rest r LEFT JOIN ren n ON n.folder_id = r.folder_id AND n.path = r.path WHERE n.path IS NULL OR r.ts > n.at_ts GROUP BY 1, 2, 3""",
     "tile_plan": f"""WITH {ITEMS_SQL}, s AS (SELECT id, id * 37 % 6000 + 1 AS w, file_size * 53 % 9000 + 1 AS h FROM items),
 k AS (SELECT *, CASE WHEN h > w * 2 AND h > 2000 THEN 'vertical_tiling' WHEN w > h * 2 AND w > 2000 THEN 'horizontal_tiling' WHEN w <= 2600 AND h <= 2600 THEN 'direct' ELSE 'downscale' END AS strategy FROM s),
 n AS (SELECT *, CASE strategy WHEN 'vertical_tiling' THEN greatest(ceil((h - 2000) / 1850.0), 0) WHEN 'horizontal_tiling' THEN greatest(ceil((w - 2000) / 1850.0), 0) ELSE 0 END::BIGINT AS last FROM k),

@@ -8,7 +8,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ocrlake.functions.paths import is_supported_image
@@ -51,6 +51,26 @@ def per_path_events(normal: DataFrame) -> DataFrame:
     return normal.select(*keep, F.explode(parts).alias("e")).select(*keep, "e.kind", "e.path")
 
 
+def split_renames(normal: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Renames of items on record (folder_id, old_path, new_path), and all other events as ``per_path_events`` gives them.
+
+    A rename of a file that is on record keeps the item, with its text and vector (see ``catalog.rename_items``); what was
+    waiting for the old path is cancelled with it. A rename of an unknown file is an upsert of its new path. ``normal`` has
+    folder_id; batch frames, as in foreachBatch.
+    """
+    known = items.select("folder_id", "path").distinct()
+    moves = normal.filter(F.col("kind") == RENAME)
+    own = moves.join(known, ["folder_id", "path"], "left_semi")
+    last = F.max_by("to_path", F.struct("ts", "to_path"))
+    renames = own.groupBy("folder_id", "path").agg(last.alias("new_path"), F.max("ts").alias("_at"))
+    others = moves.join(known, ["folder_id", "path"], "left_anti").withColumns({"kind": F.lit(UPSERT), "path": F.col("to_path")})
+    rest = normal.filter(F.col("kind") != RENAME).unionByName(others)
+    waiting = renames.select("folder_id", "path", "_at")
+    rest = rest.join(waiting, (rest["folder_id"] == waiting["folder_id"]) & (rest["path"] == waiting["path"]) & (rest["ts"] <= waiting["_at"]), "left_anti")
+    keep = [c for c in normal.columns if c not in ("kind", "path", "to_path")]
+    return renames.select("folder_id", F.col("path").alias("old_path"), "new_path"), rest.select(*keep, "kind", "path")
+
+
 def debounce(events: DataFrame, quiet: str = "500 milliseconds", watermark: str = "10 seconds", keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """(keys, kind, started_at, last_at, n): bursts of events of one path, ended by a quiet time; the last event wins.
 
@@ -117,6 +137,33 @@ def stable_observations(observations: DataFrame) -> DataFrame:
     return first.select("path", "m.*")
 
 
+def unstable_paths(observations: DataFrame, last_seen_ms: str = "seen_ms", again_ms: int = QUIET_MS) -> DataFrame:
+    """(path, due_ms): paths that can be read but never agreed; they are looked at again after another quiet time."""
+    stable = stable_observations(observations).select("path")
+    there = observations.groupBy("path").agg(F.max_by("readable", "attempt").alias("r"), F.max(last_seen_ms).alias("m"))
+    return there.filter("r").join(stable, "path", "left_anti").select("path", (F.col("m") + again_ms).alias("due_ms"))
+
+
+class Progress(StreamingQueryListener):
+    """Tells a callback what each micro-batch did: rows in, rows a second, batch number, and when the query ends."""
+
+    def __init__(self, tell: Callable[[dict], None]) -> None:
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        self.tell({"event": "started", "name": event.name})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.tell({"event": "progress", "name": p.name, "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.tell({"event": "ended", "error": event.exception})
+
+
 def event_jobs(bursts: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
     """Wanted jobs of debounced events (folder_id, path, kind); ``hashes`` (path, content_hash) where they are known."""
     rows = bursts.join(hashes, "path", "left") if hashes is not None else bursts.withColumn("content_hash", F.lit(None).cast("string"))
@@ -134,4 +181,4 @@ def queue_writer(read_jobs: Callable[[], DataFrame], write_jobs: Callable[[DataF
     return run
 
 
-__all__ = ["debounce", "debounce_stateful", "event_jobs", "normalize_events", "per_path_events", "queue_writer", "stable_observations"]
+__all__ = ["Progress", "debounce", "debounce_stateful", "event_jobs", "normalize_events", "per_path_events", "queue_writer", "split_renames", "stable_observations", "unstable_paths"]

@@ -10,27 +10,35 @@ def block_pairs(rows: DataFrame, keys: list[str], val: str, n: str, carry: list[
     """All pairs of rows with equal ``keys`` and different ``val``, once each: the columns as ``{c}_a`` and ``{c}_b``.
 
     ``n`` says how many rows have a row's keys. They are spread over ceil(n / block) blocks by a hash of ``val``, and each
-    pair of blocks is a join key of its own: no task gets a hot key as a whole. ``apart`` filters pairs in the join.
+    pair of blocks is a join key of its own: no task gets a hot key as a whole. Both sides of the join are one table, so
+    it is shuffled once. ``apart`` filters pairs in the join.
     """
     c = F.ceil(F.col(n) / block).cast("int")
-    rows = rows.withColumn("_c", c).withColumn("_own", F.pmod(F.xxhash64(val), F.col("_c")).cast("int"))
-    cols = [val, *carry]
-    left = rows.select(*keys, F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_c") - 1)).alias("_j"), *(F.col(x).alias(f"{x}_a") for x in cols))
-    right = rows.select(*keys, F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"), *(F.col(x).alias(f"{x}_b") for x in cols))
-    pairs = left.join(right, [*keys, "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col(f"{val}_a") < F.col(f"{val}_b")))
+    own = F.when(c > 1, F.pmod(F.xxhash64(val), c)).otherwise(0).cast("int")
+    placed = rows.select(*keys, val, *carry, own.alias("_own"), F.explode(F.when(c > 1, F.sequence(F.lit(0), c - 1)).otherwise(F.array(F.lit(0)))).alias("_other"))
+    placed = placed.select(*keys, F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), val, *carry, "_own")
+    cols = [val, *carry, "_own"]
+    on = [*keys, "_lo", "_hi"]
+    left, right = placed.select(*on, *(F.col(x).alias(f"{x}_a") for x in cols)), placed.select(*on, *(F.col(x).alias(f"{x}_b") for x in cols))
+    pairs = left.join(right, on).filter((F.col(f"{val}_a") < F.col(f"{val}_b")) & ((F.col("_lo") == F.col("_hi")) | (F.col("_own_a") != F.col("_own_b"))))
     pairs = pairs if apart is None else pairs.filter(apart)
-    return pairs.select(*keys, *(f"{x}_{side}" for side in "ab" for x in cols))
+    return pairs.select(*keys, *(f"{x}_{side}" for side in "ab" for x in cols[:-1]))
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, block: int = 2_000) -> DataFrame:
     """Equality join of two tables whose rows of one ``key`` may be very many on both sides (null keys never match).
 
     A key with n and m rows is cut into ceil(n / block) and ceil(m / block) parts, and each pair of parts is joined by
-    itself; keys of up to ``block`` rows on both sides are joined as ever.
+    itself; only keys with more than ``block`` rows on a side (rows / block of them at most) are looked up for that. Both
+    tables are read twice: pass tables that are written.
     """
-    count = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    parts = count(left, "_n").join(count(right, "_m"), key)
-    hash_of = lambda df: F.xxhash64(*df.columns)
-    a = left.withColumn("_h", hash_of(left)).join(parts, key).withColumn("_i", F.pmod("_h", "_n").cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_h", "_n", "_m")
-    b = right.withColumn("_h", hash_of(right)).join(parts, key).withColumn("_j", F.pmod("_h", "_m").cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_h", "_n", "_m")
-    return a.join(b, [key, "_i", "_j"]).drop("_i", "_j")
+    hot = lambda df, name: df.groupBy(key).agg(F.count("*").alias("_k")).filter(F.col("_k") > block).select(key, F.ceil(F.col("_k") / block).cast("int").alias(name))
+    many_left, many_right = hot(left, "_n"), hot(right, "_m")
+    n, m = F.coalesce("_n", F.lit(1)), F.coalesce("_m", F.lit(1))
+
+    def placed(df: DataFrame, own: str, parts: Column, other: str, others: Column) -> DataFrame:
+        hashed = df.withColumn("_h", F.xxhash64(*df.columns)).join(many_left, key, "left").join(many_right, key, "left")
+        spread = hashed.withColumn(own, F.pmod(F.col("_h"), parts).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), others - 1)))
+        return spread.drop("_h", "_n", "_m")
+
+    return placed(left, "_i", n, "_j", m).join(placed(right, "_j", m, "_i", n), [key, "_i", "_j"]).drop("_i", "_j")

@@ -303,7 +303,7 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams = N
     pairs = block_pairs(fp.shared, ["band"], "node", "n", ["sig"], p.block, may_be_similar(F.col("sig_a"), F.col("sig_b"), p))
     pairs = cut(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     release(fp.shared)
-    return NearDups(fp.members, verified(fp, pairs, p))
+    return NearDups(fp.members, cut(verified(fp, pairs, p)))
 
 
 def near_groups(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams = NearDupParams(), also: DataFrame | None = None) -> DataFrame:
@@ -342,11 +342,10 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams =
 def expand_pairs(found: NearDups, p: NearDupParams) -> DataFrame:
     """All pairs of ids (id_a < id_b): links between texts, and equal texts that have at least one run of words."""
     m = found.members
-    sizes = m.groupBy("node").agg(F.count("*").alias("n"))
-    links = found.links.select("a", "b")
-    across = spread_join(links, m.select(F.col("node").alias("a"), F.col("id").alias("id1")), "a", p.block)
-    across = spread_join(across, m.select(F.col("node").alias("b"), F.col("id").alias("id2")), "b", p.block).select("id1", "id2")
-    copied = m.filter(F.col("n_words") >= p.shingle).join(sizes.filter("n > 1"), "node")
+    sizes = m.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    first = spread_join(found.links.select("a", "b"), m.select(F.col("node").alias("a"), F.col("id").alias("id1")), "a", p.block)
+    across = spread_join(cut(first), m.select(F.col("node").alias("b"), F.col("id").alias("id2")), "b", p.block).select("id1", "id2")
+    copied = m.filter(F.col("n_words") >= p.shingle).join(sizes, "node")
     within = block_pairs(copied, ["node"], "id", "n", [], p.block).select("id_a", "id_b")
     return across.union(within).select(F.least("id1", "id2").alias("id_a"), F.greatest("id1", "id2").alias("id_b")).filter("id_a < id_b")
 
@@ -355,7 +354,7 @@ def same_tag_pairs(docs: DataFrame, id_col: str, tag_col: str, block: int = Near
     """Pairs (id_a < id_b) of different ids with the same non-null tag."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(tag_col).alias("tag")).filter("id is not null and tag is not null").distinct()
     repeated = rows.groupBy("tag").agg(F.count("*").alias("n")).filter("n > 1")
-    pairs = block_pairs(rows.join(repeated, "tag"), ["tag"], "id", "n", [], block)
+    pairs = block_pairs(cut(rows.join(repeated, "tag")), ["tag"], "id", "n", [], block)
     return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 

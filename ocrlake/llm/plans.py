@@ -34,6 +34,17 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return scannoise.noisy_lines(_repaired(spark, base))
 
 
+def p5_texts(spark: SparkSession, base: str) -> DataFrame:
+    """Every text in continuous paragraphs."""
+    return _repaired(spark, base).select("origin", "record_key", "text")
+
+
+def p6_segments(spark: SparkSession, base: str) -> DataFrame:
+    """Language and confidence of every text (segment 0) and of each of its blocks."""
+    found = langid.detect(table(spark, base, "screenshots"), "id", "ocr_text", "ocr_language")
+    return found.select(F.col("id").alias("screenshot_id"), "segment_no", "lang", F.round("confidence", 4).alias("confidence"))
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return langid.wrong_segments(langid.detect(table(spark, base, "screenshots"), "id", "ocr_text", "ocr_language"))
 
@@ -76,7 +87,9 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p5_found": p5_found,
+    "p5_texts": p5_texts,
     "p6_found": p6_found,
+    "p6_segments": p6_segments,
     "p7_found": p7_found,
     "p7_near": p7_near,
     "p8_drawn": p8_drawn,

@@ -45,6 +45,27 @@ def item_by_path(items: DataFrame, path: str) -> DataFrame:
     return items.filter(F.col("path") == path)
 
 
+# What the detail of an item, and an item waiting for its text, show
+DETAIL_COLUMNS = (
+    "id", "folder_id", "path", "filename", "extension", "file_size", "modified_at_fs", "content_hash", "width", "height", "ocr_text", "ocr_status",
+    "ocr_engine", "ocr_engine_version", "ocr_language", "ocr_pipeline_version", "indexed_at",
+)
+PENDING_COLUMNS = ("id", "folder_id", "path", "filename", "extension")
+
+
+def item_detail(items: DataFrame, item_id: int) -> DataFrame:
+    return item_by_id(items, item_id).select(*DETAIL_COLUMNS)
+
+
+def hydrated(page: DataFrame, items: DataFrame) -> DataFrame:
+    """A page of search results with all that it shows of an item: the page's columns, hash, width and height too.
+
+    A page has at most the greatest page size of rows, so it is broadcast.
+    """
+    facts = items.select("id", "content_hash", "width", "height")
+    return facts.join(F.broadcast(page), "id").select(*page.columns, "content_hash", "width", "height")
+
+
 def newest_by_hash(items: DataFrame) -> DataFrame:
     """(folder_id, content_hash, id, path): the newest item of each folder and known hash."""
     known = items.filter(F.col("content_hash").isNotNull())

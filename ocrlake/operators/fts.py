@@ -208,6 +208,14 @@ def matches_of(index, query: str, folder_id: int | None = None) -> DataFrame:
     return invindex.keyword_matches(index, query, folder_id)
 
 
+def preview_search(items: DataFrame, query: str) -> DataFrame:
+    """Items whose file name or text holds the trimmed query in any case; all of them for a blank one. Needs no index."""
+    q = query.strip().lower()
+    if not q:
+        return items
+    return items.filter(F.lower("filename").contains(q) | F.coalesce(F.lower("ocr_text").contains(q), F.lit(False)))
+
+
 @dataclass
 class Page:
     items: DataFrame

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ocrlake.functions import text as tx
 from ocrlake.functions import vectors as vx
+from ocrlake.operators import catalog as cat
 from ocrlake.operators import fts, hybrid
 from ocrlake.operators import invindex as inv
-from ocrlake.plans.common import INDEX_SQL, ITEMS_SQL, MODEL_VERSION, VECTORS_SQL, bm25_sql, items, norm_sql, tokens_sql, vectors, wstrim_sql
+from ocrlake.plans.common import INDEX_SQL, ITEMS_SQL, MODEL_VERSION, WS, VECTORS_SQL, bm25_sql, items, norm_sql, tokens_sql, vectors, wstrim_sql
 from ocrlake.session import ensure_checkpoint_dir
 from ocrlake.sources.tables import table
 
@@ -97,6 +98,23 @@ def fts_snippets(spark: SparkSession, base: str) -> DataFrame:
     return fts.search_page(_index(spark, base), _items(spark, base), QUERY, limit=100).items.select("id", "snippet")
 
 
+def result_page(spark: SparkSession, base: str) -> DataFrame:
+    """A page as it is shown, with hash and size of the images."""
+    rows = items(spark, base, *INDEX_COLUMNS, "content_hash", "width", "height")
+    page = fts.search_page(_index(spark, base), rows, QUERY, limit=30).items.drop("snippet")
+    return cat.hydrated(page, rows).withColumn("score", F.round("score", 6))
+
+
+def item_details(spark: SparkSession, base: str) -> DataFrame:
+    """The detail of every item, its text by digest."""
+    rows = items(spark, base).select(*cat.DETAIL_COLUMNS)
+    return rows.withColumns({"ocr_text": F.sha2("ocr_text", 256), "indexed_at": F.unix_micros("indexed_at")})
+
+
+def preview_search(spark: SparkSession, base: str) -> DataFrame:
+    return fts.preview_search(items(spark, base, "filename", "ocr_text"), "  The Key ").select("id", "filename")
+
+
 def recent_items(spark: SparkSession, base: str) -> DataFrame:
     rows = items(spark, base, "folder_id", "filename", "path", "modified_at_fs", "ocr_status")
     return fts.search_page(_index(spark, base), rows, "  ", limit=50, offset=10).items.select("id", "filename", "modified_at_fs", "score")
@@ -123,7 +141,11 @@ def vector_codec(spark: SparkSession, base: str) -> DataFrame:
 
 def mock_embeddings(spark: SparkSession, base: str) -> DataFrame:
     doc = tx.semantic_document(F.col("filename"), F.col("ocr_text"))
-    return items(spark, base, "filename", "ocr_text").select("id", vx.mock_embedding(tx.passage_input(doc)).alias("embedding"))
+    dims = items(spark, base, "filename", "ocr_text").select("id", F.posexplode(vx.mock_embedding(tx.passage_input(doc))).alias("dim", "value"))
+    # in twelfths of the item's least value, as single precision leaves no decimals to compare
+    dims = dims.filter("value <> 0")
+    least = dims.groupBy("id").agg(F.min("value").alias("least"))
+    return dims.join(least, "id").select("id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value") / F.col("least") * 12).cast("long").alias("twelfths"))
 
 
 def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
@@ -134,7 +156,7 @@ def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
     return found.select("id", "match_type", *(F.round(c, 6).alias(c) for c in ("exact", "in_name", "fts", "sem", "score")))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, normalize_ocr, technical_tokens, exact_signals, semantic_document, index_build, index_health, index_refresh, fts_bm25, fts_phrase, fts_folder_page, fts_filename, fts_snippets, recent_items, search_batch, vector_similarity, vector_codec, mock_embeddings, hybrid_search)}
+QUERIES = {f.__name__: f for f in (normalize_text, normalize_ocr, technical_tokens, exact_signals, semantic_document, index_build, index_health, index_refresh, fts_bm25, fts_phrase, fts_folder_page, fts_filename, fts_snippets, result_page, item_details, preview_search, recent_items, search_batch, vector_similarity, vector_codec, mock_embeddings, hybrid_search)}
 
 _NORM_OCR = f"regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]', '', 'g'), '[\\x09\\x0b-\\x0d\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+(\\n|$)', '\\1', 'g')"
 _HYBRID_WORDS = [[w] for w in ("storage", "report")]
@@ -165,6 +187,21 @@ SELECT id, round(-(CASE WHEN ln((n - c + 0.5) / (c + 0.5)) > 0 THEN ln((n - c +
     "fts_folder_page": f"""WITH {bm25_sql([['the'], ['menu']], "folder_id = 7")},
 page AS (SELECT * FROM ranked ORDER BY bm25, modified_at_fs DESC, id DESC LIMIT 20 OFFSET 5), c AS (SELECT count(*) AS total FROM ranked)
 SELECT id, round(-bm25, 6) AS score, 'keyword' AS match_type, total, 5 + least(20, greatest(total - 5, 0)) < total AS has_more FROM page, c""",
+    "result_page": f"""WITH {bm25_sql([["error"], ["report"]])}, page AS (SELECT * FROM ranked ORDER BY bm25, modified_at_fs DESC, id DESC LIMIT 30)
+SELECT p.id, p.folder_id, p.filename, p.path, p.modified_at_fs, round(-bm25, 6) AS score, 'keyword' AS match_type, content_hash, width, height FROM page p""",
+    "item_details": f"""WITH {ITEMS_SQL} SELECT id, folder_id, path, filename, extension, file_size, modified_at_fs, content_hash, width, height, sha256(ocr_text) AS ocr_text, ocr_status,
+  ocr_engine, ocr_engine_version, ocr_language, ocr_pipeline_version, epoch_us(indexed_at) AS indexed_at FROM items""",
+    "preview_search": f"WITH {ITEMS_SQL} SELECT id, filename FROM items WHERE contains(lower(filename), 'the key') OR coalesce(contains(lower(ocr_text), 'the key'), false)",
+    # each word adds to the dimension of its hash, and to fifteen dimensions for each group of words that it holds one of
+    "mock_embeddings": f"""WITH {ITEMS_SQL}, doc AS (SELECT id, 'passage: ' || {wstrim_sql("CASE WHEN t = '' THEN 'Filename: ' || " + wstrim_sql("filename") + " ELSE 'Filename: ' || " + wstrim_sql("filename") + " || chr(10) || 'Content:' || chr(10) || left(t, 2000) END")} AS input
+  FROM (SELECT id, filename, {wstrim_sql("coalesce(ocr_text, '')")} AS t FROM items)),
+word AS (SELECT id, regexp_replace(unnest(regexp_split_to_array(lower(input), '{WS}+')), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS w FROM doc),
+n AS (SELECT id, w, count(*) AS k FROM word WHERE w <> '' GROUP BY 1, 2), d AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM n),
+h AS (SELECT w, list_reduce(list_prepend(5381::HUGEINT, list_transform(range(1, length(x) // 2 + 1), lambda i: ((instr('0123456789ABCDEF', x[2 * i - 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i]) - 1)::HUGEINT)),
+  lambda a, b: (a * 33 + b) % 18446744073709551616::HUGEINT) % 384 AS dim FROM d),
+g AS (SELECT w, unnest(range(first, first + 15)) AS dim FROM (SELECT w, unnest(list_filter([{", ".join(f"CASE WHEN len(list_filter({list(words)!r}, lambda y: contains(w, y))) > 0 THEN {first} END" for first, words in vx.CONCEPTS)}], lambda z: z IS NOT NULL)) AS first FROM d)),
+v AS (SELECT id, dim::BIGINT AS dim, sum(k * a) AS value FROM (SELECT w, dim, 0.5 AS a FROM h UNION ALL SELECT w, dim, 2.0 FROM g) JOIN n USING (w) GROUP BY 1, 2)
+SELECT id, dim, round(value::DOUBLE / min(value::DOUBLE) OVER (PARTITION BY id) * 12)::BIGINT AS twelfths FROM v""",
     "recent_items": f"""WITH {ITEMS_SQL} SELECT id, filename, modified_at_fs, 0.0::DOUBLE AS score FROM items WHERE ocr_status = 'SUCCEEDED'
 ORDER BY modified_at_fs DESC, id DESC LIMIT 50 OFFSET 10""",
     "search_batch": f"""WITH {INDEX_SQL},

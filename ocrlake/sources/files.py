@@ -146,6 +146,14 @@ def image_data_urls(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.select("path", data_url(extension(F.col("path")), F.col("content")).alias("data_url"))
 
 
+def image_data_url(spark: SparkSession, items: DataFrame, item_id: int) -> str:
+    """The data address of one item's file; an error where the item or its file is not there."""
+    row = items.filter(F.col("id") == item_id).select("path").head(1)
+    if not row or not os.path.isfile(row[0]["path"].removeprefix("file:")):
+        raise EngineError("FILE_NOT_FOUND", str(item_id))
+    return image_data_urls(spark, [row[0]["path"]]).first()["data_url"]
+
+
 def watch_directory(spark: SparkSession, root: str) -> DataFrame:
     """Streaming events (kind, path, to_path, ts) of image files that appear or change under ``root``."""
     schema = "path string, modificationTime timestamp, length long, content binary"

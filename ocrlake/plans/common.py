@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ocrlake.operators import extract as ex
 from ocrlake.operators.catalog import distinct_items
 from ocrlake.operators.jobs import JOB_ORDER, current_jobs
 from ocrlake.sources.tables import table
@@ -98,3 +99,73 @@ def bm25_sql(phrases: list[list[str]], where: str = "true") -> str:
 hit AS (SELECT *, {hits} FROM idx),
 stats AS (SELECT count(*) AS n, sum(n_tokens) / count(*)::DOUBLE AS avgdl, {counts} FROM hit),
 ranked AS (SELECT hit.*, -({' + '.join(parts)}) AS bm25 FROM hit, stats WHERE {every} AND {where})"""
+
+
+# ------------------------------------------------------------------------------------- line classes in SQL
+
+_ANY = r"\p{L}\p{N}"
+
+
+def _texts(parts) -> str:
+    return "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in parts) + "]"
+
+
+def words_sql(c: str) -> str:
+    return f"list_filter(regexp_split_to_array({c}, '{WS}+'), lambda w: w <> '')"
+
+
+def _some_word(c: str, condition: str) -> str:
+    return f"len(list_filter({words_sql(c)}, lambda w: {condition})) > 0"
+
+
+def strong_sql(c: str) -> str:
+    """Whether a line has a pattern that settles it as technical."""
+    seps = f"(length({c}) - length(replace(replace({c}, '/', ''), '\\', '')))"
+    rules = [
+        f"len(list_filter({_texts(ex._LOWER_PARTS)}, lambda p: contains(lower({c}), p))) > 0",
+        f"len(list_filter({_texts(ex._EXACT_PARTS)}, lambda p: contains({c}, p))) > 0",
+        f"starts_with(lower({c}), 'at ')",
+        f"(regexp_matches({c}, '^[A-Za-z]:') AND {seps} >= 1) OR {seps} >= 2",
+        f"len(list_filter({_texts(ex._STARTS)}, lambda p: starts_with({c}, p))) > 0",
+        _some_word(c, f"regexp_matches(w, '^[^{_ANY}]*[Pp][0-9]{{4}}[^{_ANY}]*$')"),
+        _some_word(c, "starts_with(w, '@') AND contains(w, '/')"),
+        _some_word(c, f"strlen(w) >= 5 AND regexp_matches(w, '^[^{_ANY}_\\-=]*[{_ANY}_\\-]+[^{_ANY}_\\-=]*=[^=]*[0-9A-Fa-f][^=]*$')"),
+        _some_word(c, "starts_with(lower(w), '0x') AND strlen(w) >= 4"),
+        _some_word(c, "(starts_with(w, 'ORA-') OR starts_with(w, 'SIG')) AND strlen(w) >= 5"),
+        *(f"contains({c}, '{a}') AND contains({c}, '{b}')" for a, b in ex._PAIRS),
+    ]
+    return "(" + " OR ".join(f"({r})" for r in rules) + ")"
+
+
+def classify_sql(c: str) -> str:
+    """Technical, Natural or Uncertain, of a trimmed line."""
+    count = lambda pattern: f"len(regexp_extract_all({c}, '{pattern}'))"
+    ratio = lambda n: f"({n}::FLOAT / greatest(length({c}), 1)::FLOAT)::FLOAT"
+    signs, digits, letters = ratio(count(f"[^\\p{{L}}0-9{WS[1:]}")), ratio(count("[0-9]")), ratio(count("\\p{L}"))
+    clean = f"regexp_replace(w, '^[^{_ANY}_\\-]+|[^{_ANY}_\\-]+$', '', 'g')"
+    turns = "len(regexp_extract_all(k, '\\p{Ll}\\p{Lu}'))"
+    word = f"""(CASE WHEN contains(k, '_') AND strlen(k) > 3 THEN 25 ELSE 0 END + CASE WHEN strlen(k) >= 4 AND regexp_matches(k, '^[A-Z0-9_]*[A-Z][A-Z0-9_]*$') THEN 15 ELSE 0 END
+      + CASE WHEN {turns} >= 2 THEN 30 WHEN {turns} = 1 AND strlen(k) >= 6 THEN 15 ELSE 0 END
+      + CASE WHEN strlen(k) >= 7 AND regexp_matches(k, '^[0-9A-Fa-f]+$') AND regexp_matches(k, '[0-9]') AND regexp_matches(k, '[A-Fa-f]') THEN 25 ELSE 0 END
+      + CASE WHEN strlen(k) >= 8 AND regexp_matches(k, '^[{_ANY}.]{{2,}}(?:-[{_ANY}.]{{2,}})+$') THEN 20 ELSE 0 END
+      + CASE WHEN list_contains({_texts(ex._PORTS)}, k) THEN 15 ELSE 0 END + CASE WHEN regexp_matches(k, '[./\\\\]') THEN 10 ELSE 0 END)"""
+    # the untrimmed word has an arrow or a double colon where the trimmed one has no such sign
+    arrow = f"CASE WHEN (contains(w, '->') OR contains(w, '::')) AND NOT regexp_matches({clean}, '[./\\\\]') THEN 10 ELSE 0 END"
+    tech = f"""(CASE WHEN {signs} > 0.15::FLOAT THEN 25 WHEN {signs} > 0.08::FLOAT THEN 10 ELSE 0 END + CASE WHEN {digits} > 0.30::FLOAT THEN 20 WHEN {digits} > 0.15::FLOAT THEN 10 ELSE 0 END
+      + coalesce(list_sum(list_transform(list_transform({words_sql(c)}, lambda w: {clean}), lambda k: {word})), 0) + coalesce(list_sum(list_transform({words_sql(c)}, lambda w: {arrow})), 0))"""
+    n = f"len({words_sql(c)})"
+    natural = f"(CASE WHEN {letters} > 0.80::FLOAT THEN 15 ELSE 0 END + CASE WHEN {signs} > 0.08::FLOAT THEN 0 ELSE 10 END + CASE WHEN {n} >= 3 THEN 15 WHEN {n} = 2 THEN 5 ELSE 0 END)"
+    marked = f"(regexp_matches({c}, '[{ex._foreign_letters()}]') AND regexp_matches({c}, '\\p{{Ll}}') AND {n} >= 2 AND {count(chr(92) + 'p{L}')} >= 6)"
+    return f"""CASE WHEN {c} = '' THEN 'Uncertain' WHEN {strong_sql(c)} THEN 'Technical' WHEN {marked} THEN 'Natural' WHEN {tech} >= 30 THEN 'Technical' WHEN {tech} >= 15 THEN 'Uncertain'
+      WHEN {natural} >= 20 AND {tech} < 10 THEN 'Natural' ELSE 'Uncertain' END"""
+
+
+def choose_sql(b: str, u: str) -> str:
+    """The better of two trimmed readings."""
+    return f"""CASE WHEN {b} = '' THEN {u} WHEN {u} = '' OR {u} = {b} THEN {b}
+    WHEN (strlen({u}) >= strlen({b}) + 8 AND starts_with({u}, {b})) OR (contains({u}, '=') AND NOT contains({b}, '=')) OR length({u}) - length(replace({u}, '_', '')) > length({b}) - length(replace({b}, '_', ''))
+      OR (contains({b}, '=') AND contains({u}, '=') AND regexp_matches({b}, ' = |= | =') AND NOT regexp_matches({u}, ' = |= | =')) THEN {u} ELSE {b} END"""
+
+
+def second_pass_sql(b: str) -> str:
+    return f"""({b} = '' OR {b} = 'Migration' OR regexp_matches({b}, ' = |= | =|pid-|client new|OcrEngineMode "|node modules'))"""

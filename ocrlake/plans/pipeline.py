@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ocrlake.operators import evaluate as ev
 from ocrlake.operators import extract as ex
-from ocrlake.plans.common import ITEMS_SQL, JOBS_SQL, WS, items, jobs, norm_sql, wstrim_sql
+from ocrlake.plans.common import ITEMS_SQL, JOBS_SQL, WS, choose_sql, classify_sql, items, jobs, norm_sql, second_pass_sql, strong_sql, wstrim_sql
 from ocrlake.sources.tables import table
 from ocrlake.streaming import events as st
 
@@ -216,6 +216,8 @@ rates AS (SELECT *, CASE WHEN ref_chars > 0 THEN char_dist / ref_chars WHEN NOT
 _RECOGNISED = f"""{ITEMS_SQL}, done AS (SELECT id, CASE WHEN length(path) % 10 = 3 THEN CASE WHEN NOT ends_with(path, '.png') THEN 'second' END WHEN length(path) % 10 = 4 THEN '' ELSE upper(path) END AS ocr_text,
   CASE WHEN length(path) % 10 <> 3 THEN 'mock' WHEN NOT ends_with(path, '.png') THEN 'mock2' END AS ocr_engine,
   CASE WHEN length(path) % 10 = 3 AND ends_with(path, '.png') THEN 'OCR_EMPTY' END AS error_code FROM items WHERE ocr_status = 'PENDING')"""
+_LINES = "l AS (SELECT DISTINCT line FROM (SELECT unnest(string_split_regex(text, '\\r?\\n')) AS line FROM documents) WHERE trim(line) <> '')"
+_ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _W = "w::DOUBLE * 2600 / greatest(w, h)"
 _H = "h::DOUBLE * 2600 / greatest(w, h)"
 
@@ -251,12 +253,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY job_type ORDER BY s) - 1 AS k, c
 SELECT job_type, count(*) AS n, round(avg(s), 4) AS mean, min(s) AS least, max(s) AS greatest, max(s) FILTER (WHERE k = least(round(n * 0.5), n - 1)) AS p50,
   max(s) FILTER (WHERE k = least(round(n * 0.9), n - 1)) AS p90, max(s) FILTER (WHERE k = least(round(n * 0.95), n - 1)) AS p95 FROM r GROUP BY 1""",
     "token_hits": "WITH " + ITEMS_SQL + f", t AS (SELECT ocr_text, {norm_sql('ocr_text')} AS norm FROM items WHERE ocr_text IS NOT NULL), w(token, search) AS (VALUES ('TK-12115', 'tk 12115'), ('ERR_', 'err'), ('P20', 'p20'), ('v1.2', 'v1.2'), ('0x1', '0x1'), ('Storage report', 'storage report'), ('10.37', '10.37')) SELECT token, count(*) FILTER (WHERE contains(ocr_text, token)) AS exact_hits, count(*) FILTER (WHERE contains(norm, search)) AS search_hits FROM w, t GROUP BY token",
-    "candidate_select": f"""WITH l AS (SELECT DISTINCT line FROM (SELECT unnest(string_split_regex(text, '\\r?\\n')) AS line FROM documents) WHERE trim(line) <> ''),
+    "candidate_select": f"""WITH {_LINES},
 r AS (SELECT line, {wstrim_sql("line")} AS b, {wstrim_sql("CASE length(line) % 3 WHEN 0 THEN line || ' and more' WHEN 1 THEN replace(line, ' ', '_') ELSE replace(line, 'a', '=') END")} AS u FROM l)
-SELECT line, CASE WHEN b = '' THEN u WHEN u = '' OR u = b THEN b
-    WHEN (strlen(u) >= strlen(b) + 8 AND starts_with(u, b)) OR (contains(u, '=') AND NOT contains(b, '=')) OR length(u) - length(replace(u, '_', '')) > length(b) - length(replace(b, '_', ''))
-      OR (contains(b, '=') AND contains(u, '=') AND regexp_matches(b, ' = |= | =') AND NOT regexp_matches(u, ' = |= | =')) THEN u ELSE b END AS chosen,
-  b = '' OR b = 'Migration' OR regexp_matches(b, ' = |= | =|pid-|client new|OcrEngineMode "|node modules') AS second_pass FROM r""",
+SELECT line, {choose_sql("b", "u")} AS chosen, {second_pass_sql("b")} AS second_pass FROM r""",
+    "line_classify": f"WITH {_LINES}, t AS (SELECT line, {wstrim_sql('line')} AS s FROM l) SELECT line, {classify_sql('s')} AS label, {strong_sql('line')} AS strong FROM t",
+    "classifier_confusion": f"""WITH {_LINES}, t AS (SELECT line, {wstrim_sql('line')} AS s FROM l),
+c AS (SELECT {classify_sql('s')} AS guess, CASE WHEN regexp_matches(line, '[0-9]\\.[0-9]|\\\\|_') THEN 'Technical' ELSE 'Natural' END AS truth FROM t)
+SELECT count(*) FILTER (WHERE truth = 'Technical' AND guess = 'Technical') / count(*) FILTER (WHERE truth = 'Technical') AS positive_recall,
+  count(*) FILTER (WHERE truth = 'Technical' AND guess = 'Technical') / count(*) FILTER (WHERE guess = 'Technical') AS positive_precision,
+  count(*) FILTER (WHERE truth = 'Natural' AND guess = 'Natural') / count(*) FILTER (WHERE truth = 'Natural') AS negative_recall,
+  count(*) FILTER (WHERE truth = 'Natural' AND guess = 'Natural') / count(*) FILTER (WHERE guess = 'Natural') AS negative_precision FROM c""",
+    # kept lines so far, and the next line as a list of one
+    "tile_merge": f"""WITH {ITEMS_SQL}, a AS (SELECT id, string_split(ocr_text, chr(10)) AS ls FROM items WHERE ocr_text IS NOT NULL),
+b AS (SELECT id, list_concat(ls[1:ceil(len(ls) / 2)::INT + 2], ls[greatest(ceil(len(ls) / 2)::INT - 1, 1):]) AS ls FROM a),
+c AS (SELECT id, list_filter(list_transform(ls, lambda x: {wstrim_sql("x")}), lambda x: x <> '') AS ls FROM b),
+d AS (SELECT id, list_reduce(list_prepend([]::VARCHAR[], list_transform(ls, lambda x: [x])), lambda k, x: CASE
+    WHEN len(list_filter(k[-6:], lambda y: {_ASCII.format('y')} = {_ASCII.format('x[1]')} OR starts_with(x[1], y))) = 0 THEN list_concat(k, x)
+    WHEN {_ASCII.format('list_filter(k[-6:], lambda y: ' + _ASCII.format('y') + ' = ' + _ASCII.format('x[1]') + ' OR starts_with(x[1], y))[1]')} = {_ASCII.format('x[1]')} THEN k
+    ELSE list_concat(list_concat(k[1:greatest(len(k) - 6, 0) + list_position(list_transform(k[-6:], lambda y: {_ASCII.format('y')} = {_ASCII.format('x[1]')} OR starts_with(x[1], y)), true) - 1], x),
+      k[greatest(len(k) - 6, 0) + list_position(list_transform(k[-6:], lambda y: {_ASCII.format('y')} = {_ASCII.format('x[1]')} OR starts_with(x[1], y)), true) + 1:]) END) AS kept FROM c)
+SELECT id, array_to_string(kept, chr(10)) AS merged FROM d""",
     "ctc_decode": """WITH s AS (SELECT vec_id, list_transform(range(0, 16), lambda t: list_position(embedding[t * 4 + 1:t * 4 + 4], list_max(embedding[t * 4 + 1:t * 4 + 4])) - 1) AS c FROM embeddings)
 SELECT vec_id, array_to_string(list_transform(list_filter(range(1, 17), lambda i: c[i] <> 0 AND (i = 1 OR c[i] <> c[i - 1])), lambda i: ['A', 'B', 'C'][c[i]]), '') AS text FROM s""",
     "mock_recognition": f"WITH {_RECOGNISED} SELECT * FROM done",

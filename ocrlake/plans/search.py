@@ -156,7 +156,20 @@ def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
     return found.select("id", "match_type", *(F.round(c, 6).alias(c) for c in ("exact", "in_name", "fts", "sem", "score")))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, normalize_ocr, technical_tokens, exact_signals, semantic_document, index_build, index_health, index_refresh, fts_bm25, fts_phrase, fts_folder_page, fts_filename, fts_snippets, result_page, item_details, preview_search, recent_items, search_batch, vector_similarity, vector_codec, mock_embeddings, hybrid_search)}
+def hybrid_folder(spark: SparkSession, base: str) -> DataFrame:
+    """The hybrid search of one folder: keyword candidates are of the folder before their cut, vector candidates after it."""
+    rows = _items(spark, base)
+    v = vectors(spark, base).filter(F.col("model_version") == MODEL_VERSION).select(F.col("screenshot_id").alias("id"), "embedding")
+    query = list(v.filter("id = 100").first()["embedding"])
+    page = hybrid.hybrid_page(_index(spark, base), rows, v, HYBRID_QUERY, query, folder_id=FOLDER, limit=100)
+    return page.items.select("id", "match_type", F.round("score", 6).alias("score"), F.lit(page.total).cast("long").alias("total"))
+
+
+def semantic_snippets(spark: SparkSession, base: str) -> DataFrame:
+    return items(spark, base, "ocr_text").select("id", tx.semantic_snippet("an report storage", F.col("ocr_text")).alias("snippet"))
+
+
+QUERIES = {f.__name__: f for f in (normalize_text, normalize_ocr, technical_tokens, exact_signals, semantic_document, index_build, index_health, index_refresh, fts_bm25, fts_phrase, fts_folder_page, fts_filename, fts_snippets, result_page, item_details, preview_search, recent_items, search_batch, vector_similarity, vector_codec, mock_embeddings, hybrid_search, hybrid_folder, semantic_snippets)}
 
 _NORM_OCR = f"regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]', '', 'g'), '[\\x09\\x0b-\\x0d\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+(\\n|$)', '\\1', 'g')"
 _HYBRID_WORDS = [[w] for w in ("storage", "report")]
@@ -195,7 +208,7 @@ SELECT p.id, p.folder_id, p.filename, p.path, p.modified_at_fs, round(-bm25, 6)
     # each word adds to the dimension of its hash, and to fifteen dimensions for each group of words that it holds one of
     "mock_embeddings": f"""WITH {ITEMS_SQL}, doc AS (SELECT id, 'passage: ' || {wstrim_sql("CASE WHEN t = '' THEN 'Filename: ' || " + wstrim_sql("filename") + " ELSE 'Filename: ' || " + wstrim_sql("filename") + " || chr(10) || 'Content:' || chr(10) || left(t, 2000) END")} AS input
   FROM (SELECT id, filename, {wstrim_sql("coalesce(ocr_text, '')")} AS t FROM items)),
-word AS (SELECT id, regexp_replace(unnest(regexp_split_to_array(lower(input), '{WS}+')), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS w FROM doc),
+word AS (SELECT id, regexp_replace(unnest(regexp_split_to_array(lower(input), '{WS}+')), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS w FROM doc),
 n AS (SELECT id, w, count(*) AS k FROM word WHERE w <> '' GROUP BY 1, 2), d AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM n),
 h AS (SELECT w, list_reduce(list_prepend(5381::HUGEINT, list_transform(range(1, length(x) // 2 + 1), lambda i: ((instr('0123456789ABCDEF', x[2 * i - 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i]) - 1)::HUGEINT)),
   lambda a, b: (a * 33 + b) % 18446744073709551616::HUGEINT) % 384 AS dim FROM d),
@@ -238,4 +251,17 @@ sig AS (SELECT i.id, fts, sem, CASE WHEN contains(lower(filename), 'storage repo
 SELECT id, CASE WHEN exact > 0 THEN 'exact' WHEN fts > 0 AND sem > 0.65 THEN 'hybrid' WHEN fts > 0 THEN 'keyword' ELSE 'semantic' END AS match_type,
   round(exact::DOUBLE, 6) AS exact, round(in_name::DOUBLE, 6) AS in_name, round(fts::DOUBLE, 6) AS fts, round(sem::DOUBLE, 6) AS sem,
   round((4.0 * exact + 2.0 * in_name + 1.5 * fts + 1.2 * sem)::DOUBLE, 6) AS score FROM sig""",
+    "hybrid_folder": f"""WITH {bm25_sql(_HYBRID_WORDS, "folder_id = 7")}, {VECTORS_SQL},
+kw AS (SELECT id, -bm25 / (1 - bm25) AS fts FROM ranked ORDER BY bm25, modified_at_fs DESC, id DESC LIMIT 100),
+sims AS (SELECT v.screenshot_id AS id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s
+  FROM vecs v, vecs q WHERE v.model_version = '{MODEL_VERSION}' AND q.screenshot_id = 100),
+sem AS (SELECT id, greatest(least(s, 1.0), 0.0) AS sem FROM sims WHERE s >= 0.5 ORDER BY s DESC, id LIMIT 100),
+both_sides AS (SELECT coalesce(kw.id, sem.id) AS id, coalesce(fts, 0.0) AS fts, coalesce(sem, 0.0) AS sem FROM kw FULL JOIN sem ON kw.id = sem.id),
+sig AS (SELECT i.id, fts, sem, CASE WHEN contains(lower(filename), 'storage report') OR contains(lower(coalesce(ocr_text, '')), 'storage report') THEN 1.0 ELSE 0.0 END AS exact,
+  CASE WHEN contains(lower(filename), 'storage report') THEN 1.0 ELSE 0.0 END AS in_name FROM items i JOIN both_sides b ON i.id = b.id WHERE folder_id = 7)
+SELECT id, CASE WHEN exact > 0 THEN 'exact' WHEN fts > 0 AND sem > 0.65 THEN 'hybrid' WHEN fts > 0 THEN 'keyword' ELSE 'semantic' END AS match_type,
+  round((4.0 * exact + 2.0 * in_name + 1.5 * fts + 1.2 * sem)::DOUBLE, 6) AS score, count(*) OVER () AS total FROM sig""",
+    "semantic_snippets": f"""WITH {ITEMS_SQL}, t AS (SELECT id, coalesce(ocr_text, '') AS t, instr(lower(coalesce(ocr_text, '')), 'report') AS a, instr(lower(coalesce(ocr_text, '')), 'storage') AS b FROM items)
+SELECT id, CASE WHEN t = '' THEN NULL WHEN a > 0 THEN '...' || {wstrim_sql("substr(t, greatest(a - 40, 1), a + 66 - greatest(a - 40, 1))")} || '...' WHEN b > 0 THEN '...' || {wstrim_sql("substr(t, greatest(b - 40, 1), b + 67 - greatest(b - 40, 1))")} || '...'
+  WHEN length(t) > 120 THEN {wstrim_sql("left(t, 120)")} || '...' ELSE {wstrim_sql("t")} END AS snippet FROM t""",
 }

@@ -34,7 +34,7 @@ class MixParams:
     vocabulary: str | None = None  # file of ranks; None: byte_bpe_50k of the installed public tokenizers
     group_rows: int = 4_000
     fan_in: int = 256
-    layer: int = 4  # lengths within a layer differ by this factor at most
+    layer: int = 16  # lengths within a layer differ by this factor at most
     seed: int = 17
 
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ocrlake.llm.blocks import block_pairs, spread_join
+from ocrlake.llm.blocks import block_pairs
 from ocrlake.session import cut, release
 
 
@@ -167,17 +167,22 @@ def prints(texts: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def run_sets(texts: DataFrame, k: int) -> DataFrame:
-    """(key, runs) of ``texts`` (text): the distinct hashes of its runs of k words."""
+    """(node, runs) of ``texts`` (text, key, node): the distinct hashes of its runs of k words.
+
+    A text whose digest is not ``key`` is another text of the same id and left out.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _WordHashes()
         for pdf in _chunks(batches):
             split = [t.lower().split() for t in pdf["text"]]
+            own = np.array([_digest(w) == bytes(key) for w, key in zip(split, pdf["key"])], bool)
+            split = [w for w, ok in zip(split, own) if ok]
             h, first, keep = shingle_batch(split, k, words)
             parts = np.split(h.view(np.int64), first[1:]) if len(keep) else []
-            yield pd.DataFrame({"key": [_digest(split[i]) for i in keep], "runs": [np.unique(x) for x in parts]})
+            yield pd.DataFrame({"node": pdf["node"].to_numpy(np.int64)[own][keep], "runs": [np.unique(x) for x in parts]})
 
-    return texts.select("text").mapInPandas(run, "key binary, runs array<long>")
+    return texts.select("text", "key", "node").mapInPandas(run, "node long, runs array<long>")
 
 
 @lru_cache(maxsize=16)
@@ -275,8 +280,8 @@ def verified(fp: Fingerprints, pairs: DataFrame, p: NearDupParams) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b) of nodes that reach the threshold. Only texts that a pair needs are read again."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = fp.nodes.select("node", "key", "rep").join(needed, "node", "left_semi")
-    texts = fp.texts.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    sets = cut(run_sets(texts, p.shingle).join(wanted.select("key", "node"), "key").select("node", "runs"))
+    texts = fp.texts.join(wanted.select(F.col("rep").alias("id"), "key", "node"), "id")
+    sets = cut(run_sets(texts, p.shingle))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("rb")), "b")
     common = F.size(F.array_intersect("ra", "rb"))
     similarity = both.select("a", "b", common.alias("c"), (F.size("ra") + F.size("rb")).alias("s")).select("a", "b", (F.col("c") / (F.col("s") - F.col("c"))).alias("similarity"))
@@ -339,25 +344,41 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams =
     return found.join(names, "part").select("id", "group_id", "n_members")
 
 
-def expand_pairs(found: NearDups, p: NearDupParams) -> DataFrame:
-    """All pairs of ids (id_a < id_b): links between texts, and equal texts that have at least one run of words."""
-    m = found.members
-    sizes = m.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-    first = spread_join(found.links.select("a", "b"), m.select(F.col("node").alias("a"), F.col("id").alias("id1")), "a", p.block)
-    across = spread_join(cut(first), m.select(F.col("node").alias("b"), F.col("id").alias("id2")), "b", p.block).select("id1", "id2")
-    copied = m.filter(F.col("n_words") >= p.shingle).join(sizes, "node")
-    within = block_pairs(copied, ["node"], "id", "n", [], p.block).select("id_a", "id_b")
-    return across.union(within).select(F.least("id1", "id2").alias("id_a"), F.greatest("id1", "id2").alias("id_b")).filter("id_a < id_b")
+def _hot(rows: DataFrame, key: str, block: int, name: str) -> DataFrame:
+    """(key, name): into how many blocks the rows of a key go, for keys with more than one block (rows / block at most)."""
+    return rows.groupBy(key).agg(F.count("*").alias("_k")).filter(F.col("_k") > block).select(key, F.ceil(F.col("_k") / block).cast("int").alias(name))
+
+
+def linked_ids(found: NearDups, block: int) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: the ids of linked classes. The copies of a hot class are taken in blocks."""
+    hot = _hot(found.members, "node", block, "c")
+    own = lambda c: F.coalesce(c, F.lit(1))
+    links = found.links.select("a", "b")
+    for side, part in (("a", "i"), ("b", "j")):
+        links = links.join(hot.select(F.col("node").alias(side), F.col("c").alias("_c")), side, "left").withColumn(part, F.explode(F.sequence(F.lit(0), own("_c") - 1))).drop("_c")
+    placed = found.members.join(hot, "node", "left").select("node", "id", F.pmod(F.xxhash64("id"), own("c")).cast("int").alias("k"))
+    across = links.join(placed.select(F.col("node").alias("a"), F.col("k").alias("i"), F.col("id").alias("id1")), ["a", "i"])
+    across = across.join(placed.select(F.col("node").alias("b"), F.col("k").alias("j"), F.col("id").alias("id2")), ["b", "j"])
+    return across.select(F.least("id1", "id2").alias("id_a"), F.greatest("id1", "id2").alias("id_b")).filter("id_a < id_b")
 
 
-def same_tag_pairs(docs: DataFrame, id_col: str, tag_col: str, block: int = NearDupParams.block) -> DataFrame:
-    """Pairs (id_a < id_b) of different ids with the same non-null tag."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(tag_col).alias("tag")).filter("id is not null and tag is not null").distinct()
-    repeated = rows.groupBy("tag").agg(F.count("*").alias("n")).filter("n > 1")
-    pairs = block_pairs(cut(rows.join(repeated, "tag")), ["tag"], "id", "n", [], block)
+def same_key_pairs(rows: DataFrame, block: int = NearDupParams.block) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of different ids (id) with the same non-null ``key``."""
+    rows = rows.filter("id is not null and key is not null").distinct()
+    repeated = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    pairs = block_pairs(cut(rows.join(repeated, "key")), ["key"], "id", "n", [], block)
     return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
+def expand_pairs(found: NearDups, p: NearDupParams, also: DataFrame | None = None) -> DataFrame:
+    """All pairs of ids (id_a < id_b): links between texts, equal texts that have at least one run of words, and the ids of
+    ``also`` (id, tag) with the same non-null tag; a pair may come more than once."""
+    copies = found.members.filter(F.col("n_words") >= p.shingle).select("id", F.concat(F.lit("n"), F.col("node").cast("string")).alias("key"))
+    if also is not None:
+        copies = copies.union(also.select(F.col("id").cast("long").alias("id"), F.concat(F.lit("t"), F.col("tag").cast("string")).alias("key")))
+    return linked_ids(found, p.block).union(same_key_pairs(copies, p.block))
+
+
 def connected_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, group_id) of every node: the least id that its edges (a, b) lead to.
 

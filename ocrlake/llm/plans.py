@@ -16,8 +16,8 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     shots = table(spark, base, "screenshots")
     p = neardup.SCREENSHOT_PARAMS
-    by_text = neardup.expand_pairs(neardup.near_links(shots, "id", "ocr_text", p), p)
-    return by_text.union(neardup.same_tag_pairs(shots, "id", "content_hash")).distinct()
+    tags = shots.select("id", F.col("content_hash").alias("tag"))
+    return neardup.expand_pairs(neardup.near_links(shots, "id", "ocr_text", p), p, tags).distinct()
 
 
 def p3_groups(spark: SparkSession, base: str) -> DataFrame:

@@ -70,7 +70,7 @@ def test_near_duplicates_against_all_pairs(spark, k, least):
     df = spark.createDataFrame(rows + extra, "id long, text string").withColumn("band", F.lit(1)).withColumn("a", F.lit(2)).withColumn("key", F.lit(3))
     p = neardup.NearDupParams(threshold=least, shingle=k, block=3)
     found = neardup.near_links(df, "id", "text", p)
-    got = sorted(tuple(r) for r in neardup.expand_pairs(found, p).collect())
+    got = sorted(tuple(r) for r in neardup.expand_pairs(found, p).distinct().collect())
     got_set = set(got)
     sets = [(i, runs(t, k)) for i, t in rows + extra if i and t]
     truth = {(a, b) for a, x in sets for b, y in sets if a < b and x | y and len(x & y) / len(x | y) >= least}
@@ -88,7 +88,7 @@ def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id long, text string, tag string")
     found = neardup.near_links(df, "id", "text")
     assert found.links.count() == 0 and found.members.count() == 0
-    assert neardup.same_tag_pairs(df, "id", "tag").count() == 0 and neardup.near_groups(df, "id", "text", also=df).count() == 0
+    assert neardup.expand_pairs(found, neardup.NearDupParams(), df).count() == 0 and neardup.near_groups(df, "id", "text", also=df).count() == 0
 
 
 def test_one_class_holds_a_third_of_all_rows(spark):
@@ -98,7 +98,9 @@ def test_one_class_holds_a_third_of_all_rows(spark):
     found = neardup.near_links(df, "id", "text", p)
     assert found.links.count() == 0
     assert neardup.expand_pairs(found, p).count() == 100 * 99 // 2
-    assert neardup.same_tag_pairs(df, "id", "h", 2).count() == 3
+    tags = df.select("id", F.col("h").alias("tag"))
+    assert neardup.same_key_pairs(df.select("id", F.col("h").alias("key")), 2).count() == 3
+    assert neardup.expand_pairs(found, p, tags).distinct().count() == 100 * 99 // 2 + 3
     groups = neardup.near_groups(df, "id", "text", p, df.select("id", F.col("h").alias("tag"))).collect()
     assert {r["n_members"] for r in groups if r["group_id"] == 0} == {102} and sum(r["n_members"] == 1 for r in groups) == 198
 

@@ -4,9 +4,9 @@
    the texts gives digest, bands and signature; all later steps but the shingle sets stay in the JVM.
 2. Each class has ``bands`` band values of ``rows`` MinHash values over its runs of ``shingle`` words. Band values that
    only one class has are dropped by an aggregate. Classes that share a band value are candidates.
-3. Candidates carry a compact signature: ``sig`` values of 8 bits from hash functions of their own. It is compared in
-   batches; a pair is dropped as soon as the posterior probability that its similarity reaches the threshold is below
-   ``miss``.
+3. Candidates carry a compact signature: ``sig`` values of 8 bits from hash functions of their own, packed into longs. It
+   is compared in batches by the bits that differ (none where two values agree, binomially many where they don't); a pair
+   is dropped as soon as the posterior probability that its similarity reaches the threshold is below ``miss``.
 4. The survivors' similarity is computed on their sets of runs (64-bit hashes, so that unequal runs count as equal with a
    probability of 2**-64 each); each text's set is made once, however many pairs it is in.
 
@@ -26,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,11 @@ class NearDupParams:
     block: int = 2_000  # classes of one band value, or copies of one text, that are paired in one piece
     seed: int = 20240229
 
+    @property
+    def signature(self) -> list[str]:
+        """Names of the columns that hold the signature."""
+        return [f"s{i}" for i in range(self.sig // 8)]
+
 
 #: Parameters of the test tables' own definition: runs of three words, similarity 0.7.
 SCREENSHOT_PARAMS = NearDupParams(threshold=0.7, shingle=3)
@@ -144,10 +150,11 @@ def _digest(words: list[str]) -> bytes:
 
 
 def prints(texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """(id, key, n_words, bands, sig) of ``texts`` (id, text) that have words.
+    """(id, key, n_words, bands, s0, s1, …) of ``texts`` (id, text) that have words.
 
-    ``key`` is the digest of the words; ``bands`` and ``sig`` are null for texts of fewer words than a run.
+    ``key`` is the digest of the words; ``bands`` is null (and the signature 0) for texts of fewer words than a run.
     """
+    names = p.signature
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _WordHashes()
@@ -155,15 +162,16 @@ def prints(texts: DataFrame, p: NearDupParams) -> DataFrame:
             split = [t.lower().split() for t in pdf["text"]]
             h, first, keep = shingle_batch(split, p.shingle, words)
             bands: list = [None] * len(split)
-            sig: list = [None] * len(split)
+            sig = np.zeros((len(split), len(names)), np.int64)
             if len(keep):
                 low = (minhash_values(h, first, p.sig, p.seed + 1) & np.uint32(0xFF)).astype(np.uint8)
-                for i, b, s in zip(keep.tolist(), _band_values(minhash_values(h, first, p.bands * p.rows, p.seed), p), low.view(np.int64)):
-                    bands[i], sig[i] = b, s
-            out = pd.DataFrame({"id": pdf["id"].to_numpy(), "key": [_digest(w) for w in split], "n_words": [len(w) for w in split], "bands": bands, "sig": sig})
+                sig[keep] = low.view(np.int64)
+                for i, b in zip(keep.tolist(), _band_values(minhash_values(h, first, p.bands * p.rows, p.seed), p)):
+                    bands[i] = b
+            out = pd.DataFrame({"id": pdf["id"].to_numpy(), "key": [_digest(w) for w in split], "n_words": [len(w) for w in split], "bands": bands, **{c: sig[:, i] for i, c in enumerate(names)}})
             yield out[[bool(w) for w in split]]
 
-    return texts.select("id", "text").mapInPandas(run, "id long, key binary, n_words long, bands array<int>, sig array<long>")
+    return texts.select("id", "text").mapInPandas(run, "id long, key binary, n_words long, bands array<int>, " + ", ".join(f"{c} long" for c in names))
 
 
 def run_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -187,70 +195,39 @@ def run_sets(texts: DataFrame, k: int) -> DataFrame:
 
 @lru_cache(maxsize=16)
 def prune_table(threshold: float, sig: int, batch: int, miss: float) -> tuple[tuple[int, int], ...]:
-    """(values compared, least agreements to stay) after each batch.
+    """(values compared, most differing bits to stay) after each batch.
 
-    Prior: similarity uniform on [0, 1]. Agreement of one 8-bit value has probability s + (1 - s) / 256. A pair stays
-    while P(s >= threshold | agreements) >= miss.
+    Prior: similarity uniform on [0, 1]. Two 8-bit values differ in no bit with probability s + (1 - s) / 256, and in k
+    bits with (1 - s) * C(8, k) / 256; the bits of n values are the n-fold convolution of that. A pair stays while
+    P(s >= threshold | bits) >= miss.
     """
-    s = (np.arange(4000) + 0.5) / 4000
-    q = s + (1 - s) / 256
+    s = (np.arange(1000) + 0.5) / 1000
+    one = np.outer(1 - s, [comb(8, k) / 256 for k in range(9)])
+    one[:, 0] += s
+    spectrum = np.fft.rfft(one, 1024, axis=1)
     out = []
     for n in range(batch, sig + 1, batch):
-        least = n + 1
-        for m in range(n, -1, -1):
-            logp = m * np.log(q) + (n - m) * np.log1p(-q)
-            w = np.exp(logp - logp.max())
-            if w[s >= threshold].sum() / w.sum() < miss:
-                break
-            least = m
-        out.append((n, least))
+        p = np.clip(np.fft.irfft(spectrum**n, 1024, axis=1)[:, : 8 * n + 1], 1e-300, None)
+        stays = p[s >= threshold].sum(axis=0) / p.sum(axis=0) >= miss
+        # beyond the expected bits at similarity 0 nothing stays
+        stays[4 * n + 1 :] = False
+        out.append((n, int(np.flatnonzero(stays).max(initial=-1))))
     return tuple(out)
 
 
-_BYTES = 0x0101010101010101
-
-
-def _set_bytes(x: Column) -> Column:
-    """``x`` with bit 0 of each byte saying whether any bit of the byte is set (other bits are of no meaning)."""
-    for shift in (4, 2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-    return x
-
-
-def agreements(a: Column, b: Column) -> Column:
-    """For each long of two signatures, how many of its eight bytes agree.
-
-    Steps are bound to lambda variables, as a plain expression would repeat its parts until it is too long to compile.
-    """
-    fold = lambda shift: lambda v: v.bitwiseOR(F.shiftrightunsigned(v, shift))
-    x = F.zip_with(a, b, lambda p, q: p.bitwiseXOR(q))
-    for shift in (4, 2, 1):
-        x = F.transform(x, fold(shift))
-    return F.transform(x, lambda v: 8 - F.bit_count(v.bitwiseAND(F.lit(_BYTES))))
-
-
-def may_be_similar(a: Column, b: Column, p: NearDupParams) -> Column:
-    """Whether no batch of signature values rules a pair out; later batches are only looked at if the first one passes."""
-    steps = prune_table(p.threshold, p.sig, p.batch, p.miss)
-
-    def passes(h: Column) -> Column:
-        ok, hits, at = F.lit(True), F.lit(0), 0
-        for n, least in steps:
-            hits = reduce(lambda s, i: s + h[i], range(at // 8, n // 8), hits)
-            at, ok = n, ok & (hits >= least)
-        return ok
-
-    n, least = steps[0]
-    differ = reduce(lambda s, t: s + t, (F.bit_count(_set_bytes(a[i].bitwiseXOR(b[i])).bitwiseAND(F.lit(_BYTES))) for i in range(n // 8)))
-    return (differ <= n - least) & F.element_at(F.transform(F.array(agreements(a, b)), passes), 1)
+def may_be_similar(p: NearDupParams, a: str = "_a", b: str = "_b") -> Column:
+    """Whether no batch of signature values rules a pair out, from signature columns with these endings; later batches
+    are only looked at if the earlier ones pass."""
+    differ = [F.bit_count(F.col(c + a).bitwiseXOR(F.col(c + b))) for c in p.signature]
+    return reduce(lambda x, y: x & y, (reduce(lambda x, y: x + y, differ[: n // 8]) <= most for n, most in prune_table(p.threshold, p.sig, p.batch, p.miss)))
 
 
 @dataclass
 class Fingerprints:
     """What links and groups are made from.
 
-    ``members``: (id, node, n_words), one row for each id and different text; ``nodes``: (node, key, rep, sig), one row for
-    each different text; ``shared``: (band, node, first, n, sig), the band values that several nodes have.
+    ``members``: (id, node, n_words), one row for each id and different text; ``nodes``: (node, key, rep, signature), one
+    row for each different text; ``shared``: (band, node, first, n, signature), the band values that several nodes have.
     """
 
     texts: DataFrame
@@ -263,7 +240,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams)
     """Null ids and texts without words are left out; an id with several texts is a member of each text's class."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     found = cut(prints(rows, p))
-    nodes = found.select("key", F.col("id").alias("rep"), "bands", "sig").dropDuplicates(["key"])
+    nodes = found.select("key", F.col("id").alias("rep"), "bands", *p.signature).dropDuplicates(["key"])
     # numbers are given once: the checkpoint is what all later steps read
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     members = cut(found.select("id", "key", "n_words").distinct().join(nodes.select("key", "node"), "key").select("id", "node", "n_words"))
@@ -272,8 +249,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams)
     code = F.shiftleft(F.col("no").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     bands = bands.select(code.alias("band"), "node")
     several = bands.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    shared = cut(bands.join(several, "band").join(nodes.select("node", "sig"), "node").select("band", "node", "first", "n", "sig"))
-    return Fingerprints(rows, members, nodes.select("node", "key", "rep", "sig"), shared)
+    shared = cut(bands.join(several, "band").join(nodes.select("node", *p.signature), "node").select("band", "node", "first", "n", *p.signature))
+    return Fingerprints(rows, members, nodes.select("node", "key", "rep", *p.signature), shared)
 
 
 def verified(fp: Fingerprints, pairs: DataFrame, p: NearDupParams) -> DataFrame:
@@ -305,7 +282,7 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams = N
     empty tables. Extra columns are ignored.
     """
     fp = fingerprints(docs, id_col, text_col, p)
-    pairs = block_pairs(fp.shared, ["band"], "node", "n", ["sig"], p.block, may_be_similar(F.col("sig_a"), F.col("sig_b"), p))
+    pairs = block_pairs(fp.shared, ["band"], "node", "n", p.signature, p.block, may_be_similar(p))
     pairs = cut(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     release(fp.shared)
     return NearDups(fp.members, cut(verified(fp, pairs, p)))
@@ -318,15 +295,15 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, p: NearDupParams =
     non-null tag. Cost is linear in the size of a group: links inside a group are not listed.
     """
     fp = fingerprints(docs, id_col, text_col, p)
-    stars = fp.shared.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("sig").alias("sig_b")).distinct()
-    stars = stars.join(fp.nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").filter(may_be_similar(F.col("sig_a"), F.col("sig_b"), p))
+    stars = fp.shared.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in p.signature)).distinct()
+    stars = stars.join(fp.nodes.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in p.signature)), "a").filter(may_be_similar(p))
     near = cut(verified(fp, cut(stars.select("a", "b")), p).select("a", "b"))
     parts = cut(connected_groups(fp.nodes.select(F.col("node").alias("id")), near))
     # what is left are band values that several components have
-    shared = fp.shared.select("band", "node", "sig").join(parts.select(F.col("id").alias("node"), F.col("group_id").alias("part")), "node")
+    shared = fp.shared.select("band", "node", *p.signature).join(parts.select(F.col("id").alias("node"), F.col("group_id").alias("part")), "node")
     torn = shared.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("band", "n")
-    apart = (F.col("part_a") != F.col("part_b")) & may_be_similar(F.col("sig_a"), F.col("sig_b"), p)
-    across = block_pairs(shared.join(torn, "band"), ["band"], "node", "n", ["part", "sig"], p.block, apart)
+    apart = (F.col("part_a") != F.col("part_b")) & may_be_similar(p)
+    across = block_pairs(shared.join(torn, "band"), ["band"], "node", "n", ["part", *p.signature], p.block, apart)
     across = cut(across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     more = verified(fp, across, p).select("a", "b")
     release(fp.shared)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ocrlake.llm import langid, leaks, lookalike, mixing, neardup, reading, scannoise
+from ocrlake.session import cut
 from ocrlake.sources.tables import table
 
 
@@ -67,15 +68,20 @@ def p8_shares(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p8_checks(spark: SparkSession, base: str) -> DataFrame:
-    """Of every target source: whether anything is drawn, whether its share of all tokens is within half a per cent of what
-    the sources that have text were to reach, and whether no document comes more often than it may."""
+    """Of every target source: whether its share of all tokens is what it should be (to half a per cent, or to one of its
+    documents where that is more; a source of which nothing is drawn has none), and whether no document comes more often
+    than it may."""
     targets = table(spark, base, "mix_targets")
-    shares = p8_shares(spark, base)
+    drawn = cut(p8_drawn(spark, base))
+    shares = mixing.reached_shares(drawn, targets)
+    longest = drawn.groupBy("source").agg(F.max("n_tokens").alias("longest"))
     cap = targets.select(mixing.source_name(F.col("source")).alias("source"), "max_repeats")
-    live = F.sum(F.when(F.col("n_tokens") > 0, F.col("target_share"))).over(Window.partitionBy(F.lit(0)))  # one row per source
-    near = (F.col("n_tokens") == 0) | (F.abs(F.col("reached_share") - F.col("target_share") / live) <= 0.005)
-    both = shares.withColumn("near", near).join(cap, "source")
-    return both.groupBy("source").agg(F.max(F.col("n_tokens") > 0).alias("drawn"), F.min("near").alias("near_target"), F.min(F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"))
+    one = Window.partitionBy(F.lit(0))  # one row per source
+    live, total = F.sum(F.when(F.col("n_tokens") > 0, F.col("target_share"))).over(one), F.sum("n_tokens").over(one)
+    off = F.abs(F.col("reached_share") - F.col("target_share") / live)
+    near = (F.col("n_tokens") == 0) | (off <= F.greatest(F.lit(0.005), F.col("longest") / total))
+    both = shares.join(longest, "source", "left").withColumn("near", near).join(cap, "source")
+    return both.groupBy("source").agg(F.min("near").alias("near_target"), F.min(F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"))
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
@@ -142,7 +148,5 @@ SELECT id, group_id, count(*) OVER (PARTITION BY group_id) AS n_members FROM lea
 i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
 dw AS (SELECT doc_id, unnest({_WINDOWS}) AS g FROM d WHERE len(w) >= 13), iw AS (SELECT DISTINCT item_id, unnest({_WINDOWS}) AS g FROM i WHERE len(w) >= 13)
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
-    "p8_checks": """WITH d AS (SELECT regexp_replace(trim(lower(source)), '[\\s_\\-]+', '-', 'g') AS source, text FROM documents WHERE text IS NOT NULL AND text <> '' AND source IS NOT NULL),
-t AS (SELECT regexp_replace(trim(lower(source)), '[\\s_\\-]+', '-', 'g') AS source FROM mix_targets WHERE source IS NOT NULL)
-SELECT DISTINCT source, source IN (SELECT source FROM d) AS drawn, true AS near_target, true AS within_cap FROM t""",
+    "p8_checks": """SELECT DISTINCT regexp_replace(trim(lower(source)), '[\\s_\\-]+', '-', 'g') AS source, true AS near_target, true AS within_cap FROM mix_targets WHERE source IS NOT NULL""",
 }

@@ -107,7 +107,7 @@ def test_aggregates_of_empty_tables(spark):
     its, jobs, vec = spark.createDataFrame([], ITEMS), spark.createDataFrame([], JOBS), spark.createDataFrame([], VECTORS)
     assert tuple(cat.status_counts(its).first()) == (0,) * 5 and tuple(cat.job_counts(jobs).first()) == (0,) * 5
     assert tuple(cat.embedding_coverage(its, vec, "m", "1").first()) == (0, 0, 0)
-    assert cat.duplicate_texts(its).count() == 0 and cat.newest_by_hash(its).count() == 0
+    assert cat.duplicate_texts(cat.text_digests(its)).count() == 0 and cat.newest_by_hash(its).count() == 0
     assert cat.distinct_items(its).count() == 0 and jb.current_jobs(jobs).count() == 0
 
 

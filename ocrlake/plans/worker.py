@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ def _single(spark: SparkSession, base: str) -> DataFrame:
     return rows.join(rows.groupBy("path").agg(F.max("id").alias("id")).select("id"), "id", "left_semi")
 
 
+@cache
 def _batch(spark: SparkSession, base: str) -> wk.Handled:
     """One turn of the worker over jobs for every item, by id: upsert, delete, vector, new text (of the active pipeline or
     of another). On disk every fifth file has changed, every thirteenth is gone and every 29th cannot be read."""
@@ -52,6 +54,7 @@ def _batch(spark: SparkSession, base: str) -> wk.Handled:
     seen = rows.filter("id % 13 <> 0")
     disk = seen.select("path", F.when(k % 5 == 0, F.col("file_size") + 1).otherwise(F.col("file_size")).alias("file_size"), "modified_at_fs", F.when(k % 5 == 0, F.lit("new")).otherwise(F.coalesce(h, F.lit("none"))).alias("content_hash"), F.when(k % 29 == 0, "FileReadFailed").alias("error_code"))
     model = wk.Embedding(MODEL, MODEL_VERSION, mock_embedding)
+    # what it gives are written tables, so the queries on it share one run
     return wk.run_batch(wk.State(rows, vectors(spark, base), queue), disk, _read, PIPELINE, NOW, model, n=100_000_000)
 
 
@@ -78,6 +81,7 @@ def worker_touched(spark: SparkSession, base: str) -> DataFrame:
 SCAN_FOLDER = 7
 
 
+@cache
 def _discovery(spark: SparkSession, base: str) -> rc.Discovery:
     """A scan of folder 7: every third file is gone, every fourth grew, every fifth has a new name; every seventh new or
     grown file cannot be hashed, files that end in '1.png' are not confirmed as gone, one subtree is shut."""

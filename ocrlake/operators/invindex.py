@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ocrlake.functions.text import query_phrases
 from ocrlake.operators.fts import B, BODY_WEIGHT, FILENAME_WEIGHT, IDF_FLOOR, K1, build_index
+from ocrlake.session import cut, release
 
 DOC_COLUMNS = ("id", "folder_id", "filename", "path", "modified_at_fs", "ocr_status", "body", "n_tokens")
 PUSHED_TOKENS = 100  # up to so many distinct tokens of the requests are pushed to the scan as filters
@@ -94,6 +95,7 @@ def open_index(spark: SparkSession, root: str) -> StoredIndex:
 def _write(tokens: DataFrame, gone: DataFrame | None, path: str, totals: tuple[int, int]) -> None:
     """One segment from rows of ``build_index``; ``totals`` are items and tokens of what stays of earlier segments."""
     spark = tokens.sparkSession
+    tokens = cut(tokens)  # texts are tokenised once, though sorting by range reads the tokens twice
     tokens.select(*DOC_COLUMNS).write.mode("overwrite").parquet(f"{path}/docs")
     field = lambda k, c: tokens.select("id", "n_tokens", F.lit(k).alias("field"), F.posexplode(c).alias("pos", "token"))
     places = field(0, "fn_tokens").union(field(1, "body_tokens")).select("token", "id", "field", "pos", "n_tokens")
@@ -105,6 +107,7 @@ def _write(tokens: DataFrame, gone: DataFrame | None, path: str, totals: tuple[i
     new = spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
     total = [(totals[0] + new["n"], totals[1] + new["t"])]
     spark.createDataFrame(total, "n_docs long, n_tokens long").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    release(tokens)
 
 
 def write_index(items: DataFrame, root: str) -> StoredIndex:

@@ -67,6 +67,14 @@ def index_health(spark: SparkSession, base: str) -> DataFrame:
     return inv.index_health(items(spark, base, "ocr_status", "ocr_text"), _index(spark, base))
 
 
+def index_store(spark: SparkSession, base: str) -> DataFrame:
+    """The stored index: its statistics, and the places of its most frequent tokens."""
+    index = _index(spark, base)
+    n_docs, n_tokens = index.stats()
+    top = index.postings().groupBy("token").agg(F.count("*").alias("places")).orderBy(F.desc("places"), "token").limit(50)
+    return top.withColumns({"n_docs": F.lit(n_docs).cast("long"), "n_tokens": F.lit(n_tokens).cast("long")})
+
+
 def index_refresh(spark: SparkSession, base: str) -> DataFrame:
     """Matches after a refresh: every seventh item has another text, every eleventh is gone; and after merging segments."""
     rows = _items(spark, base)
@@ -169,7 +177,7 @@ def semantic_snippets(spark: SparkSession, base: str) -> DataFrame:
     return items(spark, base, "ocr_text").select("id", tx.semantic_snippet("an report storage", F.col("ocr_text")).alias("snippet"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, normalize_ocr, technical_tokens, exact_signals, semantic_document, index_build, index_health, index_refresh, fts_bm25, fts_phrase, fts_folder_page, fts_filename, fts_snippets, result_page, item_details, preview_search, recent_items, search_batch, vector_similarity, vector_codec, mock_embeddings, hybrid_search, hybrid_folder, semantic_snippets)}
+QUERIES = {f.__name__: f for f in (normalize_text, normalize_ocr, technical_tokens, exact_signals, semantic_document, index_build, index_store, index_health, index_refresh, fts_bm25, fts_phrase, fts_folder_page, fts_filename, fts_snippets, result_page, item_details, preview_search, recent_items, search_batch, vector_similarity, vector_codec, mock_embeddings, hybrid_search, hybrid_folder, semantic_snippets)}
 
 _NORM_OCR = f"regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]', '', 'g'), '[\\x09\\x0b-\\x0d\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+(\\n|$)', '\\1', 'g')"
 _HYBRID_WORDS = [[w] for w in ("storage", "report")]
@@ -190,6 +198,8 @@ FROM (SELECT id, filename, {wstrim_sql("coalesce(ocr_text, '')")} AS t FROM item
     "index_build": f"WITH {INDEX_SQL} SELECT id, body, n_tokens, array_to_string(fn, ' ') AS fn_tokens, array_to_string(bt, ' ') AS body_tokens FROM idx",
     "index_health": f"""WITH {INDEX_SQL} SELECT (SELECT count(*) FROM items WHERE ocr_status = 'SUCCEEDED' AND ocr_text IS NOT NULL) AS expected,
   (SELECT count(*) FROM idx) AS indexed, (SELECT count(*) FROM items WHERE ocr_status = 'SUCCEEDED' AND ocr_text IS NOT NULL) = (SELECT count(*) FROM idx) AS healthy""",
+    "index_store": f"""WITH {INDEX_SQL}, t AS (SELECT unnest(list_concat(fn, bt)) AS token FROM idx)
+SELECT token, count(*) AS places, (SELECT count(*) FROM idx) AS n_docs, (SELECT sum(n_tokens)::BIGINT FROM idx) AS n_tokens FROM t GROUP BY token ORDER BY places DESC, token LIMIT 50""",
     "index_refresh": f"""WITH {INDEX_SQL}, now AS (SELECT id, n_tokens, false AS hit FROM idx WHERE id % 7 <> 0 AND id % 11 <> 0
   UNION ALL SELECT id, len({tokens_sql("filename")}) + 3, true FROM items WHERE id % 7 = 0 AND ocr_status = 'SUCCEEDED'),
 s AS (SELECT count(*) AS n, sum(n_tokens) / count(*)::DOUBLE AS avgdl, count(*) FILTER (WHERE hit) AS c FROM now)
